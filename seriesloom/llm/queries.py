@@ -35,13 +35,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesloom.llm.substrings import digest, remove_repeats
+
+    return digest(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm.quality import quality_scores
 
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op6_simhash, op7_exact_dedup, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op6_simhash, op7_exact_dedup, op9_substrings, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
@@ -52,4 +58,19 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM d
     """,
+    "op9_substrings": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ),
+        win AS (SELECT doc_id, i, ws[i:i + 12] AS k FROM w, unnest(generate_series(1, len(ws) - 12)) AS t(i)),
+        least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        bad AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN least USING (k), range(13) AS r(j) WHERE m < doc_id),
+        tok AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(generate_series(1, len(ws))) AS t(p)),
+        kept AS (
+            SELECT tok.doc_id, count(*) - count(bad.p) AS n, string_agg(word, ' ' ORDER BY tok.p) FILTER (bad.p IS NULL) AS rest
+            FROM tok LEFT JOIN bad ON tok.doc_id = bad.doc_id AND tok.p = bad.p GROUP BY tok.doc_id
+        )
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+    """,
 }
