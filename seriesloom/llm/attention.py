@@ -26,6 +26,8 @@ BATCH = 32
 LIMIT = 30.0
 #: The trained tables, in the order in which they are averaged.
 NAMES = ("query", "key", "value", "query_at", "key_at", "out")
+#: Taken from each count above zero.
+DISCOUNT = 0.8
 #: Causal: position i sees inputs up to i.
 MASK = np.tri(WINDOW, dtype=np.float32)
 #: The trigram table holds -log P in steps of GRAIN, up to 255 of them.
@@ -39,6 +41,7 @@ class Model:
     column: np.ndarray  # (ids,) int16: place among the KNOWN ids, 0 for others
     trigram: np.ndarray | None = None  # (CLASSES ** 2, CLASSES) uint8, by last but one class and last class
     given: np.ndarray | None = None  # (CLASSES, KNOWN + 1) float32: log10 P(id | class, last class)
+    rest: np.ndarray | None = None  # (CLASSES, CLASSES) float32, by last class and class: log10 of the part that other ids share
     params: dict = field(default_factory=dict)
 
 
@@ -62,22 +65,41 @@ def classes(counts: np.ndarray, begins_word: np.ndarray) -> Model:
 
 
 def with_counts(model: Model, trigrams: np.ndarray, given: np.ndarray) -> Model:
-    """Tables from corpus counts: trigrams (CLASSES ** 3 cells) and given (CLASSES x KNOWN + 1, the id in a column after a class)."""
+    """Tables from corpus counts: trigrams (CLASSES ** 3 cells) and given (CLASSES x KNOWN + 1, the id in a column after a class).
+
+    Absolute discounting: what DISCOUNT takes from each seen cell goes to the next shorter context.
+    """
     t = trigrams.reshape(CLASSES, CLASSES, CLASSES)
     pairs = t.sum(axis=0, dtype=np.float64)  # (last, next)
     plain = (pairs.sum(axis=0) + 1.0) / (pairs.sum() + CLASSES)
-    two = (pairs + 8.0 * plain) / (pairs.sum(axis=1, keepdims=True) + 8.0)
+    two = _discounted(pairs, plain)
     model.trigram = np.empty((CLASSES * CLASSES, CLASSES), np.uint8)
     for a in range(CLASSES):
-        p = (t[a] + 8.0 * two) / (t[a].sum(axis=1, keepdims=True) + 8.0)
+        p = _discounted(t[a].astype(np.float64), two)
         model.trigram[a * CLASSES : (a + 1) * CLASSES] = np.minimum(np.round(-np.log(p) / GRAIN), 255)
     known = np.flatnonzero(model.column)
     share, group = np.ones(KNOWN + 1), np.zeros(KNOWN + 1, np.int64)
     share[model.column[known]], group[model.column[known]] = 10.0 ** model.share[known], model.class_of[known]
-    model.given = np.log10((given + 4.0 * share) / (pairs[:, group] + 4.0)).astype(np.float32)
+    kinds = np.zeros((CLASSES, CLASSES))
+    np.add.at(kinds.T, group[1:], (given[:, 1:] > 0).T)
+    spare = (DISCOUNT * kinds + 1.0) / (pairs + 1.0)
+    model.rest = np.log10(np.minimum(spare, 1.0)).astype(np.float32)
+    seen = np.maximum(given - DISCOUNT, 0) / (pairs[:, group] + 1.0)
+    model.given = np.log10(seen + 10.0 ** model.rest[:, group] * share).astype(np.float32)
     return model
 
 
+def _discounted(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    kinds = (counts > 0).sum(axis=-1, keepdims=True)
+    return (np.maximum(counts - DISCOUNT, 0) + (DISCOUNT * kinds + 1.0) * shorter) / (counts.sum(axis=-1, keepdims=True) + 1.0)
+
+
+def id_shares(model: Model, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """log10 P(id | class, last class) of each id."""
+    column = model.column[ids]
+    return np.where(column > 0, model.given[last, column], model.share[ids] + model.rest[last, model.class_of[ids]])
+
+
 def fresh(seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
     table = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)

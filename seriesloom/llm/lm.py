@@ -344,8 +344,7 @@ def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast
     for batch, rows, ids, sizes, n_words in _encoded(batches, Lexicon(subwords(data), heavy), 2, seen):
         y = model.class_of[ids].astype(np.intp)
         one, _ = _before(y, sizes)
-        column = model.column[ids]
-        own = np.where(column > 0, model.given[one, column], model.share[ids])
+        own = A.id_shares(model, ids, one)
         begins = np.cumsum(sizes) - sizes
         scores = A.text_scores(model, y, sizes) + np.add.reduceat(own.astype(np.float64), begins)
         for r, s, n in zip(rows.tolist(), scores.tolist(), n_words.tolist(), strict=True):
