@@ -123,41 +123,28 @@ def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", so
     weights = {s: w if (w := weights.get(s, 0)) > 0 else least for s in sizes}
     phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, weights, slots)
     spark = docs.sparkSession
-    pattern, spans = [], []
+    pattern, spans, lost = [], [], 0
     for p, phase in enumerate(phases):
-        seen = dict.fromkeys(phase.share, 0)
+        # A source's last block, which may be short, runs in the last period of a phase; every slot after it begins that many rows sooner.
+        seen, short = dict.fromkeys(phase.share, 0), 0
         for at, s in enumerate(phase.pattern):
-            pattern.append((p, s, seen[s], at))
+            pattern.append((p, s, seen[s], at, lost, lost + short))
             seen[s] += 1
-        spans += [(p, s, phase.first[s], phase.first[s] + phase.share[s] * phase.periods, phase.share[s], phase.start, len(phase.pattern)) for s in phase.share]
-    span = spark.createDataFrame(spans, "phase int, s string, lo long, hi long, share long, start long, period long")
-    places = spark.createDataFrame(pattern, "phase int, s string, turn long, at long")
+            if phase.first[s] + phase.share[s] * (phase.periods - 1) + seen[s] == -(-sizes[s] // block_rows):
+                short += -sizes[s] % block_rows
+        spans += [(p, s, phase.first[s], phase.first[s] + phase.share[s] * phase.periods, phase.share[s], phase.periods - 1, phase.start, len(phase.pattern)) for s in phase.share]
+        lost += short
+    span = spark.createDataFrame(spans, "phase int, s string, lo long, hi long, share long, last long, start long, period long")
+    places = spark.createDataFrame(pattern, "p int, s string, r long, at long, lost long, lost_at_last long")
     by = numbered(rows.withColumn("source", F.col("source").cast("string")), "source", "doc_id", total)
     by = by.withColumn("block", F.floor(F.col("number") / block_rows))
     held = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))
     placed = by.join(F.broadcast(span), held).drop("s")  # sources * phases rows
     placed = placed.withColumn("turn", (F.col("block") - F.col("lo")) % F.col("share")).withColumn("round", F.floor((F.col("block") - F.col("lo")) / F.col("share")))
-    places = places.withColumnRenamed("phase", "p").withColumnRenamed("turn", "r")
-    placed = placed.join(F.broadcast(places), (F.col("phase") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("turn") == F.col("r")))
+    placed = placed.join(F.broadcast(places), (F.col("phase") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("turn") == F.col("r")))  # slots * phases rows
     placed = placed.withColumn("slot", F.col("start") + F.col("round") * F.col("period") + F.col("at"))
-    # Only the last block of a source is short: every slot after it begins that many rows sooner.
-    short = []
-    for s, n in sizes.items():
-        if n % block_rows:
-            k = n // block_rows
-            p = next(i for i, x in enumerate(phases) if s in x.share and x.first[s] <= k < x.first[s] + x.share[s] * x.periods)
-            phase = phases[p]
-            turn = [i for i, x in enumerate(phase.pattern) if x == s][(k - phase.first[s]) % phase.share[s]]
-            short.append((phase.start + (k - phase.first[s]) // phase.share[s] * len(phase.pattern) + turn, block_rows - n % block_rows))
-    short.sort()
-    bounds, lost = [(-1, 0)], 0
-    for slot, missing in short:
-        lost += missing
-        bounds.append((slot, lost))
-    steps = [(a, b, n) for (a, n), (b, _) in zip(bounds, [*bounds[1:], (1 << 62, 0)], strict=True)]
-    gaps = spark.createDataFrame(steps, "after long, until long, lost long")  # one row a source
-    placed = placed.join(F.broadcast(gaps), (F.col("slot") > F.col("after")) & (F.col("slot") <= F.col("until")))
-    position = F.col("slot") * block_rows + F.col("number") % block_rows - F.col("lost")
+    gone = F.when(F.col("round") == F.col("last"), F.col("lost_at_last")).otherwise(F.col("lost"))
+    position = F.col("slot") * block_rows + F.col("number") % block_rows - gone
     return placed.select("doc_id", "source", "block", "slot", position.alias("position"))
 
 

@@ -83,10 +83,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
     tops = np.array([r.top for r in histogram], np.int64)  # a bin's longest row
     counts = np.array([r.n for r in histogram], np.int64)
     bounds = boundaries(tops, counts, buckets)
-    spark = docs.sparkSession
-    lows = [-1, *bounds[:-1]]
-    table = spark.createDataFrame([(i, lo, hi, max(1, budget // max(1, hi))) for i, (lo, hi) in enumerate(zip(lows, bounds, strict=True))], "bucket int, low long, padded_length long, places long")
-    held = rows.join(F.broadcast(table), (F.col("n_tokens") > F.col("low")) & (F.col("n_tokens") <= F.col("padded_length")))
+    bucket, padded = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, bound in reversed(list(enumerate(bounds))):  # at most `buckets` branches
+        fits = F.col("n_tokens") <= bound
+        bucket, padded = F.when(fits, F.lit(i)).otherwise(bucket), F.when(fits, F.lit(bound).cast("long")).otherwise(padded)
+    held = rows.withColumns({"bucket": bucket, "padded_length": padded})
+    held = held.withColumn("places", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1)))))
     ranked = numbered(held, "bucket", "doc_id", int(counts.sum()))
     return ranked.select(
         "doc_id",
