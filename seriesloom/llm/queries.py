@@ -23,6 +23,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesloom.llm.chat import digest, format_conversations
+
+    said = "\\### Assistant: </turn> ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return digest(format_conversations(rows.unionByName(more)))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm.lm import lm_scores
 
@@ -53,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op4_lm_scores, op6_simhash, op7_exact_dedup, op9_substrings, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op3_chat, op4_lm_scores, op6_simhash, op7_exact_dedup, op9_substrings, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
