@@ -38,6 +38,19 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors' pictures, searched for cropped and edited copies of those whose id is divisible by 50."""
+    from pyspark.sql import functions as F
+
+    from seriesloom.llm.media import find_copies
+    from seriesloom.llm.pictures import drawn
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = find_copies(drawn(vectors), drawn(vectors.where("vec_id % 50 = 0"), copy=True))
+    matches = F.col("matches")
+    return found.select(F.col("id").alias("vec_id"), "class_id", F.transform(matches, lambda m: m["class_id"]).alias("matches"), F.transform(matches, lambda m: m["inliers"]).alias("inliers"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm.simhash import near_duplicates
 
@@ -50,6 +63,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records, audited against a replica in which every 997th page has another first byte."""
+    from pyspark.sql import functions as F
+
+    from seriesloom.llm.warc import audit, layout, records
+    from seriesloom.runtime import cut
+
+    pages = _table(spark, sf_dir, "pages")
+    damaged = pages.withColumn("html", F.when((F.col("page_id") % 997 == 5) & (F.octet_length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    first, second = cut(layout(records(pages))), cut(layout(records(damaged)))
+    bad = audit(first, second).select("volume", "offset", F.lit(False).alias("intact"))
+    return first.join(bad, ["volume", "offset"], "left").select("page_id", F.col("length").alias("record_bytes"), F.col("digest").alias("record_sha256"), F.coalesce("intact", F.lit(True)).alias("intact"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm.substrings import digest, remove_repeats
 
@@ -62,7 +89,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op3_chat, op4_lm_scores, op6_simhash, op7_exact_dedup, op9_substrings, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op3_chat, op4_lm_scores, op5_media, op6_simhash, op7_exact_dedup, op8_warc, op9_substrings, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
@@ -73,6 +100,21 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM d
     """,
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                   || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10)
+                   || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+                   || 'Content-Type: text/html' || chr(13) || chr(10)
+                   || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record
+            FROM pages
+        )
+        SELECT page_id, CAST(strlen(record) + 4 AS BIGINT) AS record_bytes, sha256(record) AS record_sha256,
+               NOT (page_id % 997 = 5 AND strlen(body) > 0 AND body[1] <> '~') AS intact
+        FROM p
+    """,
     "op9_substrings": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
