@@ -122,6 +122,22 @@ def _count_ids(batches: Iterator[pa.RecordBatch], data: Broadcast) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
 
+class Growing:
+    """An array that values are appended to."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, values: list) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            room = np.zeros(2 * size, self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : size] = values
+        self.size = size
+
+
 class Lexicon:
     """Words seen by a task: a run of ids for each, and with `heavy` its training count, or -1 and a hash.
 
@@ -129,32 +145,34 @@ class Lexicon:
     """
 
     def __init__(self, encode: Subwords, heavy: dict | None = None):
-        self.encode, self.heavy = encode, heavy or {}
+        self.encode, self.heavy = encode, heavy
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.lists: tuple[list[int], ...] = ([], [0], [], [])  # ids, where runs start, counts, hashes
-        self.cache: tuple | None = None
+        self.ids, self.starts, self.sizes = Growing(np.int32), Growing(np.int64), Growing(np.int64)
+        self.counts, self.hashes = Growing(np.int64), Growing(np.uint64)
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         if len(self.slot) >= WORDS_HELD:
             self.clear()
         slot = self.slot
-        ids, starts, counts, hashes = self.lists
-        for w in set(words).difference(slot):
-            slot[w] = len(slot)
-            ids.extend(self.encode(w))
-            starts.append(len(ids))
-            counts.append(c := self.heavy.get(w, -1))
-            hashes.append(xxh3_64_intdigest(w) if c < 0 else 0)
-            self.cache = None
+        new = list(set(words).difference(slot))
+        if new:
+            slot.update(zip(new, range(len(slot), len(slot) + len(new)), strict=True))
+            runs = [self.encode(w) for w in new]
+            sizes = list(map(len, runs))
+            self.starts.extend(self.ids.size + np.cumsum(sizes) - sizes)
+            self.sizes.extend(sizes)
+            self.ids.extend(list(chain.from_iterable(runs)))
+            if self.heavy is not None:
+                counts = [self.heavy.get(w, -1) for w in new]
+                self.counts.extend(counts)
+                self.hashes.extend([xxh3_64_intdigest(w) if c < 0 else 0 for w, c in zip(new, counts, strict=True)])
         return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
 
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        if self.cache is None:
-            self.cache = tuple(np.array(x, k) for x, k in zip(self.lists, (np.int32, np.int64, np.int64, np.uint64), strict=True))
-        return self.cache
+    def ids_of(self, slots: np.ndarray) -> np.ndarray:
+        return self.ids.room[_runs(self.starts.room[slots], self.sizes.room[slots])]
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -176,11 +194,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int, s
                 if not words:
                     continue
                 slots = lexicon.slots(words)
-                ids, starts, counts, hashes = lexicon.arrays()
-                mine.append(ids[_runs(starts[slots], starts[slots + 1] - starts[slots])])
+                mine.append(lexicon.ids_of(slots))
                 total += len(words)
                 if seen is not None:
-                    seen(batch, r, counts[slots], hashes[slots])
+                    seen(batch, r, lexicon.counts.room[slots], lexicon.hashes.room[slots])
             mine.append(np.array([lexicon.encode.size], np.int32))
             parts += mine
             sizes.append(sum(map(len, mine)))
