@@ -1,11 +1,13 @@
 """A causal self-attention language model over classes of subword ids, in numpy.
 
 The next class is predicted by one causal attention head over the window, on
-top of a table of class trigrams counted over the whole training corpus; which
-id of the class it is, by counts given the class before it.
+top of tables of class trigrams counted over the whole training corpus, in two
+steps: which of GROUPS groups of classes, then which class of the group. Which
+id of the class it is, counts given the class before it tell.
 
-    P(id | past)    = P(class | past) * P(id | class, last class)
-    P(class | past) ~ trigram[last two classes][class] * exp(attention(past) @ out[:, class])
+    P(id | past)           = P(group | past) * P(class | group, past) * P(id | class, last class)
+    P(group | past)        ~ trigram[last two classes][group] * exp(attention(past) @ group_out[:, group])
+    P(class | group, past) ~ trigram[last two classes][class] * exp(attention(past) @ class_out[group][:, class])
 """
 
 from __future__ import annotations
@@ -18,19 +20,21 @@ import numpy as np
 WINDOW, STRIDE, WIDTH = 32, 24, 16
 #: Classes; those that frequent ids have to themselves. Class 0 is the end of a text, the rest share the other ids.
 CLASSES, SINGLE = 256, 215
+#: Groups of classes: class >> 4.
+GROUPS = 16
 #: Most frequent ids that are also counted by the class before them.
 KNOWN = 4095
-#: Windows worked on at once.
-BATCH = 32
+#: Windows attended to at once; windows whose classes are looked up at once.
+BATCH, MANY = 32, 512
 #: Largest exponent that the attention may reach; keeps float32 exponentials finite.
 LIMIT = 30.0
 #: The trained tables, in the order in which they are averaged.
-NAMES = ("query", "key", "value", "query_at", "key_at", "out")
+NAMES = ("query", "key", "value", "query_at", "key_at", "group_out", "class_out")
 #: Taken from each count above zero.
 DISCOUNT = 0.8
 #: Causal: position i sees inputs up to i.
 MASK = np.tri(WINDOW, dtype=np.float32)
-#: The trigram table holds -log P in steps of GRAIN, up to 255 of them.
+#: The trigram tables hold -log P in steps of GRAIN, up to 255 of them.
 GRAIN = np.float32(14 / 255)
 
 
@@ -39,7 +43,8 @@ class Model:
     class_of: np.ndarray  # (ids,) uint8; the last id is the end of a text
     share: np.ndarray  # (ids,) float32: log10 P(id | class) without context
     column: np.ndarray  # (ids,) int16: place among the KNOWN ids, 0 for others
-    trigram: np.ndarray | None = None  # (CLASSES ** 2, CLASSES) uint8, by last but one class and last class
+    by_group: np.ndarray | None = None  # (CLASSES ** 2, GROUPS) uint8, by last but one class and last class
+    by_class: np.ndarray | None = None  # (CLASSES ** 2, GROUPS, CLASSES // GROUPS) uint8, in each group
     given: np.ndarray | None = None  # (CLASSES, KNOWN + 1) float32: log10 P(id | class, last class)
     rest: np.ndarray | None = None  # (CLASSES, CLASSES) float32, by last class and class: log10 of the part that other ids share
     params: dict = field(default_factory=dict)
@@ -73,10 +78,14 @@ def with_counts(model: Model, trigrams: np.ndarray, given: np.ndarray) -> Model:
     pairs = t.sum(axis=0, dtype=np.float64)  # (last, next)
     plain = (pairs.sum(axis=0) + 1.0) / (pairs.sum() + CLASSES)
     two = _discounted(pairs, plain)
-    model.trigram = np.empty((CLASSES * CLASSES, CLASSES), np.uint8)
+    model.by_group = np.empty((CLASSES * CLASSES, GROUPS), np.uint8)
+    model.by_class = np.empty((CLASSES * CLASSES, GROUPS, CLASSES // GROUPS), np.uint8)
     for a in range(CLASSES):
-        p = _discounted(t[a].astype(np.float64), two)
-        model.trigram[a * CLASSES : (a + 1) * CLASSES] = np.minimum(np.round(-np.log(p) / GRAIN), 255)
+        p = _discounted(t[a].astype(np.float64), two).reshape(CLASSES, GROUPS, -1)
+        whole = p.sum(axis=2, keepdims=True)
+        at = slice(a * CLASSES, (a + 1) * CLASSES)
+        model.by_group[at] = np.minimum(np.round(-np.log(whole[:, :, 0] / whole.sum(axis=1)) / GRAIN), 255)
+        model.by_class[at] = np.minimum(np.round(-np.log(p / whole) / GRAIN), 255)
     known = np.flatnonzero(model.column)
     share, group = np.ones(KNOWN + 1), np.zeros(KNOWN + 1, np.int64)
     share[model.column[known]], group[model.column[known]] = 10.0 ** model.share[known], model.class_of[known]
@@ -103,15 +112,16 @@ def id_shares(model: Model, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
 def fresh(seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
     table = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-    return {"query": table(CLASSES, WIDTH), "key": table(CLASSES, WIDTH), "value": table(CLASSES, WIDTH), "query_at": table(WINDOW, WIDTH), "key_at": table(WINDOW, WIDTH), "out": np.zeros((WIDTH, CLASSES), np.float32)}
+    return {"query": table(CLASSES, WIDTH), "key": table(CLASSES, WIDTH), "value": table(CLASSES, WIDTH), "query_at": table(WINDOW, WIDTH), "key_at": table(WINDOW, WIDTH), "group_out": np.zeros((WIDTH, GROUPS), np.float32), "class_out": np.zeros((GROUPS, WIDTH, CLASSES // GROUPS), np.float32)}
 
 
 def bounded(p: dict) -> dict:
     """Scaled down, where needed, so that what the attention adds cannot pass LIMIT."""
     p = {k: v.copy() for k, v in p.items()}
-    reach = np.abs(p["out"]).sum(axis=0).max() * np.abs(p["value"]).max()
-    if reach > LIMIT:
-        p["out"] *= np.float32(LIMIT / reach)
+    for name in ("group_out", "class_out"):
+        reach = np.abs(p[name]).sum(axis=-2).max() * np.abs(p["value"]).max()
+        if reach > LIMIT:
+            p[name] *= np.float32(LIMIT / reach)
     return p
 
 
@@ -126,21 +136,26 @@ def _attend(p: dict, x: np.ndarray, lo: int) -> tuple[np.ndarray, ...]:
     return q, k, v, w, w @ v
 
 
-def log_probs(trigram: np.ndarray, p: dict, context: np.ndarray, x: np.ndarray, y: np.ndarray, lo: int = 0, room: np.ndarray | None = None) -> np.ndarray:
-    """log10 P(y) of the positions lo.. of windows with inputs x (the class before each position) and contexts (the two before it).
-
-    room: float32 scratch space of two tables of a row a position.
-    """
-    h = _attend(p, x, lo)[4]
-    n = h.shape[0] * h.shape[1]
-    score, table = room[:, :n] if room is not None else np.empty((2, n, CLASSES), np.float32)
-    np.matmul(h.reshape(-1, WIDTH), p["out"], out=score)
-    np.multiply(trigram[context[:, lo:].reshape(-1)], GRAIN, out=table)
-    score -= table
-    target = score[np.arange(n), y[:, lo:].reshape(-1)]
+def _log_share(score: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log of the target column's share of exp(score) * table; score is overwritten."""
+    score -= table * GRAIN
+    own = score[np.arange(len(score)), target]
     np.exp(score, out=score)
-    total = score @ np.ones(CLASSES, np.float32)
-    return ((target - np.log(total)) * np.float32(np.log10(np.e))).reshape(h.shape[:2])
+    return own - np.log(score @ np.ones(score.shape[1], np.float32))
+
+
+def log_probs(model: Model, h: np.ndarray, context: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log10 P(y) of places with attention h (places, WIDTH) and the two classes before."""
+    p = model.params
+    group, within = y >> 4, y & 15
+    out = _log_share(h @ p["group_out"], model.by_group[context], group)
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        at = order[bounds[g] : bounds[g + 1]]
+        if len(at):
+            out[at] += _log_share(h[at] @ p["class_out"][g], model.by_class[context[at], g], within[at])
+    return out * np.float32(np.log10(np.e))
 
 
 def text_scores(model: Model, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -157,50 +172,68 @@ def text_scores(model: Model, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     context[1:] = x[:-1] * CLASSES
     context[begins] = 0
     context += x
-    p, room = model.params, np.empty((2, BATCH * WINDOW, CLASSES), np.float32)
+    p = model.params
     out = np.zeros(len(sizes))
     more = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
     doc = np.repeat(np.arange(len(sizes)), more)
     turn = np.arange(len(doc)) - np.repeat(np.cumsum(more) - more, more) + 1
     for lo, owner, first in ((0, np.arange(len(sizes)), np.zeros(len(sizes), np.int64)), (WINDOW - STRIDE, doc, turn * STRIDE)):
-        for a in range(0, len(owner), BATCH):
-            d = owner[a : a + BATCH]
+        for a in range(0, len(owner), MANY):
+            d = owner[a : a + MANY]
             size = sizes[d][:, None]
-            width = min(WINDOW, int((size - first[a : a + BATCH, None]).max()))  # short texts need no whole window
-            pos = first[a : a + BATCH, None] + np.arange(width)
+            width = min(WINDOW, int((size - first[a : a + MANY, None]).max()))  # short texts need no whole window
+            pos = first[a : a + MANY, None] + np.arange(width)
             at = begins[d][:, None] + np.minimum(pos, size - 1)
-            found = log_probs(model.trigram, p, context[at], x[at], y[at], lo, room)
-            found[pos[:, lo:] >= size] = 0
-            out += np.bincount(d, weights=found.sum(axis=1, dtype=np.float64), minlength=len(sizes))
+            inputs = x[at]
+            h = np.concatenate([_attend(p, inputs[k : k + BATCH], lo)[4] for k in range(0, len(d), BATCH)])
+            real = pos[:, lo:] < size
+            at = at[:, lo:][real]
+            found = log_probs(model, h[real], context[at], y[at])
+            out += np.bincount(np.broadcast_to(d[:, None], real.shape)[real], weights=found, minlength=len(sizes))
     return out
 
 
-def train(trigram: np.ndarray, start: dict, windows: np.ndarray, rate: float = 0.004, batch: int = 32) -> dict:
+def train(model: Model, start: dict, windows: np.ndarray, rate: float = 0.004, batch: int = 32) -> dict:
     """One pass of Adam over windows of classes (windows, WINDOW + 2); columns 0 and 1 are the classes before the window."""
     p = {k: v.copy() for k, v in start.items()}
     slow, fast = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     windows = windows.astype(np.intp)
     for step, a in enumerate(range(0, len(windows), batch), 1):
         part = windows[a : a + batch]
-        x, y = part[:, 1:-1], part[:, 2:]
+        x, y = part[:, 1:-1], part[:, 2:].reshape(-1)
         context = (part[:, :-2] * CLASSES + x).reshape(-1)
         q, k, v, w, h = _attend(p, x, 0)
         flat = h.reshape(-1, WIDTH)
-        prob = np.exp(np.clip(flat @ p["out"], -LIMIT, LIMIT) - trigram[context] * GRAIN)
-        prob /= prob.sum(axis=1, keepdims=True)
-        prob[np.arange(len(prob)), y.reshape(-1)] -= 1
-        prob /= len(prob)
-        dh = (prob @ p["out"].T).reshape(h.shape)
+        error = _errors(flat @ p["group_out"], model.by_group[context], y >> 4)
+        dh = error @ p["group_out"].T
+        grads = {"group_out": flat.T @ error, "class_out": np.zeros_like(p["class_out"])}
+        for g in range(GROUPS):
+            at = np.flatnonzero(y >> 4 == g)
+            if len(at):
+                error = _errors(flat[at] @ p["class_out"][g], model.by_class[context[at], g], y[at] & 15)
+                dh[at] += error @ p["class_out"][g].T
+                grads["class_out"][g] = flat[at].T @ error
+        scale = np.float32(1 / len(y))
+        dh = dh.reshape(h.shape)
         dv = w.transpose(0, 2, 1) @ dh
         dw = dh @ v.transpose(0, 2, 1)
         da = w * (dw - (w * dw).sum(axis=2, keepdims=True))
         dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        grads = {"out": flat.T @ prob, "query_at": dq.sum(axis=0), "key_at": dk.sum(axis=0)}
+        grads |= {"query_at": dq.sum(axis=0), "key_at": dk.sum(axis=0)}
         for name, g in (("query", dq), ("key", dk), ("value", dv)):
             grads[name] = np.zeros_like(p[name])
             np.add.at(grads[name], x.reshape(-1), g.reshape(-1, WIDTH))
         for name, g in grads.items():
+            g *= scale
             slow[name] += 0.1 * (g - slow[name])
             fast[name] += 0.01 * (g * g - fast[name])
             p[name] -= rate * min(1, step / 10) * (slow[name] / (1 - 0.9**step)) / (np.sqrt(fast[name] / (1 - 0.99**step)) + 1e-6)
     return p
+
+
+def _errors(score: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Shares minus one for the target: the gradient of a softmax over exp(score) * table."""
+    share = np.exp(np.clip(score, -LIMIT, LIMIT) - table * GRAIN)
+    share /= share.sum(axis=1, keepdims=True)
+    share[np.arange(len(share)), target] -= 1
+    return share

@@ -24,6 +24,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: Words with at least N / 2**HEAVY_BITS of N training tokens, and at most WORD_BYTES bytes, are looked up in a broadcast table.
 HEAVY_BITS, WORD_BYTES = 18, 64
-#: Distinct words that a task counts or remembers at once; tokens worked on at once; rare words held before they are sent on.
-WORDS_HELD, TOKENS_HELD, RARE_HELD = 300_000, 1_000_000, 2_000_000
+#: Distinct words that a task counts or remembers at once; words looked up, and tokens worked on, at once; rare words held before they are sent on.
+WORDS_HELD, WORDS_AT_ONCE, TOKENS_HELD, RARE_HELD = 400_000, 50_000, 1_000_000, 2_000_000
 #: One of so many windows is trained on; rounds of averaging; bytes of text for a shard.
 WINDOW_RATE, ROUNDS, SHARD_BYTES = 16, 4, 1 << 24
 #: Characters of a word that are tokenized at once.
@@ -61,6 +62,8 @@ class Subwords:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.size = max(self.ranks.values()) + 1
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.begins_word = np.zeros(self.size + 1, bool)
+        self.begins_word[[k for piece, k in self.ranks.items() if piece[:1] == b" "]] = True
 
     def __call__(self, word: bytes) -> list[int]:
         text = " " + word.decode("utf-8", "replace")
@@ -68,11 +71,18 @@ class Subwords:
             return self.encoding.encode_ordinary(text)
         return list(chain.from_iterable(self.encoding.encode_ordinary(text[k : k + SLICE]) for k in range(0, len(text), SLICE)))
 
-    def begins_word(self) -> np.ndarray:
-        out = np.zeros(self.size + 1, bool)
-        for piece, k in self.ranks.items():
-            out[k] = piece[:1] == b" "
-        return out
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word): all words at once, split where an id begins with a space.
+
+        The same as one by one, which it falls back to where white space at a word's end joins the next one.
+        """
+        if all(len(w) <= SLICE for w in words):
+            ids = np.array(self.encoding.encode_ordinary(" " + b" ".join(words).decode("utf-8", "replace")), np.int32)
+            starts = np.flatnonzero(self.begins_word[ids])
+            if len(starts) == len(words) and starts[0] == 0:
+                return ids, np.diff(starts, append=len(ids))
+        runs = [self(w) for w in words]
+        return np.array(list(chain.from_iterable(runs)), np.int32), np.array(list(map(len, runs)))
 
 
 _subwords: dict[int, Subwords] = {}
@@ -115,9 +125,10 @@ def _count_ids(batches: Iterator[pa.RecordBatch], data: Broadcast) -> Iterator[p
     encode = subwords(data)
     total = np.zeros(encode.size, np.int64)
     for batch in batches:
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for i in encode(word):
-                total[i] += n
+        words = batch.column(0).to_pylist()
+        if words:
+            ids, sizes = encode.many(words)
+            np.add.at(total, ids, np.repeat(batch.column(1).to_numpy(), sizes))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -128,7 +139,7 @@ class Growing:
     def __init__(self, kind: type):
         self.room, self.size = np.zeros(1024, kind), 0
 
-    def extend(self, values: list) -> None:
+    def extend(self, values: list | np.ndarray) -> None:
         size = self.size + len(values)
         if size > len(self.room):
             room = np.zeros(2 * size, self.room.dtype)
@@ -160,19 +171,21 @@ class Lexicon:
         new = list(set(words).difference(slot))
         if new:
             slot.update(zip(new, range(len(slot), len(slot) + len(new)), strict=True))
-            runs = [self.encode(w) for w in new]
-            sizes = list(map(len, runs))
+            ids, sizes = self.encode.many(new)
             self.starts.extend(self.ids.size + np.cumsum(sizes) - sizes)
             self.sizes.extend(sizes)
-            self.ids.extend(list(chain.from_iterable(runs)))
+            self.ids.extend(ids)
             if self.heavy is not None:
                 counts = [self.heavy.get(w, -1) for w in new]
                 self.counts.extend(counts)
                 self.hashes.extend([xxh3_64_intdigest(w) if c < 0 else 0 for w, c in zip(new, counts, strict=True)])
-        return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
+        return np.array(itemgetter(*words)(slot) if len(words) > 1 else [slot[w] for w in words], np.int64)
 
-    def ids_of(self, slots: np.ndarray) -> np.ndarray:
-        return self.ids.room[_runs(self.starts.room[slots], self.sizes.room[slots])]
+    def rows(self, slots: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(ids, ids of each word, and with `heavy` counts, hashes) of some words."""
+        sizes = self.sizes.room[slots]
+        ids = self.ids.room[_runs(self.starts.room[slots], sizes)]
+        return (ids, sizes) if self.heavy is None else (ids, sizes, self.counts.room[slots], self.hashes.room[slots])
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -181,34 +194,45 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int, seen=None) -> Iterator[tuple]:
-    """(batch, rows, ids, sizes, words) for some texts at a time: their ids, each text with its end (the vocabulary's size).
+def _encoded(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int) -> Iterator[tuple]:
+    """(batch, rows, ids, sizes, words, more) for some texts at a time: their ids, each text with its end (the vocabulary's size).
 
-    seen(batch, row, counts, hashes): called with those of a text's words, piece by piece.
+    sizes, words: of each text. more: what the lexicon has beside ids, for each word of all the texts.
     """
     for batch in batches:
-        rows, parts, sizes, words_in, n = [], [], [], [], 0
+        rows, n_words, held, found, total = [], [], [], [], 0
+
+        def look_up(held: list, found: list) -> int:
+            found.append(lexicon.rows(lexicon.slots(held)))
+            held.clear()
+            return len(found[-1][0])
+
+        def whole(rows: list, n_words: list, found: list) -> tuple:
+            ids, sizes, *more = (np.concatenate(x) for x in zip(*found, strict=True))
+            words = np.array(n_words)
+            tokens = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(words)]  # up to each text's end
+            own = np.diff(tokens, prepend=0) + 1
+            out = np.full(len(ids) + len(rows), lexicon.encode.size, np.int32)
+            inside = np.ones(len(out), bool)
+            inside[np.cumsum(own) - 1] = False
+            out[inside] = ids
+            return batch, np.array(rows), out, own, words, more
+
         for r, text in enumerate(batch.column(column)):
-            mine, total = [], 0
-            for words in word_pieces(text.as_py().lower()):
-                if not words:
-                    continue
-                slots = lexicon.slots(words)
-                mine.append(lexicon.ids_of(slots))
-                total += len(words)
-                if seen is not None:
-                    seen(batch, r, lexicon.counts.room[slots], lexicon.hashes.room[slots])
-            mine.append(np.array([lexicon.encode.size], np.int32))
-            parts += mine
-            sizes.append(sum(map(len, mine)))
             rows.append(r)
-            words_in.append(total)
-            n += sizes[-1]
-            if n >= TOKENS_HELD:
-                yield batch, np.array(rows), np.concatenate(parts), np.array(sizes), np.array(words_in)
-                rows, parts, sizes, words_in, n = [], [], [], [], 0
+            n_words.append(0)
+            for words in word_pieces(text.as_py().lower()):
+                held += words
+                n_words[-1] += len(words)
+                if len(held) >= WORDS_AT_ONCE:
+                    total += look_up(held, found)
+            if total >= TOKENS_HELD:
+                look_up(held, found)
+                yield whole(rows, n_words, found)
+                rows, n_words, found, total = [], [], [], 0
         if rows:
-            yield batch, np.array(rows), np.concatenate(parts), np.array(sizes), np.array(words_in)
+            look_up(held, found)
+            yield whole(rows, n_words, found)
 
 
 def _before(y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,17 +245,24 @@ def _before(y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
+def _count(table: np.ndarray, cells: np.ndarray) -> None:
+    """Add one to each cell; sorted first, as the table is larger than the cache."""
+    cells = np.sort(cells.astype(np.int32))
+    new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    table[cells[new]] += np.diff(new, append=len(cells)).astype(table.dtype)
+
+
 def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Broadcast) -> Iterator[pa.RecordBatch]:
     """Trigram cells and (class, known id) cells of this task's texts, by chunks of cells, and windows to train on."""
     m: A.Model = model.value
     cells = np.zeros(A.CLASSES**3, np.uint32)
     given = np.zeros(A.CLASSES * (A.KNOWN + 1), np.uint32)
     turn = 0
-    for _, _, ids, sizes, _ in _encoded(batches, Lexicon(subwords(data)), 0):
+    for _, _, ids, sizes, *_ in _encoded(batches, Lexicon(subwords(data)), 0):
         y = m.class_of[ids].astype(np.int64)
         one, two = _before(y, sizes)
-        np.add.at(cells, (two * A.CLASSES + one) * A.CLASSES + y, 1)
-        np.add.at(given, one * (A.KNOWN + 1) + m.column[ids], 1)
+        _count(cells, (two * A.CLASSES + one) * A.CLASSES + y)
+        _count(given, one * (A.KNOWN + 1) + m.column[ids])
         begins = np.cumsum(sizes) - sizes
         whole = sizes // A.WINDOW  # windows of each text; texts shorter than a window have none
         first = _runs(np.zeros(len(sizes), np.int64), whole) * A.WINDOW + np.repeat(begins, whole)
@@ -269,7 +300,7 @@ def _train(batches: Iterator[pa.RecordBatch], model: Broadcast, step: int) -> It
     if not windows:
         return
     order = np.random.default_rng(step).permutation(len(windows))
-    found = A.train(m.trigram, m.params, np.frombuffer(b"".join(windows), np.uint8).reshape(-1, A.WINDOW + 2)[order], rate=0.004 / (1 + step))
+    found = A.train(m, m.params, np.frombuffer(b"".join(windows), np.uint8).reshape(-1, A.WINDOW + 2)[order], rate=0.004 / (1 + step))
     flat = np.concatenate([*(found[k].astype(np.float64).reshape(-1) for k in A.NAMES), [1.0]]) * len(windows)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
 
@@ -289,7 +320,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, data: Broadcast) -> tuple[A.Mod
     for r in words.mapInArrow(lambda it: _count_ids(it, data), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id
         counts[r.id] = r.n
     counts[-1] = ends
-    model = A.classes(counts, encode.begins_word())
+    model = A.classes(counts, encode.begins_word)
     first = sc.broadcast(model)
     found = stored(texts.mapInArrow(lambda it: _count_classes(it, data, first), "chunk int, data binary"), "classes")
     cells = np.zeros(A.CLASSES**3 + A.CLASSES * (A.KNOWN + 1), np.float32)
@@ -323,18 +354,6 @@ def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast
     rare: list[tuple] = []
     held = 0
 
-    def seen(batch: pa.RecordBatch, r: int, counts: np.ndarray, hashes: np.ndarray) -> None:
-        nonlocal held
-        often = counts >= 0
-        total, n = sums.get(r, (0.0, 0))
-        sums[r] = total + float(np.log10(counts[often] + 1.0).sum()), n + int(often.sum())
-        rest = hashes[~often]
-        if len(rest):
-            number, learned = batch.column(0)[r].as_py(), not batch.column(3)[r].as_py()
-            rare.append((rest, np.full(len(rest), number, np.int64), np.full(len(rest), learned, np.uint8)))
-            held += len(rest)
-
-    sums: dict[int, tuple[float, int]] = {}
     docs: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -358,15 +377,19 @@ def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(words, pa.binary()), pa.array(rows, pa.binary())], ["shard", "words", "rows"])
 
     end = float(np.log10(ends + 1.0))
-    for batch, rows, ids, sizes, n_words in _encoded(batches, Lexicon(subwords(data), heavy), 2, seen):
+    for batch, rows, ids, sizes, n_words, (counts, hashes) in _encoded(batches, Lexicon(subwords(data), heavy), 2):
         y = model.class_of[ids].astype(np.intp)
         one, _ = _before(y, sizes)
         own = A.id_shares(model, ids, one)
-        begins = np.cumsum(sizes) - sizes
-        scores = A.text_scores(model, y, sizes) + np.add.reduceat(own.astype(np.float64), begins)
-        for r, s, n in zip(rows.tolist(), scores.tolist(), n_words.tolist(), strict=True):
-            total, often = sums.pop(r, (0.0, 0))
-            docs.append((batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), bool(batch.column(3)[r].as_py()), n + 1, often + (ends > 0), total + end, s))
+        scores = A.text_scores(model, y, sizes) + np.add.reduceat(own.astype(np.float64), np.cumsum(sizes) - sizes)
+        number, doc_id, out = (np.array(batch.column(k).to_pylist())[rows] for k in (0, 1, 3))
+        often = counts >= 0
+        owner = np.repeat(np.arange(len(rows)), n_words)
+        known = np.bincount(owner[often], minlength=len(rows)) + (ends > 0)
+        total = np.bincount(owner[often], np.log10(counts[often] + 1.0), len(rows)) + end
+        rare.append((hashes[~often], number[owner[~often]], (~out[owner[~often]]).astype(np.uint8)))
+        held += len(rare[-1][0])
+        docs += zip(number.tolist(), doc_id.tolist(), out.tolist(), (n_words + 1).tolist(), known.tolist(), total.tolist(), scores.tolist(), strict=True)
         if held >= RARE_HELD or len(docs) >= RARE_HELD // 10:
             yield from flush()
     if held or docs:
