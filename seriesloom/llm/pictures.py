@@ -12,18 +12,24 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.images import encode_pgm
 
-#: Pixels of a side; rectangles on a picture.
-SIDE, SHAPES = 80, 16
+#: Pixels of a side; rectangles on a picture; the coarser grid of its shading; grey levels of a patch's shading.
+SIDE, SHAPES, GRID, SHADES = 80, 16, 20, 70
 
 
 def picture(vector: list[float] | None) -> np.ndarray:
-    """Overlapping rectangles drawn from a seed that is the vector's digest."""
+    """Overlapping rectangles on an uneven ground, drawn from a seed that is the vector's digest."""
     seed = sha256(np.array(vector or [], np.float32).tobytes()).digest()
     rng = np.random.default_rng(int.from_bytes(seed[:8], "little"))
-    out = np.full((SIDE, SIDE), rng.integers(256), np.uint8)
+    out = np.full((SIDE, SIDE), rng.integers(256), np.int64)
     for y, x, h, w, grey in rng.integers((0, 0, 8, 8, 0), (SIDE - 8, SIDE - 8, 36, 36, 256), (SHAPES, 5)):
         out[y : y + h, x : x + w] = grey
-    return out
+    at = np.linspace(0, GRID - 1, SIDE)
+    low = np.minimum(at.astype(int), GRID - 2)
+    part = at - low
+    coarse = rng.uniform(-SHADES, SHADES, (GRID, GRID))
+    rows = coarse[low] * (1 - part)[:, None] + coarse[low + 1] * part[:, None]
+    shade = rows[:, low] * (1 - part) + rows[:, low + 1] * part
+    return np.clip(out * (255 - 2 * SHADES) / 255 + SHADES + shade, 0, 255).astype(np.uint8)
 
 
 def edited(pixels: np.ndarray, n: int) -> np.ndarray:
