@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: Positions of a window, those scored in a window that continues a text, numbers a head works with.
-WINDOW, STRIDE, WIDTH = 32, 24, 16
+WINDOW, STRIDE, WIDTH = 24, 20, 12
 #: Classes; those that frequent ids have to themselves. Class 0 is the end of a text, the rest share the other ids.
 CLASSES, SINGLE = 256, 215
 #: Groups of classes: class >> 4.
@@ -165,7 +165,7 @@ def text_scores(model: Model, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     once: in a text's first window all of them, in the others the last STRIDE.
     """
     begins = np.cumsum(sizes) - sizes
-    x = np.empty(len(y), np.intp)
+    x = np.empty(len(y), np.int32)
     x[1:] = y[:-1]
     x[begins] = 0
     context = np.empty_like(x)

@@ -45,7 +45,7 @@ PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: Words with at least N / 2**HEAVY_BITS of N training tokens, and at most WORD_BYTES bytes, are looked up in a broadcast table.
 HEAVY_BITS, WORD_BYTES = 18, 64
 #: Distinct words that a task counts or remembers at once; words looked up, and tokens worked on, at once; rare words held before they are sent on.
-WORDS_HELD, WORDS_AT_ONCE, TOKENS_HELD, RARE_HELD = 400_000, 50_000, 1_000_000, 2_000_000
+WORDS_HELD, WORDS_AT_ONCE, TOKENS_HELD, RARE_HELD = 600_000, 50_000, 1_000_000, 2_000_000
 #: One of so many windows is trained on; rounds of averaging; bytes of text for a shard.
 WINDOW_RATE, ROUNDS, SHARD_BYTES = 16, 4, 1 << 24
 #: Characters of a word that are tokenized at once.
@@ -238,16 +238,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int) -
 def _before(y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class before each place and the one before that; 0 before a text's first."""
     begins = np.cumsum(sizes) - sizes
-    one = np.concatenate(([0], y[:-1]))
+    one, two = np.empty_like(y), np.empty_like(y)
+    one[1:] = y[:-1]
     one[begins] = 0
-    two = np.concatenate(([0], one[:-1]))
+    two[1:] = one[:-1]
     two[begins] = 0
     return one, two
 
 
 def _count(table: np.ndarray, cells: np.ndarray) -> None:
     """Add one to each cell; sorted first, as the table is larger than the cache."""
-    cells = np.sort(cells.astype(np.int32))
+    cells = np.sort(cells)
     new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
     table[cells[new]] += np.diff(new, append=len(cells)).astype(table.dtype)
 
@@ -259,7 +260,7 @@ def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Br
     given = np.zeros(A.CLASSES * (A.KNOWN + 1), np.uint32)
     turn = 0
     for _, _, ids, sizes, *_ in _encoded(batches, Lexicon(subwords(data)), 0):
-        y = m.class_of[ids].astype(np.int64)
+        y = m.class_of[ids].astype(np.int32)
         one, two = _before(y, sizes)
         _count(cells, (two * A.CLASSES + one) * A.CLASSES + y)
         _count(given, one * (A.KNOWN + 1) + m.column[ids])
@@ -378,7 +379,7 @@ def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast
 
     end = float(np.log10(ends + 1.0))
     for batch, rows, ids, sizes, n_words, (counts, hashes) in _encoded(batches, Lexicon(subwords(data), heavy), 2):
-        y = model.class_of[ids].astype(np.intp)
+        y = model.class_of[ids].astype(np.int32)
         one, _ = _before(y, sizes)
         own = A.id_shares(model, ids, one)
         scores = A.text_scores(model, y, sizes) + np.add.reduceat(own.astype(np.float64), np.cumsum(sizes) - sizes)
