@@ -125,14 +125,17 @@ def bounded(p: dict) -> dict:
     return p
 
 
-def _attend(p: dict, x: np.ndarray, lo: int) -> tuple[np.ndarray, ...]:
-    """Masked attention of the positions lo.. of each window over themselves and earlier ones."""
+def _attend(p: dict, x: np.ndarray, lo: int, parts: bool = False) -> np.ndarray | tuple[np.ndarray, ...]:
+    """Masked attention of the positions lo.. of each window over themselves and earlier ones; parts: with all that led to it."""
     n = x.shape[1]
     q, k, v = p["query"][x[:, lo:]] + p["query_at"][lo:n], p["key"][x] + p["key_at"][:n], p["value"][x]
     w = q @ k.transpose(0, 2, 1)
     np.exp(np.clip(w, -LIMIT, LIMIT, out=w), out=w)
     w *= MASK[lo:n, :n]
-    w /= w @ np.ones((n, 1), np.float32)
+    total = w @ np.ones((n, 1), np.float32)
+    if not parts:
+        return (w @ v) / total
+    w /= total
     return q, k, v, w, w @ v
 
 
@@ -185,11 +188,15 @@ def text_scores(model: Model, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             pos = first[a : a + MANY, None] + np.arange(width)
             at = begins[d][:, None] + np.minimum(pos, size - 1)
             inputs = x[at]
-            h = np.concatenate([_attend(p, inputs[k : k + BATCH], lo)[4] for k in range(0, len(d), BATCH)])
-            real = pos[:, lo:] < size
-            at = at[:, lo:][real]
-            found = log_probs(model, h[real], context[at], y[at])
-            out += np.bincount(np.broadcast_to(d[:, None], real.shape)[real], weights=found, minlength=len(sizes))
+            h = np.concatenate([_attend(p, inputs[k : k + BATCH], lo) for k in range(0, len(d), BATCH)])
+            real, at = pos[:, lo:] < size, at[:, lo:]
+            whole = np.zeros(real.shape, np.float32)
+            if real.all():
+                whole[:] = log_probs(model, h.reshape(-1, WIDTH), context[at].reshape(-1), y[at].reshape(-1)).reshape(real.shape)
+            else:
+                at = at[real]
+                whole[real] = log_probs(model, h[real], context[at], y[at])
+            out += np.bincount(d, weights=whole.sum(axis=1, dtype=np.float64), minlength=len(sizes))
     return out
 
 
@@ -202,7 +209,7 @@ def train(model: Model, start: dict, windows: np.ndarray, rate: float = 0.004, b
         part = windows[a : a + batch]
         x, y = part[:, 1:-1], part[:, 2:].reshape(-1)
         context = (part[:, :-2] * CLASSES + x).reshape(-1)
-        q, k, v, w, h = _attend(p, x, 0)
+        q, k, v, w, h = _attend(p, x, 0, parts=True)
         flat = h.reshape(-1, WIDTH)
         error = _errors(flat @ p["group_out"], model.by_group[context], y >> 4)
         dh = error @ p["group_out"].T

@@ -23,7 +23,7 @@ import base64
 import json
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -176,9 +176,8 @@ class Lexicon:
             self.sizes.extend(sizes)
             self.ids.extend(ids)
             if self.heavy is not None:
-                counts = [self.heavy.get(w, -1) for w in new]
-                self.counts.extend(counts)
-                self.hashes.extend([xxh3_64_intdigest(w) if c < 0 else 0 for w, c in zip(new, counts, strict=True)])
+                self.counts.extend(list(map(self.heavy.get, new, repeat(-1))))
+                self.hashes.extend(np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new)))
         return np.array(itemgetter(*words)(slot) if len(words) > 1 else [slot[w] for w in words], np.int64)
 
     def rows(self, slots: np.ndarray) -> tuple[np.ndarray, ...]:
