@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Factors by which an image is shrunk; corner spacing; border kept free; least corner strength; tests of a descriptor.
-SCALES, SPACING, BORDER, LEAST, TESTS = (1.0, 1.5, 2.25), 3, 9, 40.0, 256
+SCALES, SPACING, BORDER, LEAST, TESTS = (1.0, 1.5, 2.25), 3, 9, 120.0, 256
 #: Radius of a patch; directions in which the tests are prepared.
 RADIUS, TURNS = 8, 32
 _HEAD = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")

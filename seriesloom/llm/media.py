@@ -1,7 +1,7 @@
 """Cropped or edited copies of images by local descriptors.
 
-Images of equal bytes are one class. Each class is described once. Query
-descriptors and all others meet in Hamming tables: two descriptors within
+Images of equal bytes are one class, known by a digest, and a task describes
+each digest once. Query descriptors and all others meet in Hamming tables: two descriptors within
 BITS - 1 flipped bands agree on one band of BAND bits, and are then compared
 bit by bit. An image matches if at least INLIERS corners agree on one scale,
 turn and shift.
@@ -9,12 +9,13 @@ turn and shift.
 The query set's band keys, hashed, set bits in a filter of a fixed size that
 all tasks get; only descriptors that hit it are shuffled. Votes are counted by
 partial sums, so neither an image nor a descriptor that many rows share is
-gathered in one task.
+gathered in one task. Images themselves are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ from seriesloom.llm.images import decode_pgm, describe
 from seriesloom.runtime import cut
 
 #: Bits of a band; most differing bits of two descriptors; corners that must agree; logarithm of the filter's bits.
-BAND, DISTANCE, INLIERS, FILTER_BITS = 32, 40, 8, 24
+BAND, DISTANCE, INLIERS, FILTER_BITS = 32, 32, 8, 26
 #: Width of a vote's bin: pixels, doublings, turns.
 SHIFT, DOUBLING, TURN = 6.0, 0.6, 0.5
 BANDS = 256 // BAND
-ROW = "key long, id long, corner int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
+ROW = "key long, digest binary, corner int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
 _NAMES = [f.split()[0] for f in ROW.split(", ")]
 
 
@@ -43,24 +44,39 @@ def _places(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def digest_of(image: bytes | None) -> bytes:
+    """16 bytes of SHA-256."""
+    return sha256(image or b"").digest()[:16]
+
+
 def _described(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
+    seen: set[bytes] = set()
     for batch in batches:
-        out: list[list] = [[] for _ in range(11)]
-        for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        out: list[list] = [[] for _ in _NAMES]
+
+        def flush(out: list[list]) -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c)) if k != 1 else pa.array([d for part in c for d in part], pa.binary()) for k, c in enumerate(out)]
+            return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+        for data in batch.column(0):
+            own = digest_of(data.as_py())
+            if own in seen:
+                continue
+            seen.add(own)
             pixels = decode_pgm(data.as_py())
             if pixels is None:
                 continue
             places, descriptors = describe(pixels)
             keys = _keys(descriptors)
             corner, band = np.nonzero(wanted.value[_places(keys)]) if wanted is not None else np.nonzero(np.ones(keys.shape, bool))
-            parts = (keys[corner, band], np.full(len(corner), i), corner.astype(np.int32), *places[corner].T, *descriptors[corner].view(np.int64).T)
+            parts = (keys[corner, band], [own] * len(corner), corner.astype(np.int32), *places[corner].T, *descriptors[corner].view(np.int64).T)
             for column, part in zip(out, parts, strict=True):
                 column.append(part)
             if sum(map(len, out[0])) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], _NAMES)
-                out = [[] for _ in range(11)]
+                yield flush(out)
+                out = [[] for _ in _NAMES]
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], _NAMES)
+            yield flush(out)
 
 
 def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +84,10 @@ def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
         seen[_places(batch.column(0).to_numpy())] = True
-    at = np.flatnonzero(seen)
     chunk = 1 << 16
     for k in range(0, 1 << FILTER_BITS, chunk):
         if seen[k : k + chunk].any():
             yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([np.packbits(seen[k : k + chunk]).tobytes()], pa.binary())], ["chunk", "bits"])
-    del at
 
 
 def _merged_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +101,21 @@ def _merged_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def image_matches(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """(query, id, inliers) of the pairs that show the same picture; both tables have (id long, image binary) with distinct ids.
+    """(query, digest, inliers) of the pairs of image digests that show the same picture; both tables have an `image` column of bytes.
 
     Data that is no readable image has no descriptors and matches nothing.
     """
-    asked = cut(queries.mapInArrow(_described, ROW))
+    asked = cut(queries.select("image").mapInArrow(_described, ROW))
     wanted = np.zeros(1 << FILTER_BITS, bool)
     merged = asked.select("key").mapInArrow(_filter_bits, "chunk int, bits binary").repartition("chunk").mapInArrow(_merged_bits, "chunk int, bits binary")
     for r in merged.toLocalIterator():  # 2**FILTER_BITS bits at most
         wanted[r.chunk << 16 : (r.chunk + 1) << 16] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     shared = images.sparkSession.sparkContext.broadcast(wanted)
-    there = images.mapInArrow(lambda it: _described(it, shared), ROW)
+    there = images.select("image").mapInArrow(lambda it: _described(it, shared), ROW)
     q = asked.select("key", *[F.col(c).alias(f"q_{c}") for c in _NAMES[1:]])
     apart = sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"q_d{k}"))) for k in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
     near = q.join(there, "key").where(apart <= DISTANCE)
-    near = near.select("q_id", "id", "q_corner", "corner", *[c for k in ("x", "y", "scale", "angle") for c in (f"q_{k}", k)]).distinct()
+    near = near.select("q_digest", "digest", "q_corner", "corner", *[c for k in ("x", "y", "scale", "angle") for c in (f"q_{k}", k)]).distinct()
     turn = F.col("angle") - F.col("q_angle")
     turn = F.atan2(F.sin(turn), F.cos(turn))
     grow = F.log2(F.col("scale") / F.col("q_scale"))
@@ -109,18 +123,18 @@ def image_matches(queries: DataFrame, images: DataFrame) -> DataFrame:
     # Where the query's centre would lie: the shift, once turned and scaled.
     sx = F.col("x") - factor * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     sy = F.col("y") - factor * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    votes = near.select("q_id", "id", "q_corner", sx.alias("sx"), sy.alias("sy"), F.round(grow / DOUBLING).alias("g"), F.pmod(F.round(turn / TURN), F.lit(round(6.283185307179586 / TURN))).alias("t"), F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("ox"))
+    votes = near.select("q_digest", "digest", "q_corner", sx.alias("sx"), sy.alias("sy"), F.round(grow / DOUBLING).alias("g"), F.pmod(F.round(turn / TURN), F.lit(round(6.283185307179586 / TURN))).alias("t"), F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("ox"))
     votes = votes.select("*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("oy"))
     bins = [F.floor(F.col("sx") / SHIFT + F.col("ox")).alias("bx"), F.floor(F.col("sy") / SHIFT + F.col("oy")).alias("by")]
-    counted = votes.groupBy("q_id", "id", "g", "t", "ox", "oy", *bins).agg(F.count_distinct("q_corner").alias("n"))
-    return counted.groupBy(F.col("q_id").alias("query"), "id").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
+    counted = votes.groupBy("q_digest", "digest", "g", "t", "ox", "oy", *bins).agg(F.count_distinct("q_corner").alias("n"))
+    return counted.groupBy(F.col("q_digest").alias("query"), "digest").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
 
 
 def image_classes(images: DataFrame) -> DataFrame:
-    """(id, class_id): the smallest id with the same bytes; a null image is a class of its own id."""
-    rows = images.select("id", F.sha2("image", 256).alias("digest"))
+    """(id, digest, class_id): the smallest id with the same bytes; a null image is a class of its own id."""
+    rows = images.select("id", F.substring(F.unhex(F.sha2("image", 256)), 1, 16).alias("digest"))
     least = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"))
-    return rows.join(least, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    return rows.join(least, "digest", "left").select("id", "digest", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def find_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
@@ -129,13 +143,14 @@ def find_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     images and queries: (id long, image binary). Images of equal bytes share
     class_id, their smallest id. `matches`, for an id among the queries, lists
     the classes whose picture its query image shows, ascending with inliers;
-    it is null for other ids and empty for a query without a match.
+    it is null for other ids and empty for a query without a match. Of several
+    query images of one id, all count.
     """
     classes = cut(image_classes(images))
-    heads = classes.where("id = class_id").select("id").distinct()
-    one = images.join(heads, "id", "left_semi").groupBy("id").agg(F.first("image").alias("image"))
-    asked = queries.groupBy("id").agg(F.first("image").alias("image"))
-    found = image_matches(asked, one)
-    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("class_id"), "inliers"))).alias("found"))
-    out = classes.join(asked.select(F.col("id").alias("query"), F.lit(True).alias("asked")), F.col("id") == F.col("query"), "left").join(lists, "query", "left")
+    heads = classes.where("digest is not null").groupBy("digest").agg(F.min("class_id").alias("class_id"))
+    asked = cut(queries.select(F.col("id").alias("query"), F.substring(F.unhex(F.sha2("image", 256)), 1, 16).alias("q_digest")).distinct())
+    found = image_matches(queries, images).withColumnRenamed("query", "q_digest").join(heads, "digest")
+    found = asked.join(found, "q_digest").groupBy("query", "class_id").agg(F.max("inliers").alias("inliers"))
+    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("class_id", "inliers"))).alias("found"))
+    out = classes.join(asked.select("query", F.lit(True).alias("asked")).distinct(), F.col("id") == F.col("query"), "left").join(lists, "query", "left")
     return out.select("id", "class_id", F.when(F.col("asked"), F.coalesce("found", F.array().cast("array<struct<class_id: bigint, inliers: bigint>>"))).alias("matches"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.images import encode_pgm
 
 #: Pixels of a side; rectangles on a picture; the coarser grid of its shading; grey levels of a patch's shading.
-SIDE, SHAPES, GRID, SHADES = 80, 16, 20, 70
+SIDE, SHAPES, GRID, SHADES = 80, 16, 40, 60
 
 
 def picture(vector: list[float] | None) -> np.ndarray:
