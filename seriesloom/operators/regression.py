@@ -126,14 +126,16 @@ def quality(r2: Column) -> Column:
 
 
 def formula(model: Column, a: Column, b: Column, c: Column) -> Column:
-    """The model as text, two decimals."""
+    """The model as text; a line where the quadratic model has no third coefficient."""
     f = lambda pattern, *args: F.format_string(pattern, *args)
+    # Fixed formats, one for each model.
     return (
         F.when(model == "hyperbolic", f("BPP = %.2f + %.2f / PPM", a, b))
         .when(model == "logarithmic", f("BPP = %.2f + %.2f * ln(PPM)", a, b))
-        .when(model == "power", f("BPP = %.2f * PPM^%.2f", a, b))
-        .when(model == "exponential", f("BPP = %.2f * e^(%.4f*PPM)", a, b))
-        .otherwise(f("BPP = %.2f + %.4f*PPM + %.6f*PPM^2", a, b, F.coalesce(c, F.lit(0.0))))
+        .when(model == "power", f("BPP = %.2f * PPM^%.3f", a, b))
+        .when(model == "exponential", f("BPP = %.2f * e^(%.3f * PPM)", a, b))
+        .when(F.coalesce(c, F.lit(0.0)) == 0, f("BPP = %.2f + %.2f*PPM", a, b))
+        .otherwise(f("BPP = %.2f + %.2f*PPM + %.2f*PPM²", a, b, c))
     )
 
 

@@ -542,3 +542,95 @@ def metric_id_hash(spark, d):
     from seriesloom.model import table
 
     return table(spark, d, "events").select(F.col("event_type").alias("name")).distinct().withColumn("id", metric_id(F.col("name")))
+
+
+def _codec(codec: str):
+    def run(spark, d):
+        from seriesloom.sources.blobs import column_bytes
+
+        return column_bytes(event_points(spark, d), codec).select(F.col("metric_name").alias("metric"), F.col("blob_id").alias("blob"), "n", "bytes", "n_mismatch")
+
+    run.__name__ = f"codec_roundtrip_{codec}"
+    return run
+
+
+for _name in ("gorilla", "chimp", "alp"):
+    query()(_codec(_name))
+query(f"WITH {PTS} SELECT metric, blob, count(*) AS n, count(*) * 8 AS bytes, CAST(0 AS BIGINT) AS n_mismatch FROM pts GROUP BY ALL")(_codec("raw"))
+
+
+@query(f"WITH {PTS} SELECT metric, blob, pos, t AS ts, val, tag FROM pts")
+def blob_roundtrip(spark, d):
+    """Points to blobs of bytes, names kept, and back."""
+    from seriesloom.codecs.blob import DELTA_PACKED, Config
+    from seriesloom.codecs.blob import CHIMP as CHIMP_ID
+    from seriesloom.sources.blobs import decode_blobs, encode_blobs
+
+    p = event_points(spark, d)
+    back = decode_blobs(encode_blobs(p, Config(DELTA_PACKED, CHIMP_ID, tags=True, shared=True)))
+    names = p.select("metric_id", "metric_name").distinct()
+    out = back.drop("metric_name").join(names, "metric_id")
+    return out.select(F.col("metric_name").alias("metric"), F.col("blob_id").alias("blob"), *_long("pos"), "ts", "val", "tag")
+
+
+@query(f"WITH {TXT} SELECT metric, blob, pos, t AS ts, val FROM txt")
+def text_blob_roundtrip(spark, d):
+    from seriesloom.codecs.blob import TextConfig
+    from seriesloom.sources.blobs import decode_blobs, encode_blobs
+
+    back = decode_blobs(encode_blobs(user_points(spark, d), TextConfig(), names=True))
+    return back.select(F.col("metric_name").alias("metric"), F.col("blob_id").alias("blob"), *_long("pos"), "ts", F.col("text").alias("val"))
+
+
+@query(f"WITH {TS_BYTES} SELECT blob, 'numeric' AS kind, blob * 86400000000 AS blob_start, count(*) AS n_metrics, CAST(sum(n) AS BIGINT) AS n_points, CAST(32 + 16 * count(*) + sum(delta + 8 * n) AS BIGINT) AS n_bytes FROM tsb GROUP BY blob")
+def blob_headers(spark, d):
+    """Headers of encoded blobs; their sizes are what the size functions say."""
+    from seriesloom.codecs.blob import DELTA, RAW, Config
+    from seriesloom.sources.blobs import blob_headers as headers
+    from seriesloom.sources.blobs import encode_blobs
+
+    h = headers(encode_blobs(event_points(spark, d), Config(DELTA, RAW)))
+    return h.select(F.col("blob_id").alias("blob"), "kind", "blob_start", "n_metrics", "n_points", "n_bytes")
+
+
+@query()
+def encoding_matrix(spark, d):
+    """Bytes per point of all pairs of timestamp and value codecs over the events' daily columns, without and with shared timestamps."""
+    from seriesloom.operators.sizing import encoding_matrix as matrix
+
+    return matrix(event_points(spark, d))
+
+
+@query(
+    f"""WITH {PTS} SELECT blob * 86400000000 AS blob_start, metric, count(*) AS n, min(t) AS first_ts, max(t) AS last_ts, round(sum(val), 4) AS total
+    FROM pts GROUP BY ALL"""
+)
+def streaming_day_blobs(spark, d):
+    """The events as a stream into one blob a day, run to the end over the table as it is."""
+    from seriesloom.streaming.windows import finished_windows
+
+    out = finished_windows(spark, f"{d}/events.parquet")
+    return out.select("blob_start", F.col("metric_name").alias("metric"), "n", "first_ts", "last_ts", F.round("total", 4).alias("total"))
+
+
+@query("SELECT name, n, ts_first, ts_last FROM (VALUES ('cpu.usage', 10, 1000000, 10000000), ('memory.usage', 10, 1000000, 10000000)) AS v(name, n, ts_first, ts_last)")
+def json_import(spark, d):
+    """A document in the column layout, written and read."""
+    import uuid
+
+    from seriesloom.runtime import shared_dir
+    from seriesloom.sources.json import read_columns
+
+    path = f"{shared_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
+    series = [F.struct(F.lit(n).alias("name"), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: (i * 1000).cast("long")).alias("timestamps"), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: i / F.lit(4.0)).alias("values")) for n in ("cpu.usage", "memory.usage")]
+    spark.range(1).select(F.array(*series).alias("metrics")).write.json(path)
+    rows = read_columns(spark, path, "ms")
+    return rows.groupBy(F.col("metric_name").alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("ts").cast("int").alias("ts_first"), F.max("ts").cast("int").alias("ts_last"))
+
+
+@query("SELECT CAST(g AS BIGINT) AS pos, CAST(1700000000000000 + g * 60000000 AS BIGINT) AS ts FROM range(100) AS r(g)")
+def generated_profile(spark, d):
+    """A generated series with regular times."""
+    from seriesloom.sources.generators import profile
+
+    return profile(spark, "regular_scrape_60s", 1, 100).select(*_long("pos"), "ts")
