@@ -40,8 +40,8 @@ from seriesloom.llm.words import word_pieces
 from seriesloom.runtime import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Splits a word before byte pairs are merged: letters, digits, other marks.
-PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Splits a word before byte pairs are merged: letters, digits, other marks, other white space; a space goes with what follows it.
+PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+| ?[^\S ]+| "
 #: Words with at least N / 2**HEAVY_BITS of N training tokens, and at most WORD_BYTES bytes, are looked up in a broadcast table.
 HEAVY_BITS, WORD_BYTES = 18, 64
 #: Distinct words that a task counts or remembers at once; words looked up, and tokens worked on, at once; rare words held before they are sent on.
