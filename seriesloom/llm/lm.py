@@ -21,10 +21,8 @@ from __future__ import annotations
 
 import base64
 import json
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +33,7 @@ from xxhash import xxh3_64_intdigest
 
 from seriesloom.llm import attention as A
 from seriesloom.llm.substrings import NO_ID, _by_key, _packed, _unpacked
-from seriesloom.llm.text import as_bytes
-from seriesloom.llm.words import word_pieces
+from seriesloom.llm.words import lower_words, text_slices
 from seriesloom.runtime import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -44,8 +41,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+| ?[^\S ]+| "
 #: Words with at least N / 2**HEAVY_BITS of N training tokens, and at most WORD_BYTES bytes, are looked up in a broadcast table.
 HEAVY_BITS, WORD_BYTES = 18, 64
-#: Distinct words that a task counts or remembers at once; words looked up, and tokens worked on, at once; rare words held before they are sent on.
-WORDS_HELD, WORDS_AT_ONCE, TOKENS_HELD, RARE_HELD = 600_000, 50_000, 1_000_000, 2_000_000
+#: Distinct words that a task remembers; bytes of text whose words are counted, and scored, at once; rare words held before they are sent on.
+WORDS_HELD, COUNT_BYTES, SLICE_BYTES, RARE_HELD = 500_000, 1 << 24, 1 << 21, 2_000_000
 #: One of so many windows is trained on; rounds of averaging; bytes of text for a shard.
 WINDOW_RATE, ROUNDS, SHARD_BYTES = 16, 4, 1 << 24
 #: Characters of a word that are tokenized at once.
@@ -103,21 +100,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
-
+    """Words with their counts in each run of texts; further summed before the shuffle."""
     for batch in batches:
-        for text in batch.column(0):
-            for words in word_pieces(text.as_py().lower()):
-                counts.update(words)
-                if len(counts) >= WORDS_HELD:
-                    yield flush()
-    if counts:
-        yield flush()
+        for _, texts in text_slices(batch.column(0), COUNT_BYTES):
+            words, numbers, _ = lower_words(texts)
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(numbers, minlength=len(words)))], ["word", "n"])
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch], data: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -165,10 +152,11 @@ class Lexicon:
         self.counts, self.hashes = Growing(np.int64), Growing(np.uint64)
 
     def slots(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words."""
         if len(self.slot) >= WORDS_HELD:
             self.clear()
         slot = self.slot
-        new = list(set(words).difference(slot))
+        new = [w for w in words if w not in slot]
         if new:
             slot.update(zip(new, range(len(slot), len(slot) + len(new)), strict=True))
             ids, sizes = self.encode.many(new)
@@ -178,7 +166,7 @@ class Lexicon:
             if self.heavy is not None:
                 self.counts.extend(list(map(self.heavy.get, new, repeat(-1))))
                 self.hashes.extend(np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new)))
-        return np.array(itemgetter(*words)(slot) if len(words) > 1 else [slot[w] for w in words], np.int64)
+        return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
 
     def rows(self, slots: np.ndarray) -> tuple[np.ndarray, ...]:
         """(ids, ids of each word, and with `heavy` counts, hashes) of some words."""
@@ -199,39 +187,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int) -
     sizes, words: of each text. more: what the lexicon has beside ids, for each word of all the texts.
     """
     for batch in batches:
-        rows, n_words, held, found, total = [], [], [], [], 0
-
-        def look_up(held: list, found: list) -> int:
-            found.append(lexicon.rows(lexicon.slots(held)))
-            held.clear()
-            return len(found[-1][0])
-
-        def whole(rows: list, n_words: list, found: list) -> tuple:
-            ids, sizes, *more = (np.concatenate(x) for x in zip(*found, strict=True))
-            words = np.array(n_words)
-            tokens = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(words)]  # up to each text's end
+        for first, texts in text_slices(batch.column(column), SLICE_BYTES):
+            words, numbers, n_words = lower_words(texts)
+            slots = lexicon.slots(words.cast(pa.binary()).to_pylist())[numbers]
+            ids, sizes, *more = lexicon.rows(slots)
+            tokens = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(n_words)]  # up to each text's end
             own = np.diff(tokens, prepend=0) + 1
-            out = np.full(len(ids) + len(rows), lexicon.encode.size, np.int32)
+            out = np.full(len(ids) + len(texts), lexicon.encode.size, np.int32)
             inside = np.ones(len(out), bool)
             inside[np.cumsum(own) - 1] = False
             out[inside] = ids
-            return batch, np.array(rows), out, own, words, more
-
-        for r, text in enumerate(batch.column(column)):
-            rows.append(r)
-            n_words.append(0)
-            for words in word_pieces(text.as_py().lower()):
-                held += words
-                n_words[-1] += len(words)
-                if len(held) >= WORDS_AT_ONCE:
-                    total += look_up(held, found)
-            if total >= TOKENS_HELD:
-                look_up(held, found)
-                yield whole(rows, n_words, found)
-                rows, n_words, found, total = [], [], [], 0
-        if rows:
-            look_up(held, found)
-            yield whole(rows, n_words, found)
+            yield batch, first + np.arange(len(texts)), out, own, n_words, more
 
 
 def _before(y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +274,7 @@ def _train(batches: Iterator[pa.RecordBatch], model: Broadcast, step: int) -> It
 def fit(docs: DataFrame, doc_id: str, text: str, data: Broadcast) -> tuple[A.Model, dict, int, int, int]:
     """(model, heavy words with their counts, texts, N, V) from the rows outside the held-out fold."""
     sc = docs.sparkSession.sparkContext
-    texts = docs.where(~held_out(F.col(doc_id))).select(as_bytes(F.col(text)).alias("text"))
+    texts = docs.where(~held_out(F.col(doc_id))).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = texts.count()
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -471,7 +437,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     fitted = sc.broadcast((model, heavy, ends))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     shards = max(8, n_bytes // SHARD_BYTES)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), as_bytes(F.col(text)).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
     sent = rows.mapInArrow(lambda it: _score(it, data, fitted, shards), "shard int, words binary, rows binary")
     back = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _rare_counts(it, shards), "bucket int, counts binary, rows binary")
     return back.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _assembled(it, n, v), SCORED)
