@@ -1,10 +1,10 @@
 """Cropped or edited copies of images by local descriptors.
 
 Images of equal bytes are one class, known by a digest, and a task describes
-each digest once. Query descriptors and all others meet in Hamming tables: two descriptors within
-BITS - 1 flipped bands agree on one band of BAND bits, and are then compared
-bit by bit. An image matches if at least INLIERS corners agree on one scale,
-turn and shift.
+each digest once. Query descriptors and all others meet in Hamming tables:
+descriptors that agree on two neighbouring bands of BAND bits are compared bit
+by bit. An image matches if at least INLIERS corners agree on one scale, turn
+and shift.
 
 The query set's band keys, hashed, set bits in a filter of a fixed size that
 all tasks get; only descriptors that hit it are shuffled. Votes are counted by
@@ -35,13 +35,15 @@ _NAMES = [f.split()[0] for f in ROW.split(", ")]
 
 
 def _keys(descriptors: np.ndarray) -> np.ndarray:
-    """(corners, BANDS): the band's number and its bits."""
-    parts = descriptors.view("<u4").reshape(len(descriptors), BANDS).astype(np.int64)
-    return np.arange(BANDS, dtype=np.int64) << BAND | parts
+    """(corners, BANDS): a number for the bits of each two neighbouring bands, the last beside the first."""
+    low = descriptors.view("<u4").reshape(len(descriptors), BANDS).astype(np.uint64)
+    both = low | np.roll(low, -1, axis=1) << np.uint64(BAND)
+    both = (both ^ np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    return (both ^ both >> np.uint64(29)).view(np.int64)
 
 
 def _places(keys: np.ndarray) -> np.ndarray:
-    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def digest_of(image: bytes | None) -> bytes:
