@@ -14,7 +14,7 @@ PROFILES = {"decimal_gauge_2dp": 15, "decimal_gauge_4dp": 15, "counter": 15, "sp
 
 def _grid(spark: SparkSession, metrics: int, points: int) -> DataFrame:
     """(m, pos), a partition's metrics side by side."""
-    return spark.range(metrics).select(F.col("id").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("pos"))
+    return spark.range(metrics).select(F.col("id").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("pos"))
 
 
 def _unit(*keys: Column, seed: int) -> Column:
@@ -25,7 +25,7 @@ def _unit(*keys: Column, seed: int) -> Column:
 def _finish(rows: DataFrame, name: str) -> DataFrame:
     label = F.concat(F.lit(name), (F.col("m") + 1000).cast("string"))
     return rows.select(
-        F.lit("numeric").alias("kind"), F.lit(0).cast("long").alias("blob_id"), F.lit(START).alias("blob_start"), F.lit(0).alias("blob_ord"), metric_id(label).alias("metric_id"), label.alias("metric_name"), "pos", "ts", "val", F.lit("").alias("tag")
+        F.lit("numeric").alias("kind"), F.lit(0).cast("long").alias("blob_id"), F.lit(START).alias("blob_start"), F.lit(0).alias("blob_ord"), metric_id(label).alias("metric_id"), label.alias("metric_name"), F.col("pos").cast("int").alias("pos"), "ts", "val", F.lit("").alias("tag")
     )
 
 
