@@ -127,7 +127,7 @@ def _get_strings(data: bytes, count: int) -> list[str]:
     return out
 
 
-def _ts_bytes(ts: np.ndarray, kind: int, little: bool) -> bytes:
+def timestamp_bytes(ts: np.ndarray, kind: int, little: bool = True) -> bytes:
     return timestamps.encode_raw(ts, little) if kind == RAW else timestamps.encode_delta(ts) if kind == DELTA else timestamps.encode_packed(ts)
 
 
@@ -180,7 +180,7 @@ def encode_numeric(start: int, metrics: list[Metric], config: Config = Config())
     if config.v2:
         metrics = sorted(metrics, key=lambda m: m.ident)
     tagged = config.tags and any(t for m in metrics for t in m.tags or ())
-    ts = [_ts_bytes(np.asarray(m.ts, np.int64), config.ts, little) for m in metrics]
+    ts = [timestamp_bytes(np.asarray(m.ts, np.int64), config.ts, little) for m in metrics]
     val = [value_bytes(np.asarray(m.val, np.float64), config.val, little) for m in metrics]
     tag = [_put_strings(m.tags or [""] * len(m.ts)) if tagged else b"" for m in metrics]
     shared: dict[bytes, list[int]] = {}

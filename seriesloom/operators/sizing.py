@@ -60,7 +60,7 @@ def measured(points: DataFrame, ppms: list[int], ts: str = "delta", val: str = "
     def measure(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_pos")
         times, v = table["ts"].to_numpy().astype(np.int64), table["val"].to_numpy()
-        size = len(B._ts_bytes(times, t_kind, True)) + len(B.value_bytes(v, v_kind))
+        size = len(B.timestamp_bytes(times, t_kind)) + len(B.value_bytes(v, v_kind))
         return pa.table({"ppm": [table["ppm"][0].as_py()], "chunk": [table["chunk"][0].as_py()], "n": [len(v)], "bytes": [size]})
 
     rows = chunks(points, ppms).select("ppm", "chunk", "metric_id", "chunk_pos", "ts", "val")

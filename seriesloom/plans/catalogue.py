@@ -601,6 +601,35 @@ def encoding_matrix(spark, d):
     return matrix(event_points(spark, d))
 
 
+@query()
+def analyze_sizes(spark, d):
+    """All five models of delta and gorilla sizes over the whole set, ranked."""
+    from seriesloom.operators.analysis import analyze
+
+    return analyze(event_points(spark, d))
+
+
+@query()
+def analyze_sizes_each(spark, d):
+    """The same for each day by itself."""
+    from seriesloom.operators.analysis import analyze_each
+
+    return analyze_each(event_points(spark, d))
+
+
+@query(
+    f"""WITH {PTS}, c AS (SELECT blob, ppm, pos // ppm AS chunk, count(DISTINCT metric) AS m, count(*) AS n FROM pts, {"(VALUES (1), (2), (5), (10), (20), (50), (100), (150), (200), (500), (1000), (2000), (5000)) AS l(ppm)"} GROUP BY ALL),
+    k AS (SELECT blob, greatest(1, least(floor(avg(n)), quantile_disc(n, 0.9))) AS cap FROM (SELECT blob, metric, count(*) AS n FROM pts GROUP BY ALL) GROUP BY blob)
+    SELECT blob, CAST(ppm AS BIGINT) AS ppm, CAST(sum(n) AS BIGINT) AS n_points, CAST(sum(32 + 16 * m + 16 * n) AS BIGINT) AS bytes FROM c JOIN k USING (blob) WHERE ppm <= cap GROUP BY ALL"""
+)
+def measured_sizes_each(spark, d):
+    """Bytes of each day's points under raw encoding, re-chunked; lengths of the ladder only."""
+    from seriesloom.operators.analysis import measured_each
+
+    m = measured_each(event_points(spark, d), "raw", "raw").where(F.col("ppm").isin(resample.LADDER))
+    return m.select(F.col("blob_id").alias("blob"), *_long("ppm", "n_points", "bytes"))
+
+
 @query(
     f"""WITH {PTS} SELECT blob * 86400000000 AS blob_start, metric, count(*) AS n, min(t) AS first_ts, max(t) AS last_ts, round(sum(val), 4) AS total
     FROM pts GROUP BY ALL"""

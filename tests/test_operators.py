@@ -240,3 +240,15 @@ def test_ranking_estimates_and_words(spark):
         regression.estimate("power", [1], F.lit(1))
     rec = regression.recommendations(df).first()
     assert (rec.min_acceptable, rec.optimal_start, rec.optimal_end, rec.diminishing_after) == (20.0, None, None, None)
+
+
+def test_analysis_of_a_set_and_of_each_blob(spark):
+    from seriesloom.operators.analysis import analyze, analyze_each
+    from seriesloom.sources.generators import profile
+
+    p = profile(spark, "decimal_gauge_2dp", 3, 60)
+    whole = {r.rank: r for r in analyze(p, "raw", "raw").collect()}
+    assert sorted(whole) == [1, 2, 3, 4, 5] and whole[1].model == "hyperbolic" and whole[1].formula.startswith("BPP = 16.")
+    each = analyze_each(p, "raw", "raw").collect()
+    assert {(r.rank, r.model) for r in each} == {(k, r.model) for k, r in whole.items()}
+    assert analyze(p.limit(0)).count() == 0
