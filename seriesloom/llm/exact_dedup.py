@@ -106,7 +106,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     """
     rows = text_identities(docs, doc_id, text, block_bytes)
     groups = rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row_no")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    shared = groups.where("group_size > 1")  # the other rows need no partner
+    shared = cut(groups.where("group_size > 1"))  # the other rows need no partner; apart from the join, which may then split a large group
     joined = rows.join(shared, ["level", "name"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Mean rows of a bucket.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def numbered(df: DataFrame, group: str, key: str, n_rows: int, number: str = "number", bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -5,11 +5,12 @@ from hashlib import sha256
 import pytest
 
 from seriesloom.llm import warc
+from seriesloom.runtime import cut
 
 
 def pages(spark, n=40):
     rows = [(i, f"http://h/{i}\r\nX: y" if i == 3 else f"http://h/{i}", "<p>é\r\n\r\n" * (i * 37 % 400), "z") for i in range(n)] + [(5, "u", None, "z"), (None, None, "q", "z"), (5, "u", None, "z")]
-    return spark.createDataFrame(rows, "page_id long, url string, html string, record string").repartition(3).localCheckpoint()
+    return cut(spark.createDataFrame(rows, "page_id long, url string, html string, record string").repartition(3))
 
 
 def test_files_round_trip(spark, tmp_path):
