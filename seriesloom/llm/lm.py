@@ -42,7 +42,7 @@ PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+| ?[^\S ]+| "
 #: Words with at least N / 2**HEAVY_BITS of N training tokens, and at most WORD_BYTES bytes, are looked up in a broadcast table.
 HEAVY_BITS, WORD_BYTES = 18, 64
 #: Distinct words that a task remembers; bytes of text whose words are counted, and scored, at once; rare words held before they are sent on.
-WORDS_HELD, COUNT_BYTES, SLICE_BYTES, RARE_HELD = 500_000, 1 << 24, 1 << 21, 2_000_000
+WORDS_HELD, COUNT_BYTES, SLICE_BYTES, RARE_HELD = 500_000, 1 << 24, 1 << 21, 1_000_000
 #: One of so many windows is trained on; rounds of averaging; bytes of text for a shard.
 WINDOW_RATE, ROUNDS, SHARD_BYTES = 16, 4, 1 << 24
 #: Characters of a word that are tokenized at once.

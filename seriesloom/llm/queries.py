@@ -92,6 +92,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op3_chat, op4_lm_scores, op5_media, op6_simhash, op7_exact_dedup, op8_warc, op9_substrings, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {
+    # An escape adds one character for each control string; around a turn's role and text stand 10, 1 and 8 characters.
+    "op3_chat": r"""
+        WITH r AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(10 + length(role) + len(regexp_extract_all(role, '\\|<turn>|</turn>|### |\n')) + 1
+                        + length(text) + len(regexp_extract_all(text, '\\|<turn>|</turn>|### ')) + 8) AS BIGINT) AS formatted_chars
+        FROM r GROUP BY conv_id
+    """,
     "op7_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
