@@ -29,7 +29,7 @@ def test_query(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     if name not in ORACLE_SQL:
         table = {"op5_media": "embeddings"}.get(name, "documents")
-        assert len(rows) == con.sql(f"SELECT count(*) FROM {table}").fetchone()[0]
+        assert len(rows) == con.execute(f"SELECT count(*) FROM {table}").fetchall()[0][0]
         return
     want = con.sql(ORACLE_SQL[name])
     columns = sorted(out.columns)
