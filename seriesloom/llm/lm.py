@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from seriesloom.llm import attention as A
-from seriesloom.llm.substrings import NO_ID, _by_key, _packed, _unpacked
+from seriesloom.llm.substrings import NO_ID, _by_key, _packed, _unpacked, row_bucket, shards_for
 from seriesloom.llm.words import lower_words, text_slices
 from seriesloom.runtime import stored
 
@@ -331,8 +331,8 @@ def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast
         order = np.argsort(shard, kind="stable")
         h, row, train, shard = h[order], row[order], train[order], shard[order]
         mine: dict[int, list] = {}
-        for d in docs:
-            mine.setdefault(d[0] % shards, []).append(d)
+        for b, d in zip(row_bucket([d[0] for d in docs], shards).tolist(), docs, strict=True):
+            mine.setdefault(b, []).append(d)
         docs.clear()
         keys, words, rows = [], [], []
         for s in np.union1d(shard, np.array(list(mine), np.int64)).tolist():
@@ -371,12 +371,12 @@ def _rare_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
     def flush() -> Iterator[pa.RecordBatch]:
         row, count = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
         held.clear()
-        bucket = row % buckets
+        bucket = row_bucket(row, buckets)
         order = np.lexsort((row, bucket))
         row, count, bucket = row[order], count[order], bucket[order]
         mine: dict[int, list] = {}
-        for d in docs:
-            mine.setdefault(d[0] % buckets, []).append(d)
+        for b, d in zip(row_bucket([d[0] for d in docs], buckets).tolist(), docs, strict=True):
+            mine.setdefault(b, []).append(d)
         docs.clear()
         keys, data, rows = [], [], []
         for b in np.union1d(bucket, np.array(list(mine), np.int64)).tolist():
@@ -436,7 +436,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     model, heavy, ends, n, v = fit(docs, doc_id, text, data)
     fitted = sc.broadcast((model, heavy, ends))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
-    shards = max(8, n_bytes // SHARD_BYTES)
+    shards = shards_for(n_bytes, SHARD_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
     sent = rows.mapInArrow(lambda it: _score(it, data, fitted, shards), "shard int, words binary, rows binary")
     back = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _rare_counts(it, shards), "bucket int, counts binary, rows binary")

@@ -41,6 +41,8 @@ WORDS, ANCHOR = 13, 6
 SKETCH_ROWS, MAX_BITS, BYTES_A_COUNTER = 2, 28, 8
 #: Words hashed at once; anchors and windows held before they are sent on; bytes of text for a shard.
 AT_ONCE, ANCHORS_HELD, WINDOWS_HELD, SHARD_BYTES = 400_000, 2_000_000, 1_500_000, 1 << 24
+#: Shards at most: a task's windows are not spread over more of them than it has windows to spare.
+MAX_SHARDS = 1 << 18
 CHUNK_BITS = 16
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
@@ -191,6 +193,15 @@ def repeat_sketch(texts: DataFrame, n_bytes: int, words: int = WORDS, anchor: in
     return bits, sketch
 
 
+def shards_for(n_bytes: int, size: int) -> int:
+    return min(MAX_SHARDS, max(8, n_bytes // size))
+
+
+def row_bucket(row: np.ndarray, n: int) -> np.ndarray:
+    """A bucket for each row number; their leading bits are the partition's, so they are mixed first."""
+    return ((np.asarray(row).astype(np.uint64) * _FACTORS[0] >> _U(32)) % _U(n)).astype(np.int64)
+
+
 def _packed(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns))
 
@@ -233,7 +244,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch, bits: int, shards: in
         shard = (h1 % _U(shards)).astype(np.int64)[sent]
         sent = sent[np.argsort(shard, kind="stable")]
         shard.sort()
-        own = (row % shards)[known]
+        own = row_bucket(row[known], shards)
         known = known[np.argsort(own, kind="stable")]
         own.sort()
         for s in np.union1d(shard, own):
@@ -281,7 +292,7 @@ def _resolved(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
     def flush() -> Iterator[pa.RecordBatch]:
         row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        bucket = row % buckets
+        bucket = row_bucket(row, buckets)
         order = np.lexsort((pos, row, bucket))
         row, pos, bucket = row[order], pos[order], bucket[order]
         bounds = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
@@ -323,7 +334,7 @@ def _ranges(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, anchor: int = ANCHOR) -> DataFrame:
     """(row_no, ranges) of the rows of `docs` with words to remove; row_no is the row's number in the scan."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
-    shards = max(8, n_bytes // SHARD_BYTES)
+    shards = shards_for(n_bytes, SHARD_BYTES)
     bits, sketch = repeat_sketch(docs.select(as_bytes(F.col(text)).alias("text")), n_bytes, words, anchor)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), as_bytes(F.col(text)).alias("text"))
