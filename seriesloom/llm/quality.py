@@ -28,7 +28,7 @@ WIDTH, STEP, FILTERS = 8, 2, 24
 POOL, POOLS, HOP = 16, 16, 14
 #: Places whose answers are in memory at once (a multiple of POOL).
 PLACES = 4096
-PER_CLASS, CHUNKS, EPOCHS = 1500, 24, 6
+PER_CLASS, CHUNKS, EPOCHS = 2500, 24, 8
 THRESHOLD = 0.3
 
 
