@@ -72,16 +72,17 @@ def classes(counts: np.ndarray, begins_word: np.ndarray) -> Model:
 def with_counts(model: Model, trigrams: np.ndarray, given: np.ndarray) -> Model:
     """Tables from corpus counts: trigrams (CLASSES ** 3 cells) and given (CLASSES x KNOWN + 1, the id in a column after a class).
 
-    Absolute discounting: what DISCOUNT takes from each seen cell goes to the next shorter context.
+    Absolute discounting: what is taken from each seen cell goes to the next
+    shorter context, where a cell counts by how many longer ones it is seen in.
     """
     t = trigrams.reshape(CLASSES, CLASSES, CLASSES)
     pairs = t.sum(axis=0, dtype=np.float64)  # (last, next)
-    plain = (pairs.sum(axis=0) + 1.0) / (pairs.sum() + CLASSES)
-    two = _discounted(pairs, plain)
+    plain = ((pairs > 0).sum(axis=0) + 0.5) / ((pairs > 0).sum() + 0.5 * CLASSES)
+    two = _discounted((t > 0).sum(axis=0).astype(np.float64), plain, DISCOUNT - 0.1)
     model.by_group = np.empty((CLASSES * CLASSES, GROUPS), np.uint8)
     model.by_class = np.empty((CLASSES * CLASSES, GROUPS, CLASSES // GROUPS), np.uint8)
     for a in range(CLASSES):
-        p = _discounted(t[a].astype(np.float64), two).reshape(CLASSES, GROUPS, -1)
+        p = _discounted(t[a].astype(np.float64), two, DISCOUNT).reshape(CLASSES, GROUPS, -1)
         whole = p.sum(axis=2, keepdims=True)
         at = slice(a * CLASSES, (a + 1) * CLASSES)
         model.by_group[at] = np.minimum(np.round(-np.log(whole[:, :, 0] / whole.sum(axis=1)) / GRAIN), 255)
@@ -98,9 +99,9 @@ def with_counts(model: Model, trigrams: np.ndarray, given: np.ndarray) -> Model:
     return model
 
 
-def _discounted(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+def _discounted(counts: np.ndarray, shorter: np.ndarray, discount: float) -> np.ndarray:
     kinds = (counts > 0).sum(axis=-1, keepdims=True)
-    return (np.maximum(counts - DISCOUNT, 0) + (DISCOUNT * kinds + 1.0) * shorter) / (counts.sum(axis=-1, keepdims=True) + 1.0)
+    return (np.maximum(counts - discount, 0) + (discount * kinds + 1e-3) * shorter) / (counts.sum(axis=-1, keepdims=True) + 1e-3)
 
 
 def id_shares(model: Model, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
