@@ -1,49 +1,73 @@
 """Cropped or edited copies of images by local descriptors.
 
 Images of equal bytes are one class, known by a digest, and a task describes
-each digest once. Query descriptors and all others meet in Hamming tables:
-descriptors that agree on two neighbouring bands of BAND bits are compared bit
-by bit. An image matches if at least INLIERS corners agree on one scale, turn
-and shift.
-
-The query set's band keys, hashed, set bits in a filter of a fixed size that
-all tasks get; only descriptors that hit it are shuffled. Votes are counted by
-partial sums, so neither an image nor a descriptor that many rows share is
-gathered in one task. Images themselves are never shuffled.
+each digest once. Query descriptors and all others meet in TABLES Hamming
+tables, each keyed by KEY_BITS bits drawn at random: descriptors that agree on
+one table's bits are compared bit by bit. No key finds every pair within
+DISTANCE; tests/llm/test_media.py measures the share against brute force. An
+image matches if at least INLIERS corners agree on one scale, turn and shift.
+
+The tables of CHUNK query descriptors at a time are sent to all tasks, so that
+neither images nor descriptors are shuffled; a pass over the images is made for
+each chunk. A chunk holds all corners of its query images and a batch all of its
+images, so votes are counted where the pairs are found and only matches leave a
+task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.images import decode_pgm, describe
 from seriesloom.runtime import cut
 
-#: Bits of a band; most differing bits of two descriptors; corners that must agree; logarithm of the filter's bits.
-BAND, DISTANCE, INLIERS, FILTER_BITS = 32, 32, 8, 26
+#: Bits of a key; tables; most differing bits of two descriptors; corners that must agree.
+KEY_BITS, TABLES, DISTANCE, INLIERS = 20, 32, 40, 8
+#: Query descriptors sent to the tasks at once; descriptors of a task looked up at once; pairs compared at once.
+CHUNK, AT_ONCE, PAIRS = 1 << 17, 1 << 14, 1 << 18
 #: Width of a vote's bin: pixels, doublings, turns.
 SHIFT, DOUBLING, TURN = 6.0, 0.6, 0.5
-BANDS = 256 // BAND
-ROW = "key long, digest binary, corner int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
+ROW = "digest binary, corner int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
 _NAMES = [f.split()[0] for f in ROW.split(", ")]
+#: The bits of each table's key, from a fixed seed.
+_CHOSEN = np.stack([np.random.default_rng((2025, t)).permutation(256)[:KEY_BITS] for t in range(TABLES)])
 
 
 def _keys(descriptors: np.ndarray) -> np.ndarray:
-    """(corners, BANDS): a number for the bits of each two neighbouring bands, the last beside the first."""
-    low = descriptors.view("<u4").reshape(len(descriptors), BANDS).astype(np.uint64)
-    both = low | np.roll(low, -1, axis=1) << np.uint64(BAND)
-    both = (both ^ np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
-    return (both ^ both >> np.uint64(29)).view(np.int64)
-
-
-def _places(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    """(TABLES, corners): each table's KEY_BITS bits of the descriptors."""
+    bits = np.unpackbits(descriptors.view(np.uint8), axis=1, bitorder="little").T.astype(np.uint32)
+    return np.stack([reduce(lambda key, k: key << np.uint32(1) | bits[k], chosen, np.zeros(len(descriptors), np.uint32)) for chosen in _CHOSEN])
+
+
+def near_pairs(queries: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], descriptors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, descriptor): the numbers of the pairs that meet in a table and differ in at most DISTANCE bits, each once."""
+    found = [np.zeros(0, np.int64)]
+    for (order, ordered), keys in zip(tables, _keys(descriptors), strict=True):
+        low = np.searchsorted(ordered, keys, "left")
+        many = np.searchsorted(ordered, keys, "right") - low
+        ends = np.cumsum(many)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            pair = np.arange(a, min(a + PAIRS, int(ends[-1])))
+            own = np.searchsorted(ends, pair, "right")
+            query = order[low[own] + pair - (ends[own] - many[own])]
+            apart = np.bitwise_count(queries[query] ^ descriptors[own]).sum(axis=1, dtype=np.int64)
+            near = apart <= DISTANCE
+            found.append(query[near] * len(descriptors) + own[near])
+    both = np.unique(np.concatenate(found))
+    return both // max(1, len(descriptors)), both % max(1, len(descriptors))
+
+
+def tables_of(queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table, the queries' numbers by key and their keys, ascending."""
+    return [(order := np.argsort(keys, kind="stable"), keys[order]) for keys in _keys(queries)]
 
 
 def digest_of(image: bytes | None) -> bytes:
@@ -51,15 +75,18 @@ def digest_of(image: bytes | None) -> bytes:
     return sha256(image or b"").digest()[:16]
 
 
-def _described(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
-    for batch in batches:
-        out: list[list] = [[] for _ in _NAMES]
+    out: list[list] = [[] for _ in _NAMES]
 
-        def flush(out: list[list]) -> pa.RecordBatch:
-            columns = [pa.array(np.concatenate(c)) if k != 1 else pa.array([d for part in c for d in part], pa.binary()) for k, c in enumerate(out)]
-            return pa.RecordBatch.from_arrays(columns, _NAMES)
+    def flush() -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) if k else pa.array([d for part in c for d in part], pa.binary()) for k, c in enumerate(out)]
+        for c in out:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, _NAMES)
 
+    held = 0
+    for batch in batches:
         for data in batch.column(0):
             own = digest_of(data.as_py())
             if own in seen:
@@ -69,37 +96,63 @@ def _described(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.Re
             if pixels is None:
                 continue
             places, descriptors = describe(pixels)
-            keys = _keys(descriptors)
-            corner, band = np.nonzero(wanted.value[_places(keys)]) if wanted is not None else np.nonzero(np.ones(keys.shape, bool))
-            parts = (keys[corner, band], [own] * len(corner), corner.astype(np.int32), *places[corner].T, *descriptors[corner].view(np.int64).T)
+            parts = ([own] * len(places), np.arange(len(places), dtype=np.int32), *places.T, *descriptors.view(np.int64).T)
             for column, part in zip(out, parts, strict=True):
                 column.append(part)
-            if sum(map(len, out[0])) > 50_000:
-                yield flush(out)
-                out = [[] for _ in _NAMES]
-        if out[0]:
-            yield flush(out)
+            held += len(places)
+            if held >= AT_ONCE:
+                yield flush()
+                held = 0
+    if held:
+        yield flush()
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter's places that this task's keys set."""
-    seen = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        seen[_places(batch.column(0).to_numpy())] = True
-    chunk = 1 << 16
-    for k in range(0, 1 << FILTER_BITS, chunk):
-        if seen[k : k + chunk].any():
-            yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([np.packbits(seen[k : k + chunk]).tobytes()], pa.binary())], ["chunk", "bits"])
+def _descriptors(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(f"d{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
 
 
-def _merged_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(bits, np.uint8)
-            total[k] = total[k] | part if k in total else part
-    for k, bits in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
+def votes(asked: pa.Table, there: pa.RecordBatch, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a row of asked, a row of there, inliers): a row of each query image and image of which at least INLIERS pairs (q, own) agree.
+
+    Pairs agree on the doublings, the turn and where the query's centre would
+    lie, in one of four grids of bins half a bin apart; a query's corner counts
+    once a bin.
+    """
+    codes = [np.unique(t.column("digest").to_numpy(zero_copy_only=False), return_inverse=True)[1] for t in (asked, there)]
+    image = codes[0][q] * (1 + codes[1].max(initial=0)) + codes[1][own]
+    _, first, image, many = np.unique(image, return_index=True, return_inverse=True, return_counts=True)
+    heads = q[first], own[first]
+    some = many[image] >= INLIERS  # fewer pairs cannot be INLIERS votes
+    q, own, image = q[some], own[some], image[some]
+    (x0, y0, scale0, angle0), (x, y, scale, angle) = ([t.column(c).to_numpy().astype(np.float64)[at] for c in ("x", "y", "scale", "angle")] for t, at in ((asked, q), (there, own)))
+    turn = np.arctan2(np.sin(angle - angle0), np.cos(angle - angle0))
+    factor = scale / scale0
+    # Where the query's centre would lie: the shift, once turned and scaled.
+    sx = x - factor * (np.cos(turn) * x0 - np.sin(turn) * y0)
+    sy = y - factor * (np.sin(turn) * x0 + np.cos(turn) * y0)
+    doublings, turns = np.round(np.log2(factor) / DOUBLING).astype(np.int64), np.round(turn / TURN).astype(np.int64) % round(2 * np.pi / TURN)
+    corner = asked.column("corner").to_numpy()[q]
+    best = np.zeros(len(first), np.int64)
+    for ox in (0.0, 0.5):
+        for oy in (0.0, 0.5):
+            rows = np.stack([image, doublings, turns, np.floor(sx / SHIFT + ox).astype(np.int64), np.floor(sy / SHIFT + oy).astype(np.int64), corner])
+            rows = rows[:, np.lexsort(rows[::-1])]
+            rows = rows[:, np.concatenate((np.ones(min(1, rows.shape[1]), bool), (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]
+            start = np.flatnonzero(np.concatenate((np.ones(min(1, rows.shape[1]), bool), (rows[:5, 1:] != rows[:5, :-1]).any(axis=0))))
+            np.maximum.at(best, rows[0, start], np.diff(start, append=rows.shape[1]))
+    found = best >= INLIERS
+    return heads[0][found], heads[1][found], best[found]
+
+
+def _matched(batches: Iterator[pa.RecordBatch], chunk: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(query, digest, inliers) of the chunk's query images and this task's images; each image is in one batch as a whole."""
+    asked: pa.Table = chunk.value
+    queries = _descriptors(asked)
+    tables = tables_of(queries)
+    for batch in _described(batches):
+        q, own, inliers = votes(asked, batch, *near_pairs(queries, tables, _descriptors(batch)))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([asked.column("digest").take(pa.array(q)).combine_chunks(), batch.column("digest").take(pa.array(own)), pa.array(inliers)], ["query", "digest", "inliers"])
 
 
 def image_matches(queries: DataFrame, images: DataFrame) -> DataFrame:
@@ -107,29 +160,15 @@ def image_matches(queries: DataFrame, images: DataFrame) -> DataFrame:
 
     Data that is no readable image has no descriptors and matches nothing.
     """
-    asked = cut(queries.select("image").mapInArrow(_described, ROW))
-    wanted = np.zeros(1 << FILTER_BITS, bool)
-    merged = asked.select("key").mapInArrow(_filter_bits, "chunk int, bits binary").repartition("chunk").mapInArrow(_merged_bits, "chunk int, bits binary")
-    for r in merged.toLocalIterator():  # 2**FILTER_BITS bits at most
-        wanted[r.chunk << 16 : (r.chunk + 1) << 16] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    shared = images.sparkSession.sparkContext.broadcast(wanted)
-    there = images.select("image").mapInArrow(lambda it: _described(it, shared), ROW)
-    q = asked.select("key", *[F.col(c).alias(f"q_{c}") for c in _NAMES[1:]])
-    apart = sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"q_d{k}"))) for k in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
-    near = q.join(there, "key").where(apart <= DISTANCE)
-    near = near.select("q_digest", "digest", "q_corner", "corner", *[c for k in ("x", "y", "scale", "angle") for c in (f"q_{k}", k)]).distinct()
-    turn = F.col("angle") - F.col("q_angle")
-    turn = F.atan2(F.sin(turn), F.cos(turn))
-    grow = F.log2(F.col("scale") / F.col("q_scale"))
-    factor = F.col("scale") / F.col("q_scale")
-    # Where the query's centre would lie: the shift, once turned and scaled.
-    sx = F.col("x") - factor * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    sy = F.col("y") - factor * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    votes = near.select("q_digest", "digest", "q_corner", sx.alias("sx"), sy.alias("sy"), F.round(grow / DOUBLING).alias("g"), F.pmod(F.round(turn / TURN), F.lit(round(6.283185307179586 / TURN))).alias("t"), F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("ox"))
-    votes = votes.select("*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("oy"))
-    bins = [F.floor(F.col("sx") / SHIFT + F.col("ox")).alias("bx"), F.floor(F.col("sy") / SHIFT + F.col("oy")).alias("by")]
-    counted = votes.groupBy("q_digest", "digest", "g", "t", "ox", "oy", *bins).agg(F.count_distinct("q_corner").alias("n"))
-    return counted.groupBy(F.col("q_digest").alias("query"), "digest").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
+    asked = cut(queries.select("image").mapInArrow(_described, ROW).dropDuplicates(["digest", "corner"]))
+    chunks = max(1, -(-asked.count() // CHUNK))
+    parts = []
+    for k in range(chunks):
+        rows = asked.where(F.pmod(F.xxhash64("digest"), F.lit(chunks)) == k).toArrow()  # about CHUNK rows of 68 bytes
+        shared = images.sparkSession.sparkContext.broadcast(rows)
+        parts.append(cut(images.select("image").mapInArrow(lambda it, shared=shared: _matched(it, shared), "query binary, digest binary, inliers long")))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, parts).groupBy("query", "digest").agg(F.max("inliers").alias("inliers"))  # tasks may share a digest
 
 
 def image_classes(images: DataFrame) -> DataFrame:

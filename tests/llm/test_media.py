@@ -3,7 +3,7 @@
 import numpy as np
 
 from seriesloom.llm.images import decode_pgm, describe, encode_pgm
-from seriesloom.llm.media import find_copies
+from seriesloom.llm.media import DISTANCE, find_copies, near_pairs, tables_of
 from seriesloom.llm.pictures import SIDE, drawn, edited, picture
 
 
@@ -51,3 +51,43 @@ def test_unreadable_images_match_nothing(spark):
     assert [m.class_id for m in out[3].matches] == [3]
     assert find_copies(rows.limit(0), rows.limit(0)).count() == 0
     assert SIDE > 0
+
+
+def _scaled(p, factor):
+    at = np.minimum(np.arange(int(len(p) * factor)) / factor, len(p) - 1)
+    low = np.minimum(at.astype(int), len(p) - 2)
+    part = at - low
+    rows = p[low] * (1 - part)[:, None] + p[low + 1] * part[:, None]
+    return (rows[:, low] * (1 - part) + rows[:, low + 1] * part).astype(np.uint8)
+
+
+def test_tables_find_what_brute_force_finds():
+    noise = np.random.default_rng(5)
+    edits = {
+        "crop": (0.9, lambda p, i: edited(p, i)),
+        "turn": (0.9, lambda p, i: np.rot90(p).copy()),
+        "noise": (0.9, lambda p, i: np.clip(p + noise.normal(0, 8, p.shape), 0, 255).astype(np.uint8)),
+        "larger": (0.75, lambda p, i: _scaled(p, 1.2)),
+        "smaller": (0.75, lambda p, i: _scaled(p, 0.75)),
+    }
+    pictures = [picture([float(i)]) for i in range(20)]
+    for name, (least, edit) in edits.items():
+        met = whole = 0
+        for i, p in enumerate(pictures):
+            there, asked = describe(p)[1], describe(edit(p, i))[1]
+            apart = np.bitwise_count(asked[:, None] ^ there[None]).sum(axis=2)
+            query, own = near_pairs(asked, tables_of(asked), there)
+            assert (apart[query, own] <= DISTANCE).all()
+            met, whole = met + len(query), whole + (apart <= DISTANCE).sum()
+        assert met >= least * whole, name
+
+
+def test_turned_scaled_and_noisy_copies_are_found(spark):
+    pictures = [picture([float(i)]) for i in range(30)]
+    images = spark.createDataFrame([(i, bytearray(encode_pgm(p))) for i, p in enumerate(pictures)], "id long, image binary")
+    noise = np.random.default_rng(6)
+    for edit in (lambda p: np.rot90(p).copy(), lambda p: _scaled(p, 1.5), lambda p: np.clip(p + noise.normal(0, 8, p.shape), 0, 255).astype(np.uint8)):
+        queries = spark.createDataFrame([(i, bytearray(encode_pgm(edit(p)))) for i, p in enumerate(pictures)], images.schema)
+        out = {r.id: [m.class_id for m in r.matches] for r in find_copies(images, queries).collect()}
+        assert sum(i in m for i, m in out.items()) >= 25
+        assert sum(m != i for i, found in out.items() for m in found) <= 1
