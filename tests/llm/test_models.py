@@ -175,3 +175,8 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(1 for i, _, y in rows if not y and i in seen) <= 3
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in final) == sorted(seen)
+
+
+def test_attention_sees_eight_earlier_classes_or_more():
+    assert A.WINDOW >= 32 and A.WIDTH >= 16
+    assert A.WINDOW - A.STRIDE >= 8
