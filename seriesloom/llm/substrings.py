@@ -86,7 +86,7 @@ class Run:
             least = np.minimum(least[: len(least) - more], least[more:])
             reach += more
         first = valid.copy()
-        first[1:] &= (least[1:] != least[:-1]) | (self.row[1:] != self.row[:-1])
+        first[1:] &= (least[1:] != least[:-1]) | (self.row[1:] != self.row[:-1]) | ~valid[:-1]  # two parts of a text may lie side by side
         self.valid, self.first = valid, first
         self.anchors = _mixed(least[first] + _U(1))
 

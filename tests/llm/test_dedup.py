@@ -209,3 +209,22 @@ def test_runs_are_independent_of_their_size(monkeypatch):
 
 def test_no_texts(spark):
     assert W.remove_repeats(docs(spark, ROWS).limit(0)).count() == 0
+
+
+def test_parts_of_one_text_have_all_their_anchors(monkeypatch):
+    import pyarrow as pa
+
+    import seriesloom.llm.words as words
+
+    monkeypatch.setattr(words, "PIECE", 100)
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        text = " ".join(f"w{k}" for k in rng.integers(0, 10**6, 120))
+        (whole,) = W._runs(pa.array([text.encode()]), 13, 5)
+        n_parts = len(list(words.word_pieces(text.encode())))
+        assert n_parts > 3
+        monkeypatch.setattr(words, "PIECE", 1 << 22)
+        (plain,) = W._runs(pa.array([text.encode()]), 13, 5)
+        monkeypatch.setattr(words, "PIECE", 100)
+        expected, own = ({int(p): int(a) for p, a in zip(r.pos[r.valid], r.anchors[np.cumsum(r.first) - 1][r.valid], strict=True)} for r in (plain, whole))
+        assert own == expected
