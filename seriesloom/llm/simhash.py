@@ -15,6 +15,9 @@ all of its 64 distances exceed the radius.
 A bucket with more than TILE fingerprints is dealt out as pairs of chunks, each
 a small task of its own. A task emits a spanning forest of its links, never all
 pairs. Equal fingerprints are one node; copies are not compared.
+
+The pipeline's near-dedup, keep_dissimilar, uses no fingerprints: it compares
+sets of shingles.
 """
 
 from __future__ import annotations
