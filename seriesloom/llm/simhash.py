@@ -16,8 +16,7 @@ A bucket with more than TILE fingerprints is dealt out as pairs of chunks, each
 a small task of its own. A task emits a spanning forest of its links, never all
 pairs. Equal fingerprints are one node; copies are not compared.
 
-The pipeline's near-dedup, keep_dissimilar, uses no fingerprints: it compares
-sets of shingles.
+near.py compares with the same planes at a wider radius, and then in full.
 """
 
 from __future__ import annotations
@@ -33,11 +32,9 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.text import as_bytes
-from seriesloom.runtime import cut, stored
+from seriesloom.runtime import cut
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
-#: Of keep_dissimilar: words of a shingle; Jaccard similarity of near-duplicates at least, in hundredths.
-KEEP_WORDS, KEEP_PERCENT = 5, 80
 #: Largest chunk of a bucket; mean bucket size of a table of random fingerprints at most; pairs (query, word) compared at once.
 TILE, BUCKET, SLICE = 8192, 2048, 1 << 16
 #: Planes added between two looks for words to abandon; shingles counted at once.
@@ -259,51 +256,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = connected_components(links)
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that are the smallest doc_id of their component (rows without doc_id stay)."""
-    kept = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
-
-
-def shingle_set(text: bytes, words_each: int = KEEP_WORDS) -> np.ndarray:
-    """Ascending distinct XXH64 values of a text's shingles; a shorter text is one shingle, an empty one too."""
-    words = text.lower().split()
-    found = {xxhash.xxh64_intdigest(b" ".join(words[k : k + words_each]), SEED) for k in range(max(1, len(words) - words_each + 1))}
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
-            sets = [shingle_set(t.as_py(), words_each).view(np.int64) for t in part.column(1)]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
-
-
-def similar_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = KEEP_WORDS, percent: int = KEEP_PERCENT) -> DataFrame:
-    """(a, b): all pairs of doc_ids, a < b, whose sets of shingles have a Jaccard similarity of at least percent / 100.
-
-    None is missed: of two such sets in one order, the first (1 - percent / 100)
-    of each, and one more, have a shingle in common. The pairs that meet in one
-    and are of fitting sizes are compared in full.
-    """
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(F.col(text)).alias("text"))
-    sets = stored(rows.mapInArrow(lambda it: _shingle_sets(it, words_each), "doc_id long, shingles array<long>"), "shingles").withColumn("n", F.size("shingles").cast("long"))
-    # Ceilings in whole numbers: of percent / 100 * n, and of what two sets of n and m must share.
-    prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    heads = sets.select("doc_id", "n", F.posexplode(F.slice("shingles", F.lit(1), prefix.cast("int"))).alias("at", "shingle"))
-    a, b = (heads.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "at")]) for side in "ab")
-    least = F.expr(f"((n_a + n_b) * {percent} + {99 + percent}) div {100 + percent}")
-    met = a.join(b, "shingle").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least))
-    pairs = met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"), F.col("n").alias("n_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"), F.col("n").alias("n_b")), "b")
-    return both.where(F.size(F.array_intersect("s_a", "s_b")) >= least).select("a", "b").distinct()
-
-
-def keep_dissimilar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = KEEP_WORDS, percent: int = KEEP_PERCENT) -> DataFrame:
-    """The rows of `docs` that are the smallest doc_id of their component of similar_pairs (rows without doc_id stay)."""
-    gone = connected_components(similar_pairs(docs, doc_id, text, words_each, percent)).where("component < node").select(F.col("node").alias("__gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
