@@ -1,158 +1,158 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are grouped into blocks. With weight w (the weights sum to
-one), block k of a source is released at floor(k / w) and due at
-ceil((k + 1) / w), in slots; in each slot the released block with the earliest
-deadline runs. Every source is then always less than one block away from w * t
-after t slots.
-
-Weights are multiples of 1 / SLOTS, so the schedule repeats every SLOTS slots:
-one period is worked out on the driver (its size does not depend on the data)
-and a row finds its slot by an equi-join with that table. When a source has no
-full share of a period left, the rest is scheduled with the weights of the
-sources that remain, so each row is placed exactly once.
+Rows of a source are grouped into blocks. The target is a fluid schedule: at
+every instant the sources that have rows left share a slot in proportion to
+their weights. Block k of a source may run from the slot in which the target
+begins it (its release) and must run by the end of the slot in which the target
+completes it (its deadline); in each slot the released block with the earliest
+deadline runs. Every source is then always less than one block away from the
+target, from the first slot to the last, also after others have ended.
+
+The target in closed form: let V grow so that a source with weight w has run
+min(blocks, w * V) blocks. Slot t(V) is the sum of these over all sources, so
+block k of a source begins at t(k / w) and ends at t((k + 1) / w). Weights are
+whole numbers here, exactly those given, and so is all that follows: nothing is
+rounded and no error adds up, however many slots there are.
+
+The schedule, one row for each block (not row) of the corpus, is worked out by
+one task that holds a number a source and streams it to the shared folder; the
+rows then find their slots by an equi-join.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.ranks import numbered
-from seriesloom.runtime import cut
-
-#: Rows of a block; slots of a period (more if there are more sources).
-BLOCK_ROWS, SLOTS = 16, 1000
-
-
-def shares(weights: dict, slots: int = SLOTS) -> dict:
-    """Whole slots of a period for each source: at least one each, and `slots` in all (largest remainders)."""
-    if not weights:
-        return {}
-    slots = max(slots, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * slots for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (exact[s] - int(exact[s]), str(s)), reverse=True)
-    while (rest := slots - sum(out.values())) != 0:
-        for s in order if rest > 0 else sorted(out, key=lambda s: (exact[s] - out[s], str(s))):
-            if rest > 0 or out[s] > 1:
-                out[s] += 1 if rest > 0 else -1
-                rest += -1 if rest > 0 else 1
-            if rest == 0:
-                break
-    return out
-
-
-def pfair(per_period: dict) -> list:
-    """The source that runs in each slot of one period: released blocks, earliest deadline first."""
-    period = sum(per_period.values())
-    rank = {s: i for i, s in enumerate(sorted(per_period, key=lambda s: (s is None, str(s))))}
-    # Block k of a source with n of the period's slots: [floor(k * period / n), ceil((k + 1) * period / n)).
-    waiting = [(0, rank[s], 0, s) for s in per_period]  # release, tie, block, source
+from seriesloom.runtime import cut, stored
+
+#: Rows of a block; slots written at once.
+BLOCK_ROWS, SLOTS_AT_ONCE = 16, 1 << 16
+
+
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratio of the weights, which are above zero."""
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*(x.denominator for x in exact)) if exact else 1
+    return [int(x * unit) for x in exact]
+
+
+class Target:
+    """The fluid schedule of sources with `blocks` blocks each and whole weights."""
+
+    def __init__(self, blocks: list[int], weights: list[int]):
+        self.weights = weights
+        order = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], weights[s]))
+        #: When sources end, in V; from then on, the blocks of those that ended and the weight of the others.
+        self.ends, self.done, self.active = [], [0], [sum(weights)]
+        for s in order:
+            self.ends.append(Fraction(blocks[s], weights[s]))
+            self.done.append(self.done[-1] + blocks[s])
+            self.active.append(self.active[-1] - weights[s])
+
+    def window(self, s: int, k: int, segment: int) -> tuple[int, int, int]:
+        """(release, deadline, segment of the deadline) of block k; segment: one that k / w does not lie before."""
+        w = self.weights[s]
+        at = self._segment(k, w, segment)
+        due = self._segment(k + 1, w, at)
+        return self.done[at] + self.active[at] * k // w, self.done[due] - (-self.active[due] * (k + 1) // w), due
+
+    def _segment(self, k: int, w: int, at: int) -> int:
+        if at < len(self.ends) and k * self.ends[at].denominator > self.ends[at].numerator * w:
+            return bisect_right(self.ends, Fraction(k, w), at)
+        return at
+
+
+def pfair(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, its block) of each slot: released blocks, earliest deadline first."""
+    target = Target(blocks, weights)
+    waiting = []  # (release, deadline, source, block, segment)
+    for s, n in enumerate(blocks):
+        if n:
+            release, due, segment = target.window(s, 0, 0)
+            waiting.append((release, due, s, 0, segment))
     heapq.heapify(waiting)
-    ready: list = []
-    out = []
-    for slot in range(period):
+    ready: list = []  # (deadline, source, block, segment)
+    slot = 0
+    while waiting or ready:
         while waiting and waiting[0][0] <= slot:
-            _, tie, k, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // per_period[s]), tie, k, s))
-        due, tie, k, s = heapq.heappop(ready)
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        due, s, k, segment = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
-        out.append(s)
-        if k + 1 < per_period[s]:
-            heapq.heappush(waiting, ((k + 1) * period // per_period[s], tie, k + 1, s))
-    return out
-
-
-@dataclass
-class Phase:
-    """`periods` periods of `pattern`, from slot `start`; first[s]: blocks of s that ran before."""
-
-    pattern: list
-    share: dict
-    periods: int
-    start: int
-    first: dict
-
-
-def plan(blocks: dict, weights: dict, slots: int = SLOTS) -> list[Phase]:
-    """Phases that place every block: each lasts until a source has no full share of a period left.
-
-    The last blocks of a source, less than a share, are spread over one more
-    period as if its weight were its number of blocks.
-    """
-    left, start, phases = {s: n for s, n in blocks.items() if n > 0}, 0, []
-    done = dict.fromkeys(blocks, 0)
-    while left:
-        share = shares({s: weights[s] for s in left}, slots)
-        periods = min(left[s] // share[s] for s in left)
-        if periods == 0:  # some source ends inside this period
-            share = {s: min(n, left[s]) for s, n in share.items()}
-            periods = 1
-        phases.append(Phase(pfair(share), share, periods, start, {s: done[s] for s in left}))
-        start += periods * sum(share.values())
-        for s, n in share.items():
-            done[s] += n * periods
-            left[s] -= n * periods
-        left = {s: n for s, n in left.items() if n}
-    return phases
-
-
-def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, block, slot, position: one row per input row, no text read.
-
-    weights: source to weight; a source without one gets the smallest given.
-    Without weights a source weighs the square root of its rows. A null source
-    is a source of its own. `position` is the row's place in the mixed order,
-    0, 1, ... (the last block of a source may have fewer rows than the others).
-    Repeated and null doc_ids are rows like any other; an empty table gives an
-    empty result. The number of sources, not of rows, bounds what the driver
-    holds.
+        yield s, k
+        slot += 1
+        if k + 1 < blocks[s]:
+            release, due, segment = target.window(s, k + 1, segment)
+            if release <= slot:
+                heapq.heappush(ready, (due, s, k + 1, segment))
+            else:
+                heapq.heappush(waiting, (release, due, s, k + 1, segment))
+
+
+def _schedule(batches: Iterator[pa.RecordBatch], sizes: list[int], weights: list[int], block_rows: int) -> Iterator[pa.RecordBatch]:
+    """(number of the source, block, slot, first: rows before the slot)."""
+    out: list[list[int]] = [[], [], [], []]
+    names = ["s", "k", "slot", "first"]
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], names)
+        for c in out:
+            c.clear()
+        return batch
+
+    for batch in batches:
+        for _ in range(batch.num_rows):  # one row
+            first = 0
+            for slot, (s, k) in enumerate(pfair([-(-n // block_rows) for n in sizes], weights)):
+                for c, x in zip(out, (s, k, slot, first), strict=True):
+                    c.append(x)
+                first += min(block_rows, sizes[s] - k * block_rows)
+                if len(out[0]) >= SLOTS_AT_ONCE:
+                    yield flush()
+    if out[0]:
+        yield flush()
+
+
+def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """row_no, doc_id, source, block, slot, position: one row per input row, no text read.
+
+    weights: source to weight; a source without one above zero gets the
+    smallest given. Without weights a source weighs the square root of its
+    rows. A null source is a source of its own. `position` is the row's place
+    in the mixed order, 0, 1, ... (the last block of a source may have fewer
+    rows than the others). Repeated and null doc_ids are rows like any other;
+    an empty table gives an empty result. row_no is the row's number in the
+    scan of `docs`. The driver holds a number for each source, not for rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
-    sizes = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}
-    total = sum(sizes.values())
-    if weights is None:
-        weights = {s: n**0.5 for s, n in sizes.items()}
-    least = min([w for w in weights.values() if w > 0], default=1.0)
-    weights = {s: w if (w := weights.get(s, 0)) > 0 else least for s in sizes}
-    phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, weights, slots)
     spark = docs.sparkSession
-    pattern, spans, lost = [], [], 0
-    for p, phase in enumerate(phases):
-        # A source's last block, which may be short, runs in the last period of a phase; every slot after it begins that many rows sooner.
-        seen, short = dict.fromkeys(phase.share, 0), 0
-        for at, s in enumerate(phase.pattern):
-            pattern.append((p, s, seen[s], at, lost, lost + short))
-            seen[s] += 1
-            if phase.first[s] + phase.share[s] * (phase.periods - 1) + seen[s] == -(-sizes[s] // block_rows):
-                short += -sizes[s] % block_rows
-        spans += [(p, s, phase.first[s], phase.first[s] + phase.share[s] * phase.periods, phase.share[s], phase.periods - 1, phase.start, len(phase.pattern)) for s in phase.share]
-        lost += short
-    span = spark.createDataFrame(spans, "phase int, s string, lo long, hi long, share long, last long, start long, period long")
-    places = spark.createDataFrame(pattern, "p int, s string, r long, at long, lost long, lost_at_last long")
-    by = numbered(rows.withColumn("source", F.col("source").cast("string")), "source", "doc_id", total)
-    by = by.withColumn("block", F.floor(F.col("number") / block_rows))
-    held = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))
-    placed = by.join(F.broadcast(span), held).drop("s")  # sources * phases rows
-    placed = placed.withColumn("turn", (F.col("block") - F.col("lo")) % F.col("share")).withColumn("round", F.floor((F.col("block") - F.col("lo")) / F.col("share")))
-    placed = placed.join(F.broadcast(places), (F.col("phase") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("turn") == F.col("r")))  # slots * phases rows
-    placed = placed.withColumn("slot", F.col("start") + F.col("round") * F.col("period") + F.col("at"))
-    gone = F.when(F.col("round") == F.col("last"), F.col("lost_at_last")).otherwise(F.col("lost"))
-    position = F.col("slot") * block_rows + F.col("number") % block_rows - gone
-    return placed.select("doc_id", "source", "block", "slot", position.alias("position"))
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source")), "sources")
+    counted = sorted(((r.source, r["count"]) for r in rows.groupBy("source").count().collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    sizes = [n for _, n in counted]
+    given = {None if k is None else str(k): w for k, w in (weights or {}).items() if w > 0}
+    least = min(given.values(), default=1.0)
+    exact = whole_weights([n**0.5 if weights is None else given.get(s, least) for s, n in counted])
+    plan = stored(spark.range(0, 1, 1, 1).mapInArrow(lambda it: _schedule(it, sizes, exact, block_rows), "s int, k long, slot long, first long"), "schedule")
+    names = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(counted)], "name string, s int")
+    plan = plan.join(F.broadcast(names), "s")  # a row a source, as the driver holds them
+    by = numbered(rows, "source", "doc_id", "row_no", sum(sizes)).withColumn("block", F.floor(F.col("number") / block_rows))
+    placed = by.join(plan, F.col("source").eqNullSafe(F.col("name")) & (F.col("block") == F.col("k")))
+    return placed.select("row_no", "doc_id", "source", "block", "slot", (F.col("first") + F.col("number") % block_rows).alias("position"))
 
 
 def mixed_rows(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of `docs`, each once, in mixed order: range-partitioned and sorted by position.
 
-    Rows of one doc_id take its first position.
+    `docs` must be a stored table: it is read more than once.
     """
-    order = cut(mix(docs, weights, doc_id, source).groupBy("doc_id").agg(F.min("position").alias("__position")))
-    rows = docs.join(order.withColumnRenamed("doc_id", "__id"), F.col(doc_id).eqNullSafe(F.col("__id"))).drop("__id")
+    order = cut(mix(docs, weights, doc_id, source).select(F.col("row_no").alias("__row_no"), F.col("position").alias("__position")))
+    rows = docs.withColumn("__row_no", F.monotonically_increasing_id()).join(order, "__row_no").drop("__row_no")
     return rows.repartitionByRange(F.col("__position")).sortWithinPartitions("__position").drop("__position")

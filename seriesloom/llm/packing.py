@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.ranks import numbered
+from seriesloom.runtime import stored
 
 #: Buckets, tokens of a batch.
 BUCKETS, BUDGET = 16, 65_536
@@ -76,9 +77,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
     has max(1, budget // padded_length) places; only a text longer than the
     budget is a batch beyond it, alone. Empty and null texts have length 0 and
     are padded to their bucket's boundary like any other. Repeated and null
-    doc_ids are rows like any other; an empty table gives an empty result.
+    doc_ids are rows like any other, each with a place of its own; rows of one
+    doc_id and bucket take their places by row number in the scan. An empty
+    table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (n_words(F.col(text)) if length is None else length.cast("long")).alias("n_tokens"))
+    words = n_words(F.col(text)) if length is None else length.cast("long")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), words.alias("n_tokens")), "lengths")  # texts are read once
     histogram = sorted(rows.groupBy(bin_end(F.col("n_tokens")).alias("end")).agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("top")).collect())
     tops = np.array([r.top for r in histogram], np.int64)  # a bin's longest row
     counts = np.array([r.n for r in histogram], np.int64)
@@ -89,7 +93,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
         bucket, padded = F.when(fits, F.lit(i)).otherwise(bucket), F.when(fits, F.lit(bound).cast("long")).otherwise(padded)
     held = rows.withColumns({"bucket": bucket, "padded_length": padded})
     held = held.withColumn("places", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1)))))
-    ranked = numbered(held, "bucket", "doc_id", int(counts.sum()))
+    ranked = numbered(held, "bucket", "doc_id", "row_no", int(counts.sum()))
     return ranked.select(
         "doc_id",
         "n_tokens",

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents"))
+    return mix(_table(spark, sf_dir, "documents")).drop("row_no")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

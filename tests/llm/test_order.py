@@ -1,12 +1,18 @@
 """Mixing and packing."""
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from seriesloom.llm.mixing import mix, mixed_rows, pfair, plan, shares
-from seriesloom.llm.packing import boundaries, pack
+from seriesloom.llm.mixing import mix, mixed_rows, pfair, whole_weights
+from seriesloom.llm.packing import bin_end, boundaries, pack
+from seriesloom.llm.ranks import numbered
+from seriesloom.runtime import cut
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, slot int, __hash string"
 
@@ -15,55 +21,78 @@ def documents(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, 0, 1, "x") for i, t, s in rows], DOCS)
 
 
-@pytest.mark.parametrize("share", [{"a": 1}, {"a": 3, "b": 2, "c": 1}, {"a": 7, "b": 11, "c": 1, "d": 81}, {None: 5, "x": 5}])
-def test_pfair_keeps_within_one_block(share):
-    period = sum(share.values())
-    order = pfair(share)
-    for s, n in share.items():
-        done = 0
-        for t, ran in enumerate(order, 1):
-            done += ran == s
-            assert abs(done - n * t / period) < 1
-        assert done == n
-
-
-def test_shares_add_up_and_serve_each_source():
-    assert sum(shares({"a": 1.0, "b": 1e-9, "c": 2.0}).values()) == 1000
-    assert min(shares({"a": 1.0, "b": 1e-9}).values()) == 1
-    assert sum(shares({str(k): 1.0 for k in range(1500)}).values()) == 1500
-    assert shares({}) == {}
-
-
-def test_plan_places_every_block():
-    blocks = {"a": 1234, "b": 7, "c": 0, "d": 90}
-    phases = plan(blocks, {"a": 0.5, "b": 0.2, "c": 0.2, "d": 0.1}, 20)
-    ran = dict.fromkeys(blocks, 0)
-    for p in phases:
-        for s, n in p.share.items():
-            ran[s] += n * p.periods
+def fluid(blocks, weights):
+    """Blocks that the target has run after 0, 1, ... slots: shares in proportion to the weights, slot by slot, exactly."""
+    left, done = [Fraction(n) for n in blocks], [Fraction(0)] * len(blocks)
+    out = [list(done)]
+    for _ in range(sum(blocks)):
+        room = Fraction(1)
+        while room > 0:
+            active = [s for s, n in enumerate(left) if n > 0]
+            total = sum(weights[s] for s in active)
+            step = min([room] + [left[s] * total / weights[s] for s in active])
+            for s in active:
+                left[s] -= step * weights[s] / total
+                done[s] += step * weights[s] / total
+            room -= step
+        out.append(list(done))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from([1, 2, 0.3, 2**0.5, 3**0.5, 100, 0.01])), max_size=6))
+def test_pfair_keeps_within_one_block_of_the_target(sources):
+    blocks, weights = [n for n, _ in sources], whole_weights([w for _, w in sources])
+    target, ran = fluid(blocks, weights), [0] * len(blocks)
+    for t, (s, k) in enumerate(pfair(blocks, weights), 1):
+        assert k == ran[s]
+        ran[s] += 1
+        assert all(abs(r - f) < 1 for r, f in zip(ran, target[t], strict=True))
     assert ran == blocks
 
 
-def test_mix_positions_are_a_permutation(spark):
-    rows = [(i, "t", "big" if i % 3 else None) for i in range(200)] + [(7, "t", "small"), (7, "t", "small"), (None, None, "small")]
+@pytest.mark.parametrize("blocks,weights", [([10**6] * 3, [1, 2**0.5, 3**0.5]), ([10**6, 10**4, 10**6], [1, 1e-4, 2 / 3]), ([400] * 5000, [(k % 977 + 1) ** 0.5 for k in range(5000)])])
+def test_no_deviation_adds_up(blocks, weights):
+    """A million slots of weights that are no multiples of anything, and many sources."""
+    whole = whole_weights(weights)
+    total, slots = sum(whole), min(10**6, int(min(n * sum(whole) / w for n, w in zip(blocks, whole, strict=True))))
+    last = [0] * len(blocks)
+    for t, (s, k) in zip(range(1, slots + 1), pfair(blocks, whole)):
+        # Block k runs in the slot that ends at t: begun by the target before t, not completed before t - 1.
+        assert k * total < t * whole[s] and (k + 1) * total > (t - 1) * whole[s]
+        last[s] = k + 1
+    assert sum(last) == slots
+    assert all(abs(n * total - slots * w) < total for n, w in zip(last, whole, strict=True))
+
+
+def test_weights_are_exact():
+    assert whole_weights([0.5, 0.25]) == [2, 1] and whole_weights([]) == []
+    a, b = whole_weights([2**0.5, 1e-30])
+    assert Fraction(a, b) == Fraction(2**0.5) / Fraction(1e-30)
+
+
+def test_mix_positions_are_the_schedule(spark):
+    rows = [(i, "t", "big" if i % 3 else None) for i in range(200)] + [(7, "t", "small"), (7, "t", "small"), (None, None, "small"), (8, "t", "none"), (None, None, "none")]
     docs = documents(spark, rows)
-    out = mix(docs, {"big": 2, "small": 1}, block_rows=4, slots=10).collect()
-    assert len(out) == len(rows)
+    weights = {"big": 2**0.5, "small": 1, None: 0.7, "absent": 5}
+    out = mix(docs, weights, block_rows=4).collect()
+    assert sorted((str(r.doc_id), str(r.source)) for r in out) == sorted((str(i), str(s)) for i, _, s in rows)
     assert sorted(r.position for r in out) == list(range(len(rows)))
-    by_slot = {}
-    for r in out:
-        by_slot.setdefault(r.slot, set()).add((r.source, r.block))
-    assert all(len(x) == 1 for x in by_slot.values()) and sorted(by_slot) == list(range(len(by_slot)))
+    names = ["big", "none", "small", None]
+    sizes = [sum(s == n for _, _, s in rows) for n in names]
+    want, first = {}, 0
+    for slot, (s, k) in enumerate(pfair([-(-n // 4) for n in sizes], whole_weights([2**0.5, 0.7, 1, 0.7]))):
+        want[names[s], k] = (slot, first)
+        first += min(4, sizes[s] - 4 * k)
+    assert all(r.slot == want[r.source, r.block][0] and 0 <= r.position - want[r.source, r.block][1] < 4 for r in out)
     assert mix(docs.limit(0)).count() == 0
 
 
-def test_mix_deviates_less_than_one_block(spark):
-    docs = documents(spark, [(i, "t", "a" if i % 4 else "b") for i in range(4000)])
-    out = sorted(mix(docs, {"a": 3, "b": 1}, block_rows=10, slots=100).collect(), key=lambda r: r.position)
-    done = 0
-    for t, r in enumerate(out, 1):
-        done += r.source == "b"
-        assert abs(done - t / 4) < 10
+def test_numbers_of_one_key_are_spread(spark):
+    rows = spark.range(3000).selectExpr("id as row_no", "if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) as key", "if(id % 2 = 0, 'a', null) as g")
+    out = numbered(cut(rows), "g", "key", "row_no", 3000, bucket_rows=10).collect()
+    for g in ("a", None):
+        assert sorted(r.number for r in out if r.g == g) == list(range(1500))
 
 
 def test_mixed_rows_keep_every_column_and_row(spark):
@@ -105,3 +134,14 @@ def test_pack_fills_batches_within_the_budget(spark):
         assert len(rs) * rs[0].padded_length <= 200 or len(rs) == 1
     assert len({r.bucket for r in out}) == 5
     assert pack(documents(spark, rows[:1]).limit(0)).count() == 0
+
+
+def test_long_lengths_lose_little_to_the_bins(spark):
+    """Padding beyond EXACT words, against boundaries chosen among all lengths."""
+    rng = np.random.default_rng(8)
+    lengths, counts = np.unique((rng.pareto(1.2, 3000) * 900 + 1).astype(int), return_counts=True)
+    exact = boundaries(lengths, counts, 8)
+    ends = np.array([r.e for r in spark.createDataFrame([(int(n),) for n in lengths], "n long").select(bin_end(F.col("n")).alias("e")).collect()])
+    bins = np.unique(ends)
+    binned = boundaries(np.array([lengths[ends == e].max() for e in bins]), np.array([counts[ends == e].sum() for e in bins]), 8)
+    assert padding(lengths, counts, binned) <= 1.01 * padding(lengths, counts, exact)
