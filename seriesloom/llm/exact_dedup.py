@@ -6,11 +6,11 @@ paired and each distinct pair is named in the same way, until every document
 has a single name. Names come from ranks in sorted order and never from a hash,
 so two documents share a name exactly when their texts are identical.
 
-Scale. The text is shuffled once, as blocks, into a fixed set of buckets that
-are sorted by themselves; later rounds carry 8-byte names of half as many rows
-each. A block that repeats in more than one row of a thousand is named apart:
-there are fewer than a thousand such blocks, so their table has a fixed size
-and is sent to all tasks, and no task gathers their rows.
+Scale. Blocks are combined in every task before they are shuffled and sorted, so
+a block travels once a task however many rows repeat it. A row then finds its
+block's name by a 64-bit hash that is known to belong to one block only; rows of
+hashes that do not are named by the blocks themselves. Later rounds carry
+8-byte names of half as many rows each, named in the same way.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from seriesloom.llm.text import ascii_lower
 from seriesloom.runtime import cut
 
-#: Bytes of a block; hot blocks are those in over 1/HOT_SHARE of all rows.
-BLOCK_BYTES, HOT_SHARE = 4096, 1000
-#: Names are bucket * 2**RANK_BITS + rank in the bucket.
+#: Bytes of a block.
+BLOCK_BYTES = 4096
+#: Names of pairs are bucket * 2**RANK_BITS + rank in the bucket.
 BUCKETS, RANK_BITS = 1 << 20, 40
 
 
@@ -33,17 +33,19 @@ def _ranked(df: DataFrame, keys: list[str]) -> Column:
     return F.shiftleft(bucket, RANK_BITS) + rank.cast("long")
 
 
-def _name_blocks(rows: DataFrame, total: int) -> DataFrame:
-    """rows with `block` replaced by `name`."""
+def _name_blocks(rows: DataFrame) -> DataFrame:
+    """rows with `block` replaced by `name`: a number above zero, the same for equal blocks only."""
     rows = rows.withColumn("h", F.xxhash64("block"))
-    hot = [r.h for r in rows.groupBy("h").count().where(F.col("count") > max(total // HOT_SHARE, 100)).select("h").collect()]  # fewer than HOT_SHARE
-    cold = rows.where(~F.col("h").isin(hot)) if hot else rows
-    named = cold.withColumn("name", _ranked(cold, ["block"])).drop("block", "h")
-    if not hot:
-        return named
-    few = rows.where(F.col("h").isin(hot))
-    names = few.select("block").distinct().withColumn("name", -F.dense_rank().over(Window.orderBy("block")).cast("long"))
-    return named.unionByName(few.join(F.broadcast(names), "block").select(*named.columns))
+    ordered = rows.select("h", "block").distinct().sortWithinPartitions("h", "block")
+    names = cut(ordered.select("h", (F.monotonically_increasing_id() + 1).alias("name")))  # partition and rank; fixed once it is stored
+    shared = cut(names.groupBy("h").count().where("count > 1").select("h"))  # hashes of several blocks
+    whole = rows.drop("block").join(names, "h")
+    if not shared.isEmpty():
+        few = rows.join(shared, "h", "left_semi")
+        own = few.select("block").distinct()
+        own = cut(own.sortWithinPartitions("block").select("block", (-1 - F.monotonically_increasing_id()).alias("name")))
+        whole = whole.join(shared, "h", "left_anti").unionByName(few.join(own, "block").drop("block"))
+    return whole.drop("h")
 
 
 def _name_pairs(pairs: DataFrame) -> DataFrame:
@@ -64,7 +66,6 @@ def text_identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text_bytes = ascii_lower(F.col(text)).cast("binary")
     source = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), text_bytes.alias("bytes"))
     blocks_of = F.greatest(F.lit(1), F.ceil(F.octet_length("bytes") / block_bytes)).cast("int")
-    total, most = docs.select(F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(F.col(text), F.lit(""))) / block_bytes)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     spread = source.select("row_no", "doc_id", "bytes", blocks_of.alias("n"), F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("pos"))
     first = F.col("pos") == 0
     rows = spread.select(
@@ -73,8 +74,8 @@ def text_identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.when(first, F.sha2("bytes", 256)).alias("text_sha256"),
         F.substring("bytes", F.col("pos") * block_bytes + 1, F.lit(block_bytes)).alias("block"),
     )
-    named = cut(_name_blocks(rows, total))
-    level, done = 0, []
+    named = cut(_name_blocks(rows))
+    level, done, most = 0, [], named.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     while True:
         done.append(named.where("n = 1").select("row_no", "doc_id", "text_sha256", F.lit(level).alias("level"), "name"))
         if most <= 1:
@@ -120,6 +121,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 
 def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns."""
+    """The rows of `docs` that exact_dedup keeps, with all their columns.
+
+    Rows are told by their number in the scan, so `docs` must be a stored
+    table, whose files every scan reads in the same order.
+    """
     kept = exact_dedup(docs, doc_id, text).where("kept").select(F.col("row_no").alias("__row_no"))
     return docs.withColumn("__row_no", F.monotonically_increasing_id()).join(kept, "__row_no", "left_semi").drop("__row_no")

@@ -44,6 +44,20 @@ def test_exact_against_brute_force(spark):
     assert all(r.doc_id == r.keep_id for r in out if r.kept)
 
 
+def test_blocks_of_one_hash_are_told_apart(spark, monkeypatch):
+    """All blocks get one of three hashes."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr("seriesloom.llm.exact_dedup.F.xxhash64", lambda *c: F.pmod(real(*c), F.lit(3)))
+    out = exact_dedup(docs(spark, ROWS), block_bytes=32).collect()
+    monkeypatch.undo()
+    groups = {}
+    for _, t in ROWS:
+        groups[lower(t)] = groups.get(lower(t), 0) + 1
+    assert sorted((r.text_sha256, r.group_size) for r in out) == sorted((sha256(lower(t)).hexdigest(), groups[lower(t)]) for _, t in ROWS)
+
+
 def test_exact_keeps_columns_and_handles_empty(spark):
     d = docs(spark, ROWS)
     kept = keep_distinct(d)
