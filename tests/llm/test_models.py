@@ -29,16 +29,55 @@ def table(spark, rows):
 
 
 def test_features_cover_the_whole_text():
-    net = quality.fit([[b"good words here"], [b"bad%%% words%%%"]], [1, 0], epochs=1)
+    net, seen = quality.fit(quality.fresh(), [(b"good words here", 1), (b"bad%%% words%%%", 0)], 0.01)
+    assert seen == 2
     head = b"calm words " * 200
     assert not np.array_equal(quality.features(net, head + b"%%%%%%%% " * 3), quality.features(net, head + b"calm words"))
     assert quality.features(net, b"").shape == (2 * quality.FILTERS,)
     long = bytes(range(256)) * 600
-    pools = quality._pools(net, long)
+    pools, where = quality._pools(net, quality._padded(long))
     starts = quality._chunk_starts(len(pools))
     assert starts[-1] + quality.POOLS >= len(pools) and all(b - a < quality.POOLS for a, b in zip(starts, starts[1:], strict=False))
 
 
+def plain_tops(net, text):
+    """Each filter's largest answer in each chunk and where it is, place by place."""
+    data = np.concatenate([np.frombuffer(text, np.uint8), np.zeros(quality.WIDTH, np.uint8)])
+    places = max(1, -(-len(text) // quality.STEP))
+    places += -places % quality.POOL
+    data = np.concatenate([data, np.zeros(places * quality.STEP + quality.WIDTH - len(data), np.uint8)]) if len(data) < places * quality.STEP + quality.WIDTH else data
+    answers = np.array([sum(net.taps[j][data[p * quality.STEP + j]] for j in range(quality.WIDTH)) for p in range(places)])
+    pools = places // quality.POOL
+    out = []
+    for start in range(0, max(1, pools - (quality.POOLS - quality.HOP)), quality.HOP):
+        out.append(answers[start * quality.POOL : min(pools, start + quality.POOLS) * quality.POOL].max(axis=0))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("size", [0, 1, 31, 32, 33, 511, 512, 513, 960, 5000])
+def test_chunks_against_a_plain_network(size):
+    net = quality.fresh()
+    text = bytes(np.random.default_rng(size).integers(32, 127, size).astype(np.uint8))
+    tops, where = quality._tops(net, quality._padded(text))
+    want = plain_tops(net, text)
+    assert np.allclose(tops, want, atol=1e-4)
+    on = np.maximum(want + net.bias, 0)
+    feature = np.concatenate([on.mean(axis=0), on.max(axis=0)])
+    assert abs(quality.probability(net, text) - 1 / (1 + np.exp(-(feature @ net.weights + net.offset)))) < 1e-4
+
+
+def test_training_follows_the_gradient():
+    """One step of a network on one text changes its answer as the numerical gradient says."""
+    rng = np.random.default_rng(3)
+    net = quality.fresh(1)
+    text = bytes(rng.integers(97, 123, 700).astype(np.uint8))
+    loss = lambda n: -np.log(quality.probability(n, text))
+    before = loss(net)
+    for _ in range(3):
+        net, _ = quality.fit(net, [(text, 1)], 0.01)
+    assert loss(net) < before
+
+
 def test_quality_is_learned_and_labels_of_the_held_out_fold_are_not_read(spark):
     rows = corpus()
     docs = table(spark, [(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (3, rows[3][1]), (None, "the the")])
