@@ -179,19 +179,22 @@ def image_classes(images: DataFrame) -> DataFrame:
 
 
 def find_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
-    """id, class_id, matches: one row per image.
+    """id, class_id, asked, match, inliers: a row for each image, and one more for each further class that it matches.
 
     images and queries: (id long, image binary). Images of equal bytes share
-    class_id, their smallest id. `matches`, for an id among the queries, lists
-    the classes whose picture its query image shows, ascending with inliers;
-    it is null for other ids and empty for a query without a match. Of several
-    query images of one id, all count.
+    class_id, their smallest id. An id among the queries has asked = true, and
+    a row for every class whose picture its query image shows: `match`, the
+    class's smallest id, and the corners that agree; both are null if there is
+    none, and for other ids. Of several query images of one id, all count. A
+    null id is an image like any other, but no query; a class of null ids only
+    has a null class_id, and a match with it has inliers alone. Repeated ids
+    are rows of their own, an empty table gives an empty result.
     """
     classes = cut(image_classes(images))
-    heads = classes.where("digest is not null").groupBy("digest").agg(F.min("class_id").alias("class_id"))
-    asked = cut(queries.select(F.col("id").alias("query"), F.substring(F.unhex(F.sha2("image", 256)), 1, 16).alias("q_digest")).distinct())
+    heads = classes.where("digest is not null").groupBy("digest").agg(F.min("class_id").alias("match"))
+    asked = cut(queries.where("id is not null").select(F.col("id").alias("query"), F.substring(F.unhex(F.sha2("image", 256)), 1, 16).alias("q_digest")).distinct())
     found = image_matches(queries, images).withColumnRenamed("query", "q_digest").join(heads, "digest")
-    found = asked.join(found, "q_digest").groupBy("query", "class_id").agg(F.max("inliers").alias("inliers"))
-    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("class_id", "inliers"))).alias("found"))
-    out = classes.join(asked.select("query", F.lit(True).alias("asked")).distinct(), F.col("id") == F.col("query"), "left").join(lists, "query", "left")
-    return out.select("id", "class_id", F.when(F.col("asked"), F.coalesce("found", F.array().cast("array<struct<class_id: bigint, inliers: bigint>>"))).alias("matches"))
+    found = asked.join(found, "q_digest").groupBy("query", "match").agg(F.max("inliers").alias("inliers"))
+    found = asked.select("query").distinct().join(found, "query", "left")
+    out = classes.join(found, F.col("id") == F.col("query"), "left")
+    return out.select("id", "class_id", F.col("query").isNotNull().alias("asked"), "match", "inliers")

@@ -41,12 +41,12 @@ def edited(pixels: np.ndarray, n: int) -> np.ndarray:
 
 
 def drawn(vectors: DataFrame, copy: bool = False, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, image): the pictures of the vectors, or edited copies of them."""
+    """(id, image): the pictures of the vectors, or edited copies of them. A null vector is an empty one, a null key edits like 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             found = [picture(v) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_pgm(edited(p, i) if copy else p) for i, p in zip(ids, found, strict=True)], pa.binary())], ["id", "image"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_pgm(edited(p, i or 0) if copy else p) for i, p in zip(ids, found, strict=True)], pa.binary())], ["id", "image"])
 
-    return vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "id long, image binary")
+    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "id long, image binary")

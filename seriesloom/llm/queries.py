@@ -40,15 +40,12 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors' pictures, searched for cropped and edited copies of those whose id is divisible by 50."""
-    from pyspark.sql import functions as F
-
     from seriesloom.llm.media import find_copies
     from seriesloom.llm.pictures import drawn
 
     vectors = _table(spark, sf_dir, "embeddings")
     found = find_copies(drawn(vectors), drawn(vectors.where("vec_id % 50 = 0"), copy=True))
-    matches = F.col("matches")
-    return found.select(F.col("id").alias("vec_id"), "class_id", F.transform(matches, lambda m: m["class_id"]).alias("matches"), F.transform(matches, lambda m: m["inliers"]).alias("inliers"))
+    return found.withColumnRenamed("id", "vec_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

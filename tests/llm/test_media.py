@@ -1,5 +1,7 @@
 """Image descriptors and the search for edited copies."""
 
+from collections import Counter
+
 import numpy as np
 
 from seriesloom.llm.images import decode_pgm, describe, encode_pgm
@@ -33,22 +35,24 @@ def test_copies_are_found_and_others_are_not(spark):
     vectors = [(i, rng.standard_normal(8).astype(float).tolist()) for i in range(120)]
     vectors += [(200 + i, vectors[0][1]) for i in range(30)] + [(300, None), (None, [1.0])]
     table = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, id string")
-    out = {r.id: r for r in find_copies(drawn(table), drawn(table.where("vec_id % 4 = 0"), copy=True)).collect()}
-    assert len(out) == 151
-    asked = {i for i in out if i % 4 == 0}
-    assert {i for i, r in out.items() if r.matches is not None} == asked
+    rows = find_copies(drawn(table), drawn(table.where("vec_id % 4 = 0"), copy=True)).collect()
+    out = {r.id: r for r in rows}
+    assert len(out) == 152 and Counter(r.id for r in rows)[None] == 1
+    asked = {i for i in out if i is not None and i % 4 == 0}
+    assert {i for i, r in out.items() if r.asked} == asked
+    assert all(r.match is None and r.inliers is None for r in rows if not r.asked)
     assert all(out[200 + i].class_id == 0 for i in range(30))
-    hits = sum(out[i].class_id in [m.class_id for m in out[i].matches] for i in asked)
+    hits = len({r.id for r in rows if r.asked and r.match == r.class_id})
     assert hits >= 0.9 * len(asked)
-    wrong = sum(m.class_id != out[i].class_id for i in asked for m in out[i].matches)
-    assert wrong <= 1
+    assert sum(r.match is not None and r.match != r.class_id for r in rows) <= 1
+    assert out[None].class_id is None and out[300].class_id == 300
 
 
 def test_unreadable_images_match_nothing(spark):
     rows = spark.createDataFrame([(1, bytearray(b"no picture")), (2, None), (3, bytearray(encode_pgm(edited(picture([0.5]), 4))))], "id long, image binary")
     out = {r.id: r for r in find_copies(rows, rows).collect()}
-    assert out[1].matches == [] and out[2].matches == [] and out[2].class_id == 2
-    assert [m.class_id for m in out[3].matches] == [3]
+    assert out[1].match is None and out[2].match is None and out[2].class_id == 2
+    assert out[3].match == 3 and out[3].inliers >= 8
     assert find_copies(rows.limit(0), rows.limit(0)).count() == 0
     assert SIDE > 0
 
@@ -88,6 +92,6 @@ def test_turned_scaled_and_noisy_copies_are_found(spark):
     noise = np.random.default_rng(6)
     for edit in (lambda p: np.rot90(p).copy(), lambda p: _scaled(p, 1.5), lambda p: np.clip(p + noise.normal(0, 8, p.shape), 0, 255).astype(np.uint8)):
         queries = spark.createDataFrame([(i, bytearray(encode_pgm(edit(p)))) for i, p in enumerate(pictures)], images.schema)
-        out = {r.id: [m.class_id for m in r.matches] for r in find_copies(images, queries).collect()}
-        assert sum(i in m for i, m in out.items()) >= 25
-        assert sum(m != i for i, found in out.items() for m in found) <= 1
+        out = find_copies(images, queries).collect()
+        assert sum(r.match == r.id for r in out) >= 27
+        assert sum(r.match not in (r.id, None) for r in out) <= 1

@@ -28,8 +28,8 @@ def test_query(spark, name):
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     if name not in ORACLE_SQL:
-        table = {"op5_media": "embeddings"}.get(name, "documents")
-        assert len(rows) == con.execute(f"SELECT count(*) FROM {table}").fetchall()[0][0]
+        table, key = {"op5_media": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+        assert len({r[key] for r in rows}) == con.execute(f"SELECT count(DISTINCT {key}) FROM {table}").fetchall()[0][0]
         return
     want = con.sql(ORACLE_SQL[name])
     columns = sorted(out.columns)
