@@ -1,9 +1,10 @@
-"""A causal self-attention language model over classes of subword ids, in numpy.
+"""A causal self-attention language model over subword ids, in numpy.
 
-The next class is predicted by one causal attention head over the window, on
-top of tables of class trigrams counted over the whole training corpus, in two
-steps: which of GROUPS groups of classes, then which class of the group. Which
-id of the class it is, counts given the class before it tell.
+One causal attention head looks at the window's earlier ids: each of the KNOWN
+most frequent ids has vectors of its own, the others share their class's. It
+predicts the next id in three steps, on top of tables counted over the whole
+training corpus: which of GROUPS groups of classes, which class of the group
+(both against class trigrams), and which id of the class, given the class before.
 
     P(id | past)           = P(group | past) * P(class | group, past) * P(id | class, last class)
     P(group | past)        ~ trigram[last two classes][group] * exp(attention(past) @ group_out[:, group])
@@ -22,8 +23,10 @@ WINDOW, STRIDE, WIDTH = 32, 24, 16
 CLASSES, SINGLE = 256, 215
 #: Groups of classes: class >> 4.
 GROUPS = 16
-#: Most frequent ids that are also counted by the class before them.
+#: Most frequent ids that are also counted by the class before them, and have vectors of their own.
 KNOWN = 4095
+#: An id's code: its place among the KNOWN, or KNOWN + 1 + its class. PAD stands after the end of a text that does not fill its window.
+CODES, PAD = KNOWN + 1 + CLASSES, (1 << 16) - 1
 #: Windows attended to at once; windows whose classes are looked up at once.
 BATCH, MANY = 32, 512
 #: Largest exponent that the attention may reach; keeps float32 exponentials finite.
@@ -43,6 +46,8 @@ class Model:
     class_of: np.ndarray  # (ids,) uint8; the last id is the end of a text
     share: np.ndarray  # (ids,) float32: log10 P(id | class) without context
     column: np.ndarray  # (ids,) int16: place among the KNOWN ids, 0 for others
+    code_of: np.ndarray  # (ids,) uint16
+    class_of_code: np.ndarray  # (CODES,) uint8
     by_group: np.ndarray | None = None  # (CLASSES ** 2, GROUPS) uint8, by last but one class and last class
     by_class: np.ndarray | None = None  # (CLASSES ** 2, GROUPS, CLASSES // GROUPS) uint8, in each group
     given: np.ndarray | None = None  # (CLASSES, KNOWN + 1) float32: log10 P(id | class, last class)
@@ -66,7 +71,10 @@ def classes(counts: np.ndarray, begins_word: np.ndarray) -> Model:
     total = np.bincount(out, weights=counts + 1.0, minlength=CLASSES)
     column = np.zeros(n + 1, np.int16)
     column[order[:KNOWN]] = 1 + np.arange(min(KNOWN, n))
-    return Model(out, np.log10((counts + 1.0) / total[out]).astype(np.float32), column)
+    codes = np.where(column > 0, column, KNOWN + 1 + out.astype(np.int32)).astype(np.uint16)
+    class_of_code = np.concatenate([np.zeros(KNOWN + 1, np.uint8), np.arange(CLASSES, dtype=np.uint8)])
+    class_of_code[codes] = out
+    return Model(out, np.log10((counts + 1.0) / total[out]).astype(np.float32), column, codes, class_of_code)
 
 
 def with_counts(model: Model, trigrams: np.ndarray, given: np.ndarray) -> Model:
@@ -113,7 +121,7 @@ def id_shares(model: Model, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
 def fresh(seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
     table = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-    return {"query": table(CLASSES, WIDTH), "key": table(CLASSES, WIDTH), "value": table(CLASSES, WIDTH), "query_at": table(WINDOW, WIDTH), "key_at": table(WINDOW, WIDTH), "group_out": np.zeros((WIDTH, GROUPS), np.float32), "class_out": np.zeros((GROUPS, WIDTH, CLASSES // GROUPS), np.float32)}
+    return {"query": table(CODES, WIDTH), "key": table(CODES, WIDTH), "value": table(CODES, WIDTH), "query_at": table(WINDOW, WIDTH), "key_at": table(WINDOW, WIDTH), "group_out": np.zeros((WIDTH, GROUPS), np.float32), "class_out": np.zeros((GROUPS, WIDTH, CLASSES // GROUPS), np.float32)}
 
 
 def bounded(p: dict) -> dict:
@@ -127,7 +135,7 @@ def bounded(p: dict) -> dict:
 
 
 def _attend(p: dict, x: np.ndarray, lo: int, parts: bool = False) -> np.ndarray | tuple[np.ndarray, ...]:
-    """Masked attention of the positions lo.. of each window over themselves and earlier ones; parts: with all that led to it."""
+    """Masked attention of the positions lo.. of each window of codes over themselves and earlier ones; parts: with all that led to it."""
     n = x.shape[1]
     q, k, v = p["query"][x[:, lo:]] + p["query_at"][lo:n], p["key"][x] + p["key_at"][:n], p["value"][x]
     w = q @ k.transpose(0, 2, 1)
@@ -162,20 +170,22 @@ def log_probs(model: Model, h: np.ndarray, context: np.ndarray, y: np.ndarray) -
     return out * np.float32(np.log10(np.e))
 
 
-def text_scores(model: Model, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 P of each text's classes. y: the texts' classes one after the other, each with its end (class 0).
+def text_scores(model: Model, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 P of each text's classes. codes: the texts' codes one after the other, each with its end (class 0).
 
     Windows overlap by WINDOW - STRIDE positions, and each position is scored
     once: in a text's first window all of them, in the others the last STRIDE.
     """
     begins = np.cumsum(sizes) - sizes
-    x = np.empty(len(y), np.int32)
-    x[1:] = y[:-1]
-    x[begins] = 0
-    context = np.empty_like(x)
-    context[1:] = x[:-1] * CLASSES
+    y = model.class_of_code[codes].astype(np.int32)
+    x = np.empty(len(y), np.uint16)
+    x[1:] = codes[:-1]
+    x[begins] = KNOWN + 1  # an end
+    context = np.zeros(len(y), np.int32)
+    context[2:] = y[:-2] * CLASSES
     context[begins] = 0
-    context += x
+    context[(begins + 1)[sizes > 1]] = 0
+    context[1:] += np.where(x[1:] == KNOWN + 1, 0, y[:-1])
     p = model.params
     out = np.zeros(len(sizes))
     more = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
@@ -201,41 +211,60 @@ def text_scores(model: Model, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(model: Model, start: dict, windows: np.ndarray, rate: float = 0.004, batch: int = 32) -> dict:
-    """One pass of Adam over windows of classes (windows, WINDOW + 2); columns 0 and 1 are the classes before the window."""
+def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """(size, width): the sum of the rows at each place."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def gradients(model: Model, p: dict, part: np.ndarray) -> dict:
+    """Of the mean loss over the real positions of windows of codes (windows, WINDOW + 2)."""
+    real = part[:, 2:] != PAD
+    part = np.where(part == PAD, KNOWN + 1, part)
+    y = model.class_of_code[part].astype(np.int32)
+    x, context, y = part[:, 1:-1], (y[:, :-2] * CLASSES + y[:, 1:-1]).reshape(-1), y[:, 2:].reshape(-1)
+    q, k, v, w, h = _attend(p, x, 0, parts=True)
+    flat = h.reshape(-1, WIDTH)
+    weight = (real.reshape(-1, 1) / max(1, real.sum())).astype(np.float32)
+    group, within = y >> 4, y & 15
+    error = _errors(flat @ p["group_out"], model.by_group[context], group) * weight
+    dh = error @ p["group_out"].T
+    grads = {"group_out": flat.T @ error, "class_out": np.zeros_like(p["class_out"])}
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        at = order[bounds[g] : bounds[g + 1]]
+        if len(at):
+            some = flat[at]
+            error = _errors(some @ p["class_out"][g], model.by_class[context[at], g], within[at]) * weight[at]
+            dh[at] += error @ p["class_out"][g].T
+            grads["class_out"][g] = some.T @ error
+    dh = dh.reshape(h.shape)
+    dv = w.transpose(0, 2, 1) @ dh
+    dw = dh @ v.transpose(0, 2, 1)
+    dw -= (dh * h).sum(axis=2, keepdims=True)
+    dw *= w
+    dq, dk = dw @ k, dw.transpose(0, 2, 1) @ q
+    grads |= {"query_at": dq.sum(axis=0), "key_at": dk.sum(axis=0)}
+    sums = _summed(np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH), x.reshape(-1), CODES)
+    return grads | {name: sums[:, i * WIDTH : (i + 1) * WIDTH] for i, name in enumerate(("query", "key", "value"))}
+
+
+def train(model: Model, start: dict, windows: np.ndarray, rate: float = 0.004, batch: int = 256) -> dict:
+    """One pass of Adam over windows of codes (windows, WINDOW + 2); columns 0 and 1 are the codes before the window."""
     p = {k: v.copy() for k, v in start.items()}
     slow, fast = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    windows = windows.astype(np.intp)
     for step, a in enumerate(range(0, len(windows), batch), 1):
-        part = windows[a : a + batch]
-        x, y = part[:, 1:-1], part[:, 2:].reshape(-1)
-        context = (part[:, :-2] * CLASSES + x).reshape(-1)
-        q, k, v, w, h = _attend(p, x, 0, parts=True)
-        flat = h.reshape(-1, WIDTH)
-        error = _errors(flat @ p["group_out"], model.by_group[context], y >> 4)
-        dh = error @ p["group_out"].T
-        grads = {"group_out": flat.T @ error, "class_out": np.zeros_like(p["class_out"])}
-        for g in range(GROUPS):
-            at = np.flatnonzero(y >> 4 == g)
-            if len(at):
-                error = _errors(flat[at] @ p["class_out"][g], model.by_class[context[at], g], y[at] & 15)
-                dh[at] += error @ p["class_out"][g].T
-                grads["class_out"][g] = flat[at].T @ error
-        scale = np.float32(1 / len(y))
-        dh = dh.reshape(h.shape)
-        dv = w.transpose(0, 2, 1) @ dh
-        dw = dh @ v.transpose(0, 2, 1)
-        da = w * (dw - (w * dw).sum(axis=2, keepdims=True))
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        grads |= {"query_at": dq.sum(axis=0), "key_at": dk.sum(axis=0)}
-        for name, g in (("query", dq), ("key", dk), ("value", dv)):
-            grads[name] = np.zeros_like(p[name])
-            np.add.at(grads[name], x.reshape(-1), g.reshape(-1, WIDTH))
-        for name, g in grads.items():
-            g *= scale
-            slow[name] += 0.1 * (g - slow[name])
-            fast[name] += 0.01 * (g * g - fast[name])
-            p[name] -= rate * min(1, step / 10) * (slow[name] / (1 - 0.9**step)) / (np.sqrt(fast[name] / (1 - 0.99**step)) + 1e-6)
+        size = rate * min(1, step / 10)
+        for name, g in gradients(model, p, windows[a : a + batch]).items():
+            m, v = slow[name], fast[name]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            p[name] -= np.float32(size / (1 - 0.9**step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
     return p
 
 

@@ -2,16 +2,20 @@
 
 The model (attention.py) learns from every document outside the held-out fold:
 counts of all its words and subwords, class trigrams of all its text, and
-attention weights from windows taken at a fixed rate, by rounds in which every
-task trains on its own windows and the weights are averaged.
+attention weights from all its windows, ends and short texts included. A window
+belongs to a round and a shard by a hash of its text's doc_id, its place and its
+content; in a round every shard trains on its windows, in the order of the hash,
+and the weights are averaged. What is learned so does not depend on files or
+partitions (beyond the last digits of sums).
 
 Three passes over the text:
   1. words of the training fold, counted (combined before the shuffle);
-  2. class trigrams and training windows;
+  2. class trigrams, and training windows as codes of two bytes a subword;
   3. scores. A document's frequent words find their counts in a table of a
-     bounded size (those with at least one of 2**HEAVY_BITS training tokens);
-     its other words go to shards by hash, packed, where each word's training
-     count follows from its occurrences, and the counts go back by row.
+     bounded size (those with at least one of 2**HEAVY_BITS training tokens, long
+     ones by their digest); its other words go to shards by 96 bits of their
+     hash, packed, where each word's training count follows from its
+     occurrences, and the counts go back by row.
 
 A subword vocabulary file in tiktoken's format is read by the driver and sent
 to the tasks; its path is a parameter.
@@ -22,6 +26,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain, repeat
 
 import numpy as np
@@ -29,22 +34,24 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_digest
 
 from seriesloom.llm import attention as A
-from seriesloom.llm.substrings import NO_ID, _by_key, _packed, _unpacked, row_bucket, shards_for
+from seriesloom.llm.substrings import _by_key, _mixed, _packed, _unpacked, row_bucket, shards_for
 from seriesloom.llm.words import lower_words, text_slices
-from seriesloom.runtime import stored
+from seriesloom.runtime import cut, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a word before byte pairs are merged: letters, digits, other marks, other white space; a space goes with what follows it.
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+| ?[^\S ]+| "
-#: Words with at least N / 2**HEAVY_BITS of N training tokens, and at most WORD_BYTES bytes, are looked up in a broadcast table.
+#: Words with at least N / 2**HEAVY_BITS of N training tokens are looked up in a broadcast table, those of over WORD_BYTES bytes by digest.
 HEAVY_BITS, WORD_BYTES = 18, 64
 #: Distinct words that a task remembers; bytes of text whose words are counted, and scored, at once; rare words held before they are sent on.
 WORDS_HELD, COUNT_BYTES, SLICE_BYTES, RARE_HELD = 500_000, 1 << 24, 1 << 21, 1_000_000
-#: One of so many windows is trained on; rounds of averaging; bytes of text for a shard.
-WINDOW_RATE, ROUNDS, SHARD_BYTES = 16, 4, 1 << 24
+#: Rounds of averaging; windows of a shard in a round; windows held before they are sent on; bytes of text for a shard of words.
+ROUNDS, SHARD_WINDOWS, WINDOWS_HELD, SHARD_BYTES = 4, 1 << 16, 1 << 17, 1 << 24
+#: Shards whose weights are averaged at once.
+SUM_SHARDS = 64
 #: Characters of a word that are tokenized at once.
 SLICE = 200
 CHUNK_BITS = 16
@@ -94,6 +101,11 @@ def subwords(data: Broadcast) -> Subwords:
     return _subwords[key]
 
 
+def heavy_key(word: bytes) -> bytes:
+    """The word, or its digest; no word has a space in it."""
+    return word if len(word) <= WORD_BYTES else b" " + sha256(word).digest()
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that nothing is learned from; a null doc_id is not in it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -137,7 +149,7 @@ class Growing:
 
 
 class Lexicon:
-    """Words seen by a task: a run of ids for each, and with `heavy` its training count, or -1 and a hash.
+    """Words seen by a task: a run of ids for each, and with `heavy` its training count, or -1, and hashes.
 
     Starts anew after WORDS_HELD words.
     """
@@ -149,7 +161,7 @@ class Lexicon:
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = Growing(np.int32), Growing(np.int64), Growing(np.int64)
-        self.counts, self.hashes = Growing(np.int64), Growing(np.uint64)
+        self.counts, self.hashes, self.more = Growing(np.int64), Growing(np.uint64), Growing(np.uint32)
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         """Numbers of distinct words."""
@@ -164,15 +176,17 @@ class Lexicon:
             self.sizes.extend(sizes)
             self.ids.extend(ids)
             if self.heavy is not None:
-                self.counts.extend(list(map(self.heavy.get, new, repeat(-1))))
-                self.hashes.extend(np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new)))
+                self.counts.extend(list(map(self.heavy.get, map(heavy_key, new), repeat(-1))))
+                digests = np.frombuffer(b"".join(map(xxh3_128_digest, new)), "<u8").reshape(-1, 2)
+                self.hashes.extend(digests[:, 0])
+                self.more.extend((digests[:, 1] >> np.uint64(32)).astype(np.uint32))
         return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
 
     def rows(self, slots: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(ids, ids of each word, and with `heavy` counts, hashes) of some words."""
+        """(ids, ids of each word, and with `heavy` counts and two hashes) of some words."""
         sizes = self.sizes.room[slots]
         ids = self.ids.room[_runs(self.starts.room[slots], sizes)]
-        return (ids, sizes) if self.heavy is None else (ids, sizes, self.counts.room[slots], self.hashes.room[slots])
+        return (ids, sizes) if self.heavy is None else (ids, sizes, self.counts.room[slots], self.hashes.room[slots], self.more.room[slots])
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -218,25 +232,56 @@ def _count(table: np.ndarray, cells: np.ndarray) -> None:
     table[cells[new]] += np.diff(new, append=len(cells)).astype(table.dtype)
 
 
-def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Trigram cells and (class, known id) cells of this task's texts, by chunks of cells, and windows to train on."""
+#: Odd numbers that a window's codes are multiplied by.
+_ODD = np.random.default_rng(77).integers(0, 1 << 63, A.WINDOW + 2, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _windows(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the text's number, its window's number, codes of the window with the two before it): windows side by side that cover every text."""
+    n = -(-sizes // A.WINDOW)
+    begins = np.cumsum(sizes) - sizes
+    text, turn = np.repeat(np.arange(len(sizes)), n), _runs(np.zeros(len(sizes), np.int64), n)
+    at = turn[:, None] * A.WINDOW + np.arange(-2, A.WINDOW)
+    out = codes[np.clip(begins[text][:, None] + at, 0, len(codes) - 1)]
+    out[at < 0] = A.KNOWN + 1  # as if the end of another text came before
+    out[at >= sizes[text][:, None]] = A.PAD
+    return text, turn, out
+
+
+def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Broadcast, shards: int) -> Iterator[pa.RecordBatch]:
+    """Trigram cells and (class, known id) cells of this task's texts, by chunks of cells, and windows by round and shard."""
     m: A.Model = model.value
     cells = np.zeros(A.CLASSES**3, np.uint32)
     given = np.zeros(A.CLASSES * (A.KNOWN + 1), np.uint32)
-    turn = 0
-    for _, _, ids, sizes, *_ in _encoded(batches, Lexicon(subwords(data)), 0):
+    held: list[tuple] = []
+    names = ["chunk", "round", "shard", "data"]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        h, windows = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        place = (h >> np.uint64(2)) % np.uint64(shards) * np.uint64(ROUNDS) + h % np.uint64(ROUNDS)
+        order = np.argsort(place, kind="stable")
+        keys, first = np.unique(place[order], return_index=True)
+        parts = [_packed(h[x], windows[x].reshape(len(x), -1)) for x in np.split(order, first[1:])]
+        keys = keys.astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int32()), pa.array(keys % ROUNDS), pa.array(keys // ROUNDS), pa.array(parts, pa.binary())], names)
+
+    n = 0
+    for batch, rows, ids, sizes, *_ in _encoded(batches, Lexicon(subwords(data)), 1):
         y = m.class_of[ids].astype(np.int32)
         one, two = _before(y, sizes)
         _count(cells, (two * A.CLASSES + one) * A.CLASSES + y)
         _count(given, one * (A.KNOWN + 1) + m.column[ids])
-        begins = np.cumsum(sizes) - sizes
-        whole = sizes // A.WINDOW  # windows of each text; texts shorter than a window have none
-        first = _runs(np.zeros(len(sizes), np.int64), whole) * A.WINDOW + np.repeat(begins, whole)
-        first = first[(turn + np.arange(len(first))) % WINDOW_RATE == 0]
-        turn += int(whole.sum())
-        if len(first):
-            windows = np.concatenate([two[first][:, None], one[first][:, None], y[first[:, None] + np.arange(A.WINDOW)]], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int32()), pa.array([w.tobytes() for w in windows], pa.binary())], ["chunk", "data"])
+        text, turn, windows = _windows(m.code_of[ids], sizes)
+        owner = batch.column(0).fill_null(-1).to_numpy()[rows].view(np.uint64)
+        h = _mixed(_mixed(owner[text]) ^ turn.astype(np.uint64) * _ODD[0])
+        held.append((_mixed(h + windows.astype(np.uint64) @ _ODD), windows))
+        n += len(windows)
+        if n >= WINDOWS_HELD:
+            yield from flush()
+            n = 0
+    if n:
+        yield from flush()
     for table, base in ((cells, 0), (given, len(cells) >> CHUNK_BITS)):
         keys, parts = [], []
         for k in range(0, len(table), 1 << CHUNK_BITS):
@@ -245,7 +290,7 @@ def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Br
                 keys.append(base + (k >> CHUNK_BITS))
                 parts.append(_packed(at.astype("<u2"), part[at].astype("<u4")))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,26 +305,35 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _train(batches: Iterator[pa.RecordBatch], model: Broadcast, step: int) -> Iterator[pa.RecordBatch]:
-    """This task's weights after a pass over its windows of this round, times the number of windows; the last value is that number."""
+    """The weights of each shard after a pass over its windows, and how many these are; rows come sorted by shard."""
     m: A.Model = model.value
-    windows = [w for batch in batches for w in batch.column(0).to_pylist()[step::ROUNDS]]
-    if not windows:
-        return
-    order = np.random.default_rng(step).permutation(len(windows))
-    found = A.train(m, m.params, np.frombuffer(b"".join(windows), np.uint8).reshape(-1, A.WINDOW + 2)[order], rate=0.004 / (1 + step))
-    flat = np.concatenate([*(found[k].astype(np.float64).reshape(-1) for k in A.NAMES), [1.0]]) * len(windows)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
+    for shard, parts in _by_key(batches):
+        found = [_unpacked(p[0], "<u8", f"({A.WINDOW + 2},)<u2") for p in parts]
+        h, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+        windows = windows[np.argsort(h, kind="stable")]
+        weights = A.train(m, m.params, windows, rate=0.004 / (1 + step))
+        flat = np.concatenate([weights[k].reshape(-1) for k in A.NAMES]).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(windows)]), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "weights"])
+
+
+def _sum_group(table: pa.Table) -> pa.Table:
+    """The mean weights of at most SUM_SHARDS shards."""
+    table = table.sort_by("k")
+    n = table.column("n").to_pylist()
+    total = sum(k * np.frombuffer(w.as_py(), "<f4").astype(np.float64) for k, w in zip(n, table.column("weights"), strict=True)) / sum(n)
+    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": [sum(n)], "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, data: Broadcast) -> tuple[A.Model, dict, int, int, int]:
     """(model, heavy words with their counts, texts, N, V) from the rows outside the held-out fold."""
     sc = docs.sparkSession.sparkContext
-    texts = docs.where(~held_out(F.col(doc_id))).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    texts = docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    words = stored(texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = texts.count()
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + ends, v + (ends > 0)
-    heavy = words.where((F.col("n") >= max(1, n >> HEAVY_BITS)) & (F.octet_length("word") <= WORD_BYTES)).toPandas()  # at most 2**HEAVY_BITS words of 64 bytes
+    key = F.when(F.octet_length("word") <= WORD_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.sha2("word", 256))))
+    heavy = words.where(F.col("n") >= max(1, n >> HEAVY_BITS)).select(key.alias("word"), "n").toPandas()  # at most 2**HEAVY_BITS words of 64 bytes
     heavy = dict(zip(map(bytes, heavy["word"]), heavy["n"].tolist(), strict=True))
     encode = Subwords(data.value)
     counts = np.zeros(encode.size + 1)
@@ -288,27 +342,36 @@ def fit(docs: DataFrame, doc_id: str, text: str, data: Broadcast) -> tuple[A.Mod
     counts[-1] = ends
     model = A.classes(counts, encode.begins_word)
     first = sc.broadcast(model)
-    found = stored(texts.mapInArrow(lambda it: _count_classes(it, data, first), "chunk int, data binary"), "classes")
+    shards = max(1, int(counts.sum()) // (A.WINDOW * ROUNDS * SHARD_WINDOWS))
+    found = stored(texts.mapInArrow(lambda it: _count_classes(it, data, first, shards), "chunk int, round int, shard int, data binary"), "classes")
     cells = np.zeros(A.CLASSES**3 + A.CLASSES * (A.KNOWN + 1), np.float32)
-    sums = found.where("chunk is not null").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, data binary")
+    sums = found.where("chunk is not null").select("chunk", "data").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, data binary")
     for r in sums.toLocalIterator():  # at most a number a cell of the two tables
         at, k = _unpacked(r.data, "<u2", "<i8")
         cells[(r.chunk << CHUNK_BITS) + at.astype(np.int64)] = k
     model = A.with_counts(model, cells[: A.CLASSES**3], cells[A.CLASSES**3 :].reshape(A.CLASSES, -1))
     del cells
     model.params = A.fresh()
-    windows = found.where("chunk is null").select("data")
+    windows = found.where("chunk is null")
     for step in range(ROUNDS):
         now = sc.broadcast(model)
-        flat = {r.k: r.v for r in windows.mapInArrow(lambda it, now=now, step=step: _train(it, now, step), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}  # a row a weight
+        mine = windows.where(F.col("round") == step).select("shard", "data").repartition("shard").sortWithinPartitions("shard")
+        trained = cut(mine.mapInArrow(lambda it, now=now, step=step: _train(it, now, step), "shard int, n long, weights binary"))
+        # Sums of SUM_SHARDS shards at a time, until few enough are left for the driver.
+        left = shards
+        while left > SUM_SHARDS:
+            trained = trained.select(F.floor(F.col("shard") / SUM_SHARDS).cast("int").alias("shard"), F.col("shard").alias("k"), "n", "weights")
+            trained = cut(trained.groupBy("shard").applyInArrow(_sum_group, "shard int, n long, weights binary"))
+            left = -(-left // SUM_SHARDS)
+        parts = [(r.n, np.frombuffer(r.weights, "<f4").astype(np.float64)) for r in sorted(trained.collect())]  # at most SUM_SHARDS rows
         now.unpersist()
-        if not flat:
+        if not parts:
             continue
-        values = np.array([flat[k] for k in range(len(flat))])
+        values = sum(n * w for n, w in parts) / sum(n for n, _ in parts)
         at = 0
         for k in A.NAMES:
             size = model.params[k].size
-            model.params[k] = (values[at : at + size] / values[-1]).astype(np.float32).reshape(model.params[k].shape)
+            model.params[k] = values[at : at + size].astype(np.float32).reshape(model.params[k].shape)
             at += size
     model.params = A.bounded(model.params)
     return model, heavy, ends, n, v
@@ -324,12 +387,12 @@ def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held
-        h, row, train = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, "<u8"), np.zeros(0, "<i8"), np.zeros(0, "u1"))
+        h, g, row, train = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, "<u8"), np.zeros(0, "<u4"), np.zeros(0, "<i8"), np.zeros(0, "u1"))
         rare.clear()
         held = 0
         shard = (h % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        h, row, train, shard = h[order], row[order], train[order], shard[order]
+        h, g, row, train, shard = h[order], g[order], row[order], train[order], shard[order]
         mine: dict[int, list] = {}
         for b, d in zip(row_bucket([d[0] for d in docs], shards).tolist(), docs, strict=True):
             mine.setdefault(b, []).append(d)
@@ -338,24 +401,25 @@ def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast
         for s in np.union1d(shard, np.array(list(mine), np.int64)).tolist():
             x = slice(*np.searchsorted(shard, [s, s + 1]))
             keys.append(s)
-            words.append(_packed(h[x], row[x], train[x]))
+            words.append(_packed(h[x], g[x], row[x], train[x]))
             rows.append(json.dumps(mine.get(s, [])).encode())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(words, pa.binary()), pa.array(rows, pa.binary())], ["shard", "words", "rows"])
 
     end = float(np.log10(ends + 1.0))
-    for batch, rows, ids, sizes, n_words, (counts, hashes) in _encoded(batches, Lexicon(subwords(data), heavy), 2):
+    for batch, rows, ids, sizes, n_words, (counts, hashes, more) in _encoded(batches, Lexicon(subwords(data), heavy), 2):
         y = model.class_of[ids].astype(np.int32)
         one, _ = _before(y, sizes)
         own = A.id_shares(model, ids, one)
-        scores = A.text_scores(model, y, sizes) + np.add.reduceat(own.astype(np.float64), np.cumsum(sizes) - sizes)
-        number, doc_id, out = (np.array(batch.column(k).to_pylist())[rows] for k in (0, 1, 3))
+        scores = A.text_scores(model, model.code_of[ids], sizes) + np.add.reduceat(own.astype(np.float64), np.cumsum(sizes) - sizes)
+        number, out = (np.array(batch.column(k).to_pylist())[rows] for k in (0, 3))
+        doc_id = batch.column(1).take(pa.array(rows)).to_pylist()
         often = counts >= 0
         owner = np.repeat(np.arange(len(rows)), n_words)
         known = np.bincount(owner[often], minlength=len(rows)) + (ends > 0)
         total = np.bincount(owner[often], np.log10(counts[often] + 1.0), len(rows)) + end
-        rare.append((hashes[~often], number[owner[~often]], (~out[owner[~often]]).astype(np.uint8)))
+        rare.append((hashes[~often], more[~often], number[owner[~often]], (~out[owner[~often]]).astype(np.uint8)))
         held += len(rare[-1][0])
-        docs += zip(number.tolist(), doc_id.tolist(), out.tolist(), (n_words + 1).tolist(), known.tolist(), total.tolist(), scores.tolist(), strict=True)
+        docs += zip(number.tolist(), doc_id, out.tolist(), (n_words + 1).tolist(), known.tolist(), total.tolist(), scores.tolist(), strict=True)
         if held >= RARE_HELD or len(docs) >= RARE_HELD // 10:
             yield from flush()
     if held or docs:
@@ -387,10 +451,12 @@ def _rare_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary()), pa.array(rows, pa.binary())], ["bucket", "counts", "rows"])
 
     for _, parts in _by_key(batches):
-        h, row, train = (np.concatenate(x) for x in zip(*(_unpacked(p[0], "<u8", "<i8", "u1") for p in parts), strict=True))
+        h, g, row, train = (np.concatenate(x) for x in zip(*(_unpacked(p[0], "<u8", "<u4", "<i8", "u1") for p in parts), strict=True))
         if len(h):
-            _, inverse = np.unique(h, return_inverse=True)
-            held.append((row, np.bincount(inverse, weights=train)[inverse].astype(np.uint32)))
+            order = np.lexsort((g, h))
+            h, g, row, train = h[order], g[order], row[order], train[order]
+            word = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
+            held.append((row, np.bincount(word, weights=train)[word].astype(np.uint32)))
             n += len(h)
         for p in parts:
             docs += json.loads(p[1])
@@ -414,7 +480,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa
         out = []
         for number, doc_id, held, n_tokens, known, base, score in (d for p in parts for d in json.loads(p[1])):
             add, also = more.get(number, (0.0, 0))
-            out.append((None if doc_id == NO_ID else doc_id, held, n_tokens, known + also, n, base + add - n_tokens * unit, score))
+            out.append((doc_id, held, n_tokens, known + also, n, base + add - n_tokens * unit, score))
         if out:
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -437,7 +503,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     fitted = sc.broadcast((model, heavy, ends))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     shards = shards_for(n_bytes, SHARD_BYTES)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
     sent = rows.mapInArrow(lambda it: _score(it, data, fitted, shards), "shard int, words binary, rows binary")
     back = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _rare_counts(it, shards), "bucket int, counts binary, rows binary")
     return back.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _assembled(it, n, v), SCORED)

@@ -97,11 +97,13 @@ def test_class_counts_are_those_of_the_texts(monkeypatch):
     model = A.classes(np.arange(encode.size + 1, dtype=float), encode.begins_word)
     rows = ["the quick brown fox " * k for k in range(40)]
     cells, windows = Counter(), 0
-    for b in lm._count_classes(iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])]), data, Sent(model)):
-        for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+    monkeypatch.setattr(lm, "WINDOWS_HELD", 20)
+    for b in lm._count_classes(iter([pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], ["doc_id", "text"])]), data, Sent(model), 3):
+        for chunk, turn, shard, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if chunk is None:
-                windows += 1
-                assert len(raw) == A.WINDOW + 2
+                h, found = lm._unpacked(raw, "<u8", f"({A.WINDOW + 2},)<u2")
+                assert turn < lm.ROUNDS and shard < 3 and found.shape == (len(h), A.WINDOW + 2)
+                windows += len(h)
             elif chunk < A.CLASSES**3 >> lm.CHUNK_BITS:
                 at, k = lm._unpacked(raw, "<u2", "<u4")
                 cells.update(dict(zip(((chunk << lm.CHUNK_BITS) + at.astype(int)).tolist(), k.tolist(), strict=True)))
@@ -110,7 +112,8 @@ def test_class_counts_are_those_of_the_texts(monkeypatch):
         y = [int(model.class_of[i]) for w in t.encode().split() for i in encode(w)] + [0]
         for k, c in enumerate(y):
             want[((y[k - 2] if k > 1 else 0) * A.CLASSES + (y[k - 1] if k else 0)) * A.CLASSES + c] += 1
-    assert cells == want and windows > 0
+    sizes = [sum(len(encode(w)) for w in t.encode().split()) + 1 for t in rows]
+    assert cells == want and windows == sum(-(-n // A.WINDOW) for n in sizes)
 
 
 def test_simhash_runs_are_compared_whole(monkeypatch):
