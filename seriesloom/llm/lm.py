@@ -47,9 +47,9 @@ PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+| ?[^\S ]+| "
 #: Words with at least N / 2**HEAVY_BITS of N training tokens are looked up in a broadcast table, those of over WORD_BYTES bytes by digest.
 HEAVY_BITS, WORD_BYTES = 18, 64
 #: Distinct words that a task remembers; bytes of text whose words are counted, and scored, at once; rare words held before they are sent on.
-WORDS_HELD, COUNT_BYTES, SLICE_BYTES, RARE_HELD = 500_000, 1 << 24, 1 << 21, 1_000_000
+WORDS_HELD, COUNT_BYTES, SLICE_BYTES, RARE_HELD = 250_000, 1 << 23, 1 << 20, 500_000
 #: Rounds of averaging; windows of a shard in a round; windows held before they are sent on; bytes of text for a shard of words.
-ROUNDS, SHARD_WINDOWS, WINDOWS_HELD, SHARD_BYTES = 4, 1 << 16, 1 << 17, 1 << 24
+ROUNDS, SHARD_WINDOWS, WINDOWS_HELD, SHARD_BYTES = 4, 1 << 16, 1 << 16, 1 << 24
 #: Shards whose weights are averaged at once.
 SUM_SHARDS = 64
 #: Characters of a word that are tokenized at once.
