@@ -8,8 +8,9 @@ First pass: every task counts the anchors of its windows in a count-min sketch
 of its own, the sketches are added up, and counters of two and more become one
 bit each. A window's anchor is the least hash among its ANCHOR-word sequences:
 equal windows have equal anchors, and neighbouring windows mostly share theirs,
-so anchors are several times fewer than windows. A sketch never
-underestimates, so a repeated window is never missed. The sketch has at most
+so anchors are several times fewer than windows, and an anchor's count is never
+below that of its windows. A sketch never underestimates either, so a repeated
+window is never missed. The sketch has at most
 2 * 2**MAX_BITS bits; beyond that it lets more windows through, which costs
 time only.
 
@@ -17,21 +18,21 @@ Second pass: windows estimated to repeat are grouped exactly. A task resolves
 what it can by itself: of equal windows only those of its smallest doc_id are
 sent on, so a passage that a third of all documents share sends one document
 a task. They travel packed, dealt by hash to shards of a bounded mean size.
-Windows are compared by 96 bits of two independent hashes of their words'
-128-bit XXH3 digests.
+Windows are told apart by the first 128 bits of the SHA-256 of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_digest
 
 from seriesloom.llm.text import as_bytes
 from seriesloom.llm.words import word_pieces
@@ -40,7 +41,7 @@ WORDS, ANCHOR = 13, 6
 #: Rows of the sketch; the largest logarithm of its width; bytes of text for a counter.
 SKETCH_ROWS, MAX_BITS, BYTES_A_COUNTER = 2, 28, 8
 #: Words hashed at once; anchors and windows held before they are sent on; bytes of text for a shard.
-AT_ONCE, ANCHORS_HELD, WINDOWS_HELD, SHARD_BYTES = 400_000, 2_000_000, 1_500_000, 1 << 24
+AT_ONCE, ANCHORS_HELD, WINDOWS_HELD, SHARD_BYTES = 300_000, 2_000_000, 1_000_000, 1 << 24
 #: Shards at most: a task's windows are not spread over more of them than it has windows to spare.
 MAX_SHARDS = 1 << 18
 CHUNK_BITS = 16
@@ -68,17 +69,19 @@ def _rolled(d: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
 class Run:
     """Windows of some documents, side by side."""
 
-    def __init__(self, rows: list[int], starts: list[int], digests: list[np.ndarray], words: int, anchor: int):
+    def __init__(self, rows: list[int], starts: list[int], texts: list[list[bytes]], words: int, anchor: int):
+        self.text = list(chain.from_iterable(texts))
+        digests = [np.frombuffer(b"".join(map(xxh3_64_digest, t)), ">u8").astype(np.uint64) for t in texts]
         sizes = np.array([len(d) for d in digests])
         d = np.concatenate(digests)
         n = len(d) - words + 1
-        self.low, self.high, self.words = d[:, 0].copy(), d[:, 1].copy(), words
+        self.words = words
         ends = np.cumsum(sizes)
         at = np.arange(n)
         self.row = np.repeat(rows, sizes)[:n]
         self.pos = (np.repeat(np.array(starts) - ends + sizes, sizes)[:n] + at).astype(np.int64)
         valid = np.repeat(ends, sizes)[:n] - at >= words
-        grams = _mixed(_rolled(self.low, anchor, _FACTORS[1]))
+        grams = _mixed(_rolled(d, anchor, _FACTORS[1]))
         reach, least = 1, grams
         span = words - anchor + 1
         while reach < span:
@@ -98,29 +101,29 @@ class Run:
         run = np.cumsum(self.first) - 1
         return np.flatnonzero(self.valid & found[np.maximum(run, 0)])
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        return _mixed(_rolled(self.low, self.words, _FACTORS[0])), (_mixed(_rolled(self.high, self.words, _FACTORS[1])) >> _U(32)).astype(np.uint32)
+    def digests(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the SHA-256 of each window's words."""
+        text, words = self.text, self.words
+        found = b"".join([sha256(b" ".join(text[i : i + words])).digest()[:16] for i in windows.tolist()])
+        return tuple(np.frombuffer(found, "<u8").reshape(-1, 2).T.copy())
 
 
 def _runs(texts: pa.Array, words: int, anchor: int) -> Iterator[Run]:
     """All windows of the texts, a bounded number of words at a time; a long text comes in parts that overlap by words - 1."""
     rows, starts, held, n = [], [], [], 0
     for r, text in enumerate(texts):
-        at, tail = 0, None
+        at, tail = 0, []
         for part in word_pieces(text.as_py()):
             for k in range(0, len(part), AT_ONCE):
-                some = part[k : k + AT_ONCE]
-                d = np.frombuffer(b"".join(map(xxh3_128_digest, some)), "<u8").reshape(-1, 2)
-                if tail is not None:
-                    d = np.concatenate([tail, d])
-                begin = at + len(some) - len(d)
-                at += len(some)
-                tail = d[-(words - 1) :] if words > 1 else None
-                if len(d) >= words:
+                some = tail + part[k : k + AT_ONCE]
+                begin = at - len(tail)
+                at = begin + len(some)
+                tail = some[-(words - 1) :] if words > 1 else []
+                if len(some) >= words:
                     rows.append(r)
                     starts.append(begin)
-                    held.append(d)
-                    n += len(d)
+                    held.append(some)
+                    n += len(some)
                 if n >= AT_ONCE:
                     yield Run(rows, starts, held, words, anchor)
                     rows, starts, held, n = [], [], [], 0
@@ -261,8 +264,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch, bits: int, shards: in
         for run in _runs(batch.column(2), words, anchor):
             x = run.repeated(estimate)
             if len(x):
-                h1, h2 = run.hashes()
-                held.append((h1[x], h2[x], doc_id[run.row[x]], number[run.row[x]], run.pos[x].astype(np.uint32)))
+                held.append((*run.digests(x), doc_id[run.row[x]], number[run.row[x]], run.pos[x].astype(np.uint32)))
                 n += len(x)
             if n >= WINDOWS_HELD:
                 yield from flush()
@@ -301,7 +303,7 @@ def _resolved(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
     n = 0
     for _, rows in _by_key(batches):
-        h1, h2, doc, row, pos = (np.concatenate(x) for x in zip(*(_unpacked(r[0], "<u8", "<u4", "<i8", "<i8", "<u4") for r in rows), strict=True))
+        h1, h2, doc, row, pos = (np.concatenate(x) for x in zip(*(_unpacked(r[0], "<u8", "<u8", "<i8", "<i8", "<u4") for r in rows), strict=True))
         order, later = _later(h1, h2, doc) if len(h1) else (np.zeros(0, np.int64), np.zeros(0, bool))
         found = [(row[order[later]], pos[order[later]]), *(_unpacked(r[1], "<i8", "<u4") for r in rows)]
         for f in found:
@@ -372,7 +374,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     kept: the words that stay, joined by one space. Words are taken as they
     are; a null text has none. Windows are judged on the input. A null doc_id
-    counts as larger than any other; rows with equal doc_ids do not remove each
+    counts as 2**63 - 1, the largest there is; rows with equal doc_ids do not remove each
     other's words. A text with fewer words than a window loses nothing unless
     it has none. `docs` must be a stored table: it is read more than once.
     """

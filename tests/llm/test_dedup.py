@@ -210,8 +210,8 @@ def test_runs_are_independent_of_their_size(monkeypatch):
     def windows():
         out = []
         for run in W._runs(texts, 13, 6):
-            h, _ = run.hashes()
-            out += [(int(run.row[k]), int(run.pos[k]), int(h[k])) for k in np.flatnonzero(run.valid)]
+            at = np.flatnonzero(run.valid)
+            out += [(int(run.row[k]), int(run.pos[k]), int(h)) for k, h in zip(at, run.digests(at)[0], strict=True)]
         return sorted(out)
 
     whole = windows()
