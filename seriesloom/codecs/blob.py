@@ -216,6 +216,8 @@ def encode_numeric(start: int, metrics: list[Metric], config: Config = Config())
 def encode_text(start: int, metrics: list[Metric], config: TextConfig = TextConfig()) -> bytes:
     """One text blob: per point its timestamp, the lengths of value and tag, and both."""
     _check(metrics)
+    if max(len(m.ts) for m in metrics) > MAX_COMPACT:
+        raise SeriesError("OffsetOutOfRange")
     mark = "<" if not config.big_endian else ">"
     out, starts = bytearray(), []
     for m in metrics:

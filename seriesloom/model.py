@@ -9,6 +9,8 @@ of rows. Tags are '' where there are none; values are never null.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,9 +79,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_points(spark: SparkSession, sf_dir: str, blob_us: int = DAY) -> DataFrame:
-    """Numeric points of the events table: a metric per event type, a blob per day."""
+def within(df: DataFrame, column: str, blob_id: int, blob_us: int = DAY) -> DataFrame:
+    """The rows of one blob by plain comparisons of the time column, which reach its Parquet scan."""
+    epoch, kind = datetime(1970, 1, 1), df.schema[column].dataType
+    first, after = (F.lit((epoch + timedelta(microseconds=blob_us * b)).isoformat(" ")).cast(kind) for b in (blob_id, blob_id + 1))
+    return df.where((F.col(column) >= first) & (F.col(column) < after))
+
+
+def event_points(spark: SparkSession, sf_dir: str, blob_us: int = DAY, metric: str | None = None, blob_id: int | None = None) -> DataFrame:
+    """Numeric points of the events table: a metric per event type, a blob per day.
+
+    metric, blob_id: only their points. These filters come before positions are
+    counted, which they do not change, as positions count inside a metric and blob.
+    """
     e = table(spark, sf_dir, "events")
+    if metric is not None:
+        e = e.where(F.col("event_type") == metric)
+    if blob_id is not None:
+        e = within(e, "ts", blob_id, blob_us)
     return points(e, "numeric", F.col("event_type"), micros(F.col("ts")), F.col("value"), F.col("props"), blob_us, [F.col("event_id")])
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.codecs import blob as B
 from seriesloom.functions.sizes import ENTRY, HEADER
 from seriesloom.operators.regression import fits, formula, ranked
 from seriesloom.operators.resample import LADDER, cap, ladder
-from seriesloom.operators.sizing import TIMES, VALUES, measured
+from seriesloom.operators.sizing import TIMES, VALUES, column_sizes, measured
 
 
 def analyze(points: DataFrame, ts: str = "delta", val: str = "gorilla") -> DataFrame:
@@ -33,17 +31,9 @@ def measured_each(points: DataFrame, ts: str = "delta", val: str = "gorilla") ->
     below = F.filter(F.array(*[F.lit(p).cast("long") for p in LADDER]), lambda p: p <= F.col("cap"))
     steps = F.when(F.col("cap") > 1.2 * F.element_at(below, -1), F.concat(below, F.array("cap"))).otherwise(below)
     lengths = caps.select("blob_id", F.explode(steps).alias("ppm"))
-    rows = points.select("blob_id", "metric_id", "pos", "ts", "val").join(lengths, "blob_id")
+    rows = points.select("blob_id", "metric_id", "metric_name", "pos", "ts", "val").join(lengths, "blob_id")
     rows = rows.withColumns({"chunk": F.floor(F.col("pos") / F.col("ppm")), "chunk_pos": F.col("pos") % F.col("ppm")})
-    t_kind, v_kind = TIMES[ts], VALUES[val]
-
-    def measure(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk_pos")
-        size = len(B.timestamp_bytes(table["ts"].to_numpy(), t_kind)) + len(B.value_bytes(table["val"].to_numpy(), v_kind))
-        key = {k: [table[k][0].as_py()] for k in ("blob_id", "ppm", "chunk")}
-        return pa.table({**key, "n": [len(table)], "bytes": [size]})
-
-    columns = rows.groupBy("blob_id", "ppm", "chunk", "metric_id").applyInArrow(measure, "blob_id long, ppm long, chunk long, n long, bytes long")
+    columns = column_sizes(rows, ["blob_id", "ppm", "chunk"], TIMES[ts], VALUES[val])
     blobs = columns.groupBy("blob_id", "ppm", "chunk").agg(F.sum("n").alias("n"), (F.sum("bytes") + HEADER + ENTRY * F.count(F.lit(1))).alias("bytes"))
     return blobs.groupBy("blob_id", "ppm").agg(F.sum("n").alias("n_points"), F.sum("bytes").alias("bytes")).withColumn("bpp", F.col("bytes") / F.col("n_points"))
 

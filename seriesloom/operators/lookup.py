@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.ids import unsigned_order
-from seriesloom.operators.scan import blob_offsets, of_blob, of_metric, with_global_index
+from seriesloom.functions.ids import metric_id, unsigned_order
+from seriesloom.operators.scan import beside, blob_offsets, of_blob, of_metric, with_global_index
 
 
 def at(points: DataFrame, metric: int | str, blob_id: int, pos: int) -> DataFrame:
@@ -20,8 +20,8 @@ def set_at(points: DataFrame, metric: int | str, gidx: int) -> DataFrame:
     """The point at a global index, in two steps: prefix sums over the metric's blobs find the blob, a filter the point."""
     rows = of_metric(points, metric)
     home = blob_offsets(rows).where((F.col("first_gidx") <= gidx) & (F.lit(gidx) < F.col("first_gidx") + F.col("n")))
-    home = home.select("blob_id", "blob_start", "blob_ord", "metric_id", (F.lit(gidx) - F.col("first_gidx")).cast("int").alias("pos"))
-    return rows.join(home, ["blob_id", "blob_start", "blob_ord", "metric_id", "pos"]).select("ts", "val", "tag")
+    home = home.withColumn("pos", (F.lit(gidx) - F.col("first_gidx")).cast("int")).drop("n", "first_gidx")
+    return beside(rows, home, "pos").select("ts", "val", "tag")
 
 
 def set_at_many(points: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -38,11 +38,18 @@ def has_metric(points: DataFrame, metric: int | str) -> bool:
     return not of_metric(points, metric).limit(1).isEmpty()
 
 
+def _asked(points: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(name, metric_id) of each name asked for; a null id if it does not occur."""
+    asked = points.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string").withColumn("hash", metric_id(F.col("name")))
+    known = points.select("metric_id", "metric_name").distinct()
+    by_name = known.where("metric_name is not null").select("metric_id", F.col("metric_name").alias("name"))
+    by_hash = known.where("metric_name is null").join(asked.withColumnRenamed("hash", "metric_id"), "metric_id").select("metric_id", "name")
+    return asked.select("name").join(by_name.unionByName(by_hash), "name", "left")
+
+
 def has_metrics(points: DataFrame, names: Sequence[str]) -> DataFrame:
     """(name, present) for some names."""
-    known = points.where(F.col("metric_name").isin(list(names))).select("metric_name").distinct()
-    asked = points.sparkSession.createDataFrame([(n,) for n in names], "name string")
-    return asked.join(known, F.col("name") == F.col("metric_name"), "left").select("name", F.col("metric_name").isNotNull().alias("present"))
+    return _asked(points, names).groupBy("name").agg(F.max(F.col("metric_id").isNotNull()).alias("present"))
 
 
 def metric_ids(points: DataFrame, per_blob: bool = False) -> DataFrame:
@@ -58,5 +65,5 @@ def metric_names(points: DataFrame, per_blob: bool = False) -> DataFrame:
 
 
 def resolve_names(points: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(name, metric_id): ids of names that occur; a name that hashes to another's id stays apart."""
-    return points.where(F.col("metric_name").isin(list(names))).select(F.col("metric_name").alias("name"), "metric_id").distinct()
+    """(name, metric_id): ids of names that occur, by name or, in blobs without names, by their hash; a name that hashes to another's id stays apart."""
+    return _asked(points, names).where("metric_id is not null").select("name", "metric_id").distinct()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seriesloom.operators.scan import with_global_index
 from seriesloom.operators.summary import lengths
 
+#: Chunk numbers that are listed at once.
+AT_ONCE = 1 << 12
 #: Chunk lengths that are tried.
 LADDER = [1, 2, 5, 10, 20, 50, 100, 150, 200, 500, 1000, 2000, 5000]
 
@@ -38,8 +40,10 @@ def chunks(points: DataFrame, ppms: list[int]) -> DataFrame:
 
 def chunk_sizes(points: DataFrame, ppms: list[int]) -> DataFrame:
     """(ppm, chunk, n_metrics, n_points): chunk k of all metrics makes one blob. Counts only, from the metrics' lengths."""
-    n = lengths(points).select("metric_id", "n", F.explode(F.array(*[F.lit(p) for p in ppms])).alias("ppm"))
-    pieces = n.select("ppm", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("ppm")) - 1)).alias("chunk"))
+    n = lengths(points).select("metric_id", "n", F.explode(F.array(*[F.lit(p) for p in ppms])).alias("ppm")).withColumn("chunks", F.ceil(F.col("n") / F.col("ppm")))
+    blocks = n.select("ppm", "n", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(chunks - 1) div {AT_ONCE}"))).alias("block"))
+    last = F.least(F.col("chunks"), (F.col("block") + 1) * AT_ONCE) - 1
+    pieces = blocks.select("ppm", "n", F.explode(F.sequence(F.col("block") * AT_ONCE, last)).alias("chunk"))
     size = F.least(F.col("ppm").cast("long"), F.col("n") - F.col("chunk") * F.col("ppm"))
     return pieces.groupBy("ppm", "chunk").agg(F.count(F.lit(1)).alias("n_metrics"), F.sum(size).alias("n_points"))
 
@@ -55,10 +59,11 @@ def evenly(points: DataFrame, n: int) -> DataFrame:
     Source index round(i * (length - 1) / (n - 1)), halves away from zero; metrics with fewer than n points give none.
     """
     size = lengths(points).where(F.col("n") >= n)
-    wanted = size.select("metric_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "n")
+    wanted = size.select("metric_id", F.col("metric_name").alias("__name"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "n")
     step = (F.col("n") - 1) / F.lit(float(max(n - 1, 1)))
-    wanted = wanted.select("metric_id", "i", F.least(F.round(F.col("i") * step).cast("long"), F.col("n") - 1).alias("gidx"))
-    return with_global_index(points).join(wanted, ["metric_id", "gidx"]).select("metric_id", "metric_name", "i", "ts", "val")
+    wanted = wanted.select(F.col("metric_id").alias("__id"), "__name", "i", F.least(F.round(F.col("i") * step).cast("long"), F.col("n") - 1).alias("__gidx"))
+    same = (F.col("metric_id") == F.col("__id")) & (F.col("gidx") == F.col("__gidx")) & F.col("metric_name").eqNullSafe(F.col("__name"))
+    return with_global_index(points).join(wanted, same).select("metric_id", "metric_name", "i", "ts", "val")
 
 
 def normalized(points: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
 """Scans of one metric, in one blob or across a set, and the global index.
 
 Filters on metric or blob come before any window and on its own partition
-columns, so that they reach the Parquet scan; projections prune columns there.
+columns, so that they reach the scan of a stored relation of points;
+projections prune columns there.
+
+A metric is known by its id. Blobs keyed by id carry no names, so a name also
+stands for the points without one whose id is its hash. Two names of one id are
+two metrics; points without a name are then a third.
 """
 
 from __future__ import annotations
@@ -11,6 +16,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.ids import metric_id
+
 #: What a scan may project.
 PARTS = {"all": ["ts", "val", "tag"], "timestamps": ["ts"], "values": ["val"], "tags": ["tag"]}
 
@@ -20,10 +27,22 @@ def of_metric(points: DataFrame, metric: int | str | None = None) -> DataFrame:
     if metric is None:
         return points
     if isinstance(metric, str):
-        return points.where(F.col("metric_name") == metric)
+        return points.where(is_named(metric))
     return points.where(F.col("metric_id") == F.lit(metric - (1 << 64) if metric >= 1 << 63 else metric))
 
 
+def is_named(name: str) -> Column:
+    """Whether a point is of the metric of this name: by name, or by the name's hash where there is none."""
+    return (F.col("metric_name") == name) | (F.col("metric_name").isNull() & (F.col("metric_id") == metric_id(F.lit(name))))
+
+
+def with_sole_name(rows: DataFrame) -> DataFrame:
+    """rows with the name of a metric also where it is null, if its id has one name only. For aggregates: a window by metric_id."""
+    w = Window.partitionBy("metric_id")
+    sole = F.when(F.min("metric_name").over(w) == F.max("metric_name").over(w), F.min("metric_name").over(w))
+    return rows.withColumn("metric_name", F.coalesce("metric_name", sole))
+
+
 def of_blob(points: DataFrame, blob_id: int) -> DataFrame:
     return points.where(F.col("blob_id") == blob_id)
 
@@ -35,25 +54,37 @@ def scan(points: DataFrame, metric: int | str, blob_id: int, part: str = "all")
 
 def blob_index(points: DataFrame) -> DataFrame:
     """The index: points of each metric in each blob, with first and last timestamp."""
-    key = ["blob_id", "blob_start", "blob_ord", "metric_id"]
-    return points.groupBy(*key).agg(F.first("metric_name", ignorenulls=True).alias("metric_name"), F.count(F.lit(1)).alias("n"), F.min_by("ts", "pos").alias("first_ts"), F.max_by("ts", "pos").alias("last_ts"))
+    key = ["blob_id", "blob_start", "blob_ord", "metric_id", "metric_name"]
+    return with_sole_name(points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min_by("ts", "pos").alias("first_ts"), F.max_by("ts", "pos").alias("last_ts")))
 
 
 def blob_offsets(points: DataFrame) -> DataFrame:
-    """(blob_id, blob_start, blob_ord, metric_id, n, first_gidx): where each blob begins in a metric's global index.
+    """(blob_id, blob_start, blob_ord, metric_id, own_name, metric_name, n, first_gidx): where each blob begins in a metric's global index.
 
-    Prefix sums over blobs, not over points: a metric with most of the points
-    costs one task as many rows as it has blobs.
+    own_name: the name in that blob, which may be null; metric_name: the
+    metric's. Prefix sums over blobs, not over points: a metric with most of
+    the points costs one task as many rows as it has blobs.
     """
-    n = points.groupBy("blob_id", "blob_start", "blob_ord", "metric_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("metric_id").orderBy("blob_start", "blob_ord", "blob_id").rowsBetween(Window.unboundedPreceding, -1)
+    n = points.groupBy("blob_id", "blob_start", "blob_ord", "metric_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))
+    n = with_sole_name(n.withColumn("own_name", F.col("metric_name")))
+    w = Window.partitionBy("metric_id", "metric_name").orderBy("blob_start", "blob_ord", "blob_id").rowsBetween(Window.unboundedPreceding, -1)
     return n.withColumn("first_gidx", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
+def beside(points: DataFrame, offsets: DataFrame, *more: str) -> DataFrame:
+    """points joined to rows of blob_offsets, with the metric's name from these. more: other columns that must agree."""
+    keys = ["blob_id", "blob_start", "blob_ord", "metric_id", *more]
+    other = offsets.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("own_name").alias("__own"), F.col("metric_name").alias("__name"), *[c for c in offsets.columns if c not in (*keys, "own_name", "metric_name")])
+    on = F.col("metric_name").eqNullSafe(F.col("__own"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return points.join(other, on).drop("__own", *[f"__{k}" for k in keys]).withColumn("metric_name", F.col("__name")).drop("__name")
+
+
 def with_global_index(points: DataFrame) -> DataFrame:
     """points with gidx: 0 .. n - 1 along (blob_start, blob_ord, pos) of each metric."""
-    at = blob_offsets(points).select("blob_id", "blob_start", "blob_ord", "metric_id", "first_gidx")
-    return points.join(at, ["blob_id", "blob_start", "blob_ord", "metric_id"]).withColumn("gidx", F.col("first_gidx") + F.col("pos")).drop("first_gidx")
+    at = blob_offsets(points).drop("n")
+    return beside(points, at).withColumn("gidx", F.col("first_gidx") + F.col("pos")).drop("first_gidx")
 
 
 def set_scan(points: DataFrame, metric: int | str | None = None, part: str = "all", limit: int | None = None) -> DataFrame:
@@ -69,8 +100,11 @@ def first_points(points: DataFrame, limit: int, metric: int | str | None = None)
 
     The rank itself is compared, so that tasks keep only that many rows a metric before the shuffle.
     """
-    w = Window.partitionBy("metric_id").orderBy("blob_start", "blob_ord", "pos")
-    return of_metric(points, metric).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).withColumn("gidx", F.col("rn") - 1).drop("rn")
+    w = Window.partitionBy("metric_id", "metric_name").orderBy("blob_start", "blob_ord", "pos")
+    rows = of_metric(points, metric)
+    sole = rows.groupBy("metric_id").agg(F.min("metric_name").alias("__least"), F.max("metric_name").alias("__most")).where(F.col("__least") == F.col("__most"))
+    rows = rows.join(sole.drop("__most"), "metric_id", "left").withColumn("metric_name", F.coalesce("metric_name", "__least")).drop("__least").select(*points.columns)
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).withColumn("gidx", F.col("rn") - 1).drop("rn")
 
 
 def iterate(points: DataFrame, metric: int | str, part: str = "all") -> Iterator[tuple]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,17 +55,44 @@ def encoding_matrix(points: DataFrame) -> DataFrame:
     return out.select("r.*", F.col("n").alias("n_points"), (F.col("r.bytes") / F.col("n")).alias("bpp"), (F.col("r.bytes") / F.col("base")).alias("ratio"), ((1 - F.col("r.bytes") / F.col("base")) * 100).alias("savings"))
 
 
-def measured(points: DataFrame, ppms: list[int], ts: str = "delta", val: str = "gorilla") -> DataFrame:
-    """(ppm, n_points, bytes, bpp): points re-chunked to each length, chunk k of all metrics one blob, encoded and added up."""
-    t_kind, v_kind = TIMES[ts], VALUES[val]
+def column_sizes(rows: DataFrame, keys: list[str], t_kind: int, v_kind: int) -> DataFrame:
+    """(keys, n, bytes) of each chunk of each metric, encoded; rows: keys (longs), metric_id, metric_name, chunk_pos, ts, val.
 
-    def measure(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk_pos")
-        times, v = table["ts"].to_numpy().astype(np.int64), table["val"].to_numpy()
-        size = len(B.timestamp_bytes(times, t_kind)) + len(B.value_bytes(v, v_kind))
-        return pa.table({"ppm": [table["ppm"][0].as_py()], "chunk": [table["chunk"][0].as_py()], "n": [len(v)], "bytes": [size]})
+    Rows come sorted, so a task encodes one chunk after the other and holds a batch and a chunk.
+    """
+    whole = [*keys, "metric_id", "metric_name"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
 
-    rows = chunks(points, ppms).select("ppm", "chunk", "metric_id", "chunk_pos", "ts", "val")
-    columns = rows.groupBy("ppm", "chunk", "metric_id").applyInArrow(measure, "ppm long, chunk long, n long, bytes long")
+        def encoded(table: pa.Table, last: bool) -> tuple[pa.Table, pa.RecordBatch]:
+            columns = [table.column(k).to_numpy() if k != "metric_name" else table.column(k).dictionary_encode().combine_chunks().indices.fill_null(-1).to_numpy() for k in whole]
+            new = np.ones(len(table), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+            bounds = np.append(np.flatnonzero(new), len(table))
+            if not last:
+                bounds = bounds[:-1]
+            times, values = table.column("ts").to_numpy().astype(np.int64), table.column("val").to_numpy()
+            sizes = [len(B.timestamp_bytes(times[a:b], t_kind)) + len(B.value_bytes(values[a:b], v_kind)) for a, b in zip(bounds, bounds[1:], strict=False)]
+            first = bounds[:-1]
+            out = [pa.array(c[first]) for c in columns[: len(keys)]] + [pa.array(np.diff(bounds)), pa.array(sizes, pa.int64())]
+            return table.slice(int(bounds[-1])), pa.RecordBatch.from_arrays(out, [*keys, "n", "bytes"])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                rest, out = encoded(table, False)
+                yield out
+        if rest is not None and len(rest):
+            yield encoded(rest, True)[1]
+
+    ordered = rows.select(*whole, "chunk_pos", "ts", "val").repartition(*whole).sortWithinPartitions(*whole, "chunk_pos")
+    return ordered.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", n long, bytes long")
+
+
+def measured(points: DataFrame, ppms: list[int], ts: str = "delta", val: str = "gorilla") -> DataFrame:
+    """(ppm, n_points, bytes, bpp): points re-chunked to each length, chunk k of all metrics one blob, encoded and added up."""
+    rows = chunks(points, ppms).select(F.col("ppm").cast("long"), "chunk", "metric_id", "metric_name", "chunk_pos", "ts", "val")
+    columns = column_sizes(rows, ["ppm", "chunk"], TIMES[ts], VALUES[val])
     blobs = columns.groupBy("ppm", "chunk").agg(F.sum("n").alias("n"), (F.sum("bytes") + HEADER + ENTRY * F.count(F.lit(1))).alias("bytes"))
     return blobs.groupBy("ppm").agg(F.sum("n").alias("n_points"), F.sum("bytes").alias("bytes")).withColumn("bpp", F.col("bytes") / F.col("n_points"))

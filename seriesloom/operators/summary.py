@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from seriesloom.operators.scan import with_sole_name
+
 
 def _order() -> Column:
     return F.struct("blob_start", "blob_ord", "blob_id", "pos")
@@ -12,12 +14,17 @@ def _order() -> Column:
 
 def blob_lengths(points: DataFrame) -> DataFrame:
     """Points of each metric in each blob."""
-    return points.groupBy("blob_id", "metric_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))
+    return with_sole_name(points.groupBy("blob_id", "metric_id", "metric_name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _by_metric(parts: DataFrame) -> GroupedData:
+    """Aggregates by (metric_id, metric_name), grouped once more with the names of metrics that some blobs know by id only."""
+    return with_sole_name(parts).groupBy("metric_id", "metric_name")
 
 
 def lengths(points: DataFrame) -> DataFrame:
     """Points of each metric in the set."""
-    return points.groupBy("metric_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))
+    return _by_metric(points.groupBy("metric_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))).agg(F.sum("n").alias("n"))
 
 
 def metric_count(points: DataFrame, per_blob: bool = False) -> DataFrame:
@@ -28,8 +35,9 @@ def metric_count(points: DataFrame, per_blob: bool = False) -> DataFrame:
 
 def durations(points: DataFrame) -> DataFrame:
     """Last timestamp minus first, by position and not by value, at least 0."""
-    span = F.max_by("ts", _order()) - F.min_by("ts", _order())
-    return points.groupBy("metric_id", "metric_name").agg(F.greatest(F.lit(0), span).alias("duration_us"))
+    at = F.struct(_order().alias("at"), "ts")
+    ends = _by_metric(points.groupBy("metric_id", "metric_name").agg(F.min(at).alias("first"), F.max(at).alias("last"))).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return ends.select("metric_id", "metric_name", F.greatest(F.lit(0), F.col("last.ts") - F.col("first.ts")).alias("duration_us"))
 
 
 def time_range(points: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def statistics(df: DataFrame, value: str = "val", keys: list[str] | None = None)
 
 
 def value_sums(points: DataFrame) -> DataFrame:
-    return points.groupBy("metric_id", "metric_name").agg(F.sum("val").alias("total"))
+    return _by_metric(points.groupBy("metric_id", "metric_name").agg(F.sum("val").alias("total"))).agg(F.sum("total").alias("total"))
 
 
 def blobs(points: DataFrame) -> DataFrame:

@@ -66,22 +66,22 @@ def _six(name: str, alias: str | None = None):
 
 @query(f"WITH {PTS} SELECT pos, t AS ts, val, tag FROM pts WHERE metric = 'view' AND blob = {DAY19}")
 def scan_metric(spark, d):
-    return scan.scan(event_points(spark, d), "view", DAY19).select(*_long("pos"), "ts", "val", "tag")
+    return scan.scan(event_points(spark, d, metric="view", blob_id=DAY19), "view", DAY19).select(*_long("pos"), "ts", "val", "tag")
 
 
 @query(f"WITH {PTS} SELECT pos, t AS ts FROM pts WHERE metric = 'view' AND blob = {DAY19}")
 def scan_timestamps(spark, d):
-    return scan.scan(event_points(spark, d), "view", DAY19, "timestamps").select(*_long("pos"), "ts")
+    return scan.scan(event_points(spark, d, metric="view", blob_id=DAY19), "view", DAY19, "timestamps").select(*_long("pos"), "ts")
 
 
 @query(f"WITH {PTS} SELECT pos, val FROM pts WHERE metric = 'view' AND blob = {DAY19}")
 def scan_values(spark, d):
-    return scan.scan(event_points(spark, d), "view", DAY19, "values").select(*_long("pos"), "val")
+    return scan.scan(event_points(spark, d, metric="view", blob_id=DAY19), "view", DAY19, "values").select(*_long("pos"), "val")
 
 
 @query(f"WITH {PTS} SELECT pos, tag FROM pts WHERE metric = 'view' AND blob = {DAY19}")
 def scan_tags(spark, d):
-    return scan.scan(event_points(spark, d), "view", DAY19, "tags").select(*_long("pos"), "tag")
+    return scan.scan(event_points(spark, d, metric="view", blob_id=DAY19), "view", DAY19, "tags").select(*_long("pos"), "tag")
 
 
 @query(f"WITH {GPTS} SELECT metric, gidx, t AS ts, val, tag FROM gpts")
@@ -91,17 +91,17 @@ def set_scan_global_index(spark, d):
 
 @query(f"WITH {GPTS} SELECT gidx, val FROM gpts WHERE metric = 'click'")
 def set_scan_values(spark, d):
-    return scan.set_scan(event_points(spark, d), "click", "values").select(*_long("gidx"), "val")
+    return scan.set_scan(event_points(spark, d, metric="click"), "click", "values").select(*_long("gidx"), "val")
 
 
 @query(f"WITH {GPTS} SELECT gidx, t AS ts FROM gpts WHERE metric = 'click'")
 def set_scan_timestamps(spark, d):
-    return scan.set_scan(event_points(spark, d), "click", "timestamps").select(*_long("gidx"), "ts")
+    return scan.set_scan(event_points(spark, d, metric="click"), "click", "timestamps").select(*_long("gidx"), "ts")
 
 
 @query(f"WITH {GPTS} SELECT gidx, tag FROM gpts WHERE metric = 'click'")
 def set_scan_tags(spark, d):
-    return scan.set_scan(event_points(spark, d), "click", "tags").select(*_long("gidx"), "tag")
+    return scan.set_scan(event_points(spark, d, metric="click"), "click", "tags").select(*_long("gidx"), "tag")
 
 
 @query(f"WITH {GPTS} SELECT metric, gidx, val FROM gpts WHERE gidx < 10")
@@ -134,12 +134,12 @@ def tag_at(spark, d):
 
 @query(f"WITH {GPTS} SELECT t AS ts, val, tag FROM gpts WHERE metric = 'purchase' AND gidx = 99")
 def point_at(spark, d):
-    return lookup.set_at(event_points(spark, d), "purchase", 99)
+    return lookup.set_at(event_points(spark, d, metric="purchase"), "purchase", 99)
 
 
 @query(f"WITH {PTS} SELECT t AS ts, val, tag FROM pts WHERE metric = 'purchase' AND blob = {DAY19} AND pos = 3")
 def blob_point_at(spark, d):
-    return lookup.at(event_points(spark, d), "purchase", DAY19, 3)
+    return lookup.at(event_points(spark, d, metric="purchase", blob_id=DAY19), "purchase", DAY19, 3)
 
 
 @query(f"WITH {PTS} SELECT name, EXISTS (SELECT 1 FROM pts WHERE metric = name) AS present FROM (VALUES ('view'), ('error'), ('nothing')) AS v(name)")
@@ -204,6 +204,34 @@ def blob_at(spark, d):
     return summary.blob_at(event_points(spark, d), 2).select(F.col("metric_name").alias("metric"), *_long("pos"), "ts", "val")
 
 
+def _half_named(spark, d):
+    """All events; blobs of even days are keyed by id and have no names."""
+    p = event_points(spark, d)
+    return p.withColumn("metric_name", F.when(F.col("blob_id") % 2 == 1, F.col("metric_name")))
+
+
+@query(f"WITH {GPTS} SELECT metric, count(*) AS n, greatest(0, arg_max(t, gidx) - arg_min(t, gidx)) AS duration_us, round(sum(val), 4) AS total FROM gpts GROUP BY metric")
+def half_named_summaries(spark, d):
+    p = _half_named(spark, d)
+    n, span, total = summary.lengths(p), summary.durations(p).drop("metric_name"), summary.value_sums(p).drop("metric_name")
+    return n.join(span, "metric_id").join(total, "metric_id").select(F.col("metric_name").alias("metric"), "n", "duration_us", F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {GPTS} SELECT metric, gidx, t AS ts, val FROM gpts WHERE metric = 'click'")
+def half_named_scan(spark, d):
+    return scan.set_scan(_half_named(spark, d), "click").select(F.col("metric_name").alias("metric"), *_long("gidx"), "ts", "val")
+
+
+@query(f"WITH {GPTS} SELECT t AS ts, val, tag FROM gpts WHERE metric = 'purchase' AND gidx = 99")
+def half_named_point_at(spark, d):
+    return lookup.set_at(_half_named(spark, d), "purchase", 99)
+
+
+@query(f"WITH {PTS} SELECT blob, metric, count(*) AS n FROM pts GROUP BY ALL")
+def half_named_blob_lengths(spark, d):
+    return summary.blob_lengths(_half_named(spark, d)).select(F.col("blob_id").alias("blob"), F.col("metric_name").alias("metric"), "n")
+
+
 # ----------------------------------------------------------------- materialization
 
 
@@ -241,21 +269,24 @@ def text_at(spark, d):
 
 
 def _mixed(spark, d):
-    """Numeric events of even users, and all events as text: users with an even id are on both sides."""
+    """Both sides from all events, under one set of names: a numeric metric for each event type, a text metric for each event type or user, by the half of the minute."""
     from seriesloom.model import micros, points, table
 
     e = table(spark, d, "events")
-    numeric = points(e.where("user_id % 2 = 0 and event_id % 3 = 0"), "numeric", F.col("user_id"), micros(F.col("ts")), F.col("value"), F.col("props"), order=[F.col("event_id")])
-    return numeric, user_points(spark, d)
+    name = F.when(F.second("ts") < 30, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
+    text = points(e, "text", name, micros(F.col("ts")), F.col("event_type"), None, order=[F.col("event_id")])
+    return event_points(spark, d), text
 
 
 MIX = (
-    TXT
-    + """, num AS (
-    SELECT CAST(user_id AS VARCHAR) AS metric, epoch_us(ts) // 86400000000 AS blob, epoch_us(ts) AS t, coalesce(props, '') AS tag,
-           row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY epoch_us(ts), event_id) - 1 AS pos
-    FROM events WHERE user_id % 2 = 0 AND event_id % 3 = 0 AND ts IS NOT NULL AND value IS NOT NULL
-), gnum AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY blob, pos) - 1 AS gidx FROM num)"""
+    PTS
+    + """, num AS (SELECT * FROM pts), gnum AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY blob, pos) - 1 AS gidx FROM num), txt AS (
+    SELECT metric, blob, t, val, row_number() OVER (PARTITION BY metric, blob ORDER BY t, event_id) - 1 AS pos
+    FROM (
+        SELECT CASE WHEN second(ts) < 30 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS metric, epoch_us(ts) // 86400000000 AS blob, epoch_us(ts) AS t, event_type AS val, event_id
+        FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL
+    )
+), gtxt AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY blob, pos) - 1 AS gidx FROM txt)"""
 )
 
 

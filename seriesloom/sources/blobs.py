@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seriesloom.codecs import blob as B
+from seriesloom.errors import SeriesError
 
 POINTS = "kind string, blob_id long, blob_start long, blob_ord int, metric_id long, metric_name string, pos int, ts long, val double, text string, tag string"
 _FIELDS = pa.schema([("kind", pa.string()), ("blob_id", pa.int64()), ("blob_start", pa.int64()), ("blob_ord", pa.int32()), ("metric_id", pa.int64()), ("metric_name", pa.string()), ("pos", pa.int32()), ("ts", pa.int64()), ("val", pa.float64()), ("text", pa.string()), ("tag", pa.string())])
@@ -25,20 +27,29 @@ def encode_blobs(points: DataFrame, config: B.Config | B.TextConfig = B.Config()
 
     A blob is encoded as a whole by one task; the format itself bounds its
     size. Metrics come in unsigned order of their ids. names: key metrics by
-    name where the relation has names.
+    name where the relation has names. A blob whose offsets do not fit the
+    first layout takes the second.
     """
     text = isinstance(config, B.TextConfig)
 
+    def fitting(start: int, metrics: list[B.Metric]) -> bytes:
+        try:
+            return B.encode_numeric(start, metrics, config)
+        except SeriesError as e:
+            if config.v2 or e.code != "OffsetOutOfRange":
+                raise
+            return B.encode_numeric(start, metrics, replace(config, v2=True))
+
     def encode(table: pa.Table) -> pa.Table:
         table = table.sort_by([("metric_id", "ascending"), ("metric_name", "ascending"), ("pos", "ascending")])
         ident, ts = table["metric_id"].to_numpy(), table["ts"].to_numpy()
         name, tag, val = table["metric_name"].to_pylist(), table["tag"].to_pylist(), table["val"].to_pylist() if text else table["val"].to_numpy()
-        key = np.array([hash((i, n)) for i, n in zip(ident.tolist(), name, strict=True)])
-        bounds = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        new = [k for k in range(1, len(ident)) if ident[k] != ident[k - 1] or name[k] != name[k - 1]]
+        bounds = [0, *new, len(ident)]
         metrics = [B.Metric(int(ident[a]) % (1 << 64), ts[a:b], val[a:b], tag[a:b], name[a] if names else None) for a, b in zip(bounds, bounds[1:], strict=False)]
         metrics.sort(key=lambda m: (m.ident, m.name or ""))
         start = table["blob_start"][0].as_py()
-        data = B.encode_text(start, metrics, config) if text else B.encode_numeric(start, metrics, config)
+        data = B.encode_text(start, metrics, config) if text else fitting(start, metrics)
         return pa.table({"blob_id": [table["blob_id"][0].as_py()], "blob_start": [start], "data": [data]})
 
     rows = points.select("blob_id", "blob_start", "metric_id", "metric_name", "pos", "ts", "val", "tag")

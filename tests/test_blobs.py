@@ -112,7 +112,32 @@ def test_text_limits():
     with pytest.raises(SeriesError, match="UnsupportedEncoding"):
         B.TextConfig(ts=B.DELTA_PACKED)
     with pytest.raises(SeriesError, match="UnsupportedCompression"):
-        B.encode_numeric(0, numeric(1, 2), B.Config(ts_block=block.LZ4))
+        B.encode_numeric(0, numeric(1, 2), B.Config(ts_block=9))
+    with pytest.raises(SeriesError, match="OffsetOutOfRange"):
+        B.encode_text(0, [B.Metric(1, np.arange(65_536), ["v"] * 65_536)])
+
+
+@pytest.mark.parametrize("kind", [block.S2, block.LZ4])
+@pytest.mark.parametrize("data", [b"x", b"a" * 100_000, bytes(range(256)) * 9, b"abcab" * 400, np.random.default_rng(1).bytes(5000)])
+def test_block_round_trip(kind, data):
+    assert block.decompress(block.compress(data, kind), kind) == data
+    assert block.compress(b"", kind) == b"" == block.decompress(b"", kind)
+
+
+@pytest.mark.parametrize("kind", [block.S2, block.LZ4])
+def test_damaged_blocks_are_errors(kind):
+    packed = block.compress(b"some text " * 100, kind)
+    with pytest.raises(SeriesError):
+        block.decompress(packed[: len(packed) // 2], kind)
+    with pytest.raises(SeriesError, match="Decompressed"):
+        block.decompress(b"\xff\xff\xff\xff\x0f" if kind == block.S2 else b"\x1fa\x01\x00" + b"\xff" * 600_000 + b"\x00\x00", kind)
+
+
+def test_blobs_with_compressed_sections():
+    for kind in (block.S2, block.LZ4):
+        data = B.encode_numeric(0, numeric(2, 50), B.Config(ts_block=kind, val_block=kind))
+        back = B.decode(data)
+        assert all((a.ts == b.ts).all() and (a.val == b.val).all() for a, b in zip(back.metrics, numeric(2, 50), strict=True))
 
 
 @pytest.mark.parametrize("data", [B.encode_numeric(BASE, numeric(5, 10), B.Config(val=B.ALP, tags=True)), B.encode_numeric(BASE, numeric(5, 10), B.Config(shared=True)), B.encode_text(BASE, text(3, 5, True), B.TextConfig(block=block.NONE))])

@@ -116,6 +116,34 @@ def test_filters_reach_the_scan(spark, numeric, tmp_path):
     assert "tag" not in plan.split("ReadSchema")[-1].split("\n")[0]
 
 
+def test_filters_of_the_registered_queries_reach_parquet(spark):
+    from seriesloom.plans.catalogue import QUERIES
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for name in ("scan_metric", "scan_timestamps", "scan_values", "scan_tags", "blob_point_at", "set_scan_values", "set_scan_timestamps", "set_scan_tags", "point_at"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        pushed = [line for line in plan.split("\n") if "PushedFilters" in line]
+        assert pushed and all("EqualTo(event_type," in line for line in pushed), name
+        if name.startswith(("scan", "blob")):
+            assert all("GreaterThanOrEqual(ts," in line and "LessThan(ts," in line for line in pushed), name
+
+
+def test_names_and_ids_of_one_metric(spark):
+    schema = "kind string, blob_id long, blob_start long, blob_ord int, metric_name string, pos int, ts long, val double, tag string"
+    rows = [("numeric", 0, 0, 0, "cpu", k, k, float(k), "") for k in range(2)] + [("numeric", 1, 10, 0, None, 0, 10, 5.0, "")]
+    p = spark.createDataFrame(rows, schema).withColumn("metric_id", metric_id(F.lit("cpu"))).select(*model.COLUMNS)
+    assert [tuple(r)[1:] for r in summary.lengths(p).collect()] == [("cpu", 3)]
+    assert [tuple(r)[1:] for r in summary.durations(p).collect()] == [("cpu", 10)]
+    assert [(r.gidx, r.val, r.metric_name) for r in scan.set_scan(p, "cpu").orderBy("gidx").collect()] == [(0, 0.0, "cpu"), (1, 1.0, "cpu"), (2, 5.0, "cpu")]
+    assert lookup.set_at(p, "cpu", 2).first().val == 5.0 and lookup.has_metric(p.where("metric_name is null"), "cpu")
+    assert {(r.name, r.present) for r in lookup.has_metrics(p.where("blob_id = 1"), ["cpu", "no"]).collect()} == {("cpu", True), ("no", False)}
+    # Two names of one id stay apart, and points without a name are then a third metric.
+    q = p.unionByName(p.where("blob_id = 0").withColumn("metric_name", F.lit("other")).withColumn("val", F.col("val") + 100))
+    assert {(r.metric_name, r.n) for r in summary.lengths(q).collect()} == {("cpu", 2), ("other", 2), (None, 1)}
+    assert sorted((str(r.metric_name), r.gidx, r.val) for r in scan.set_scan(q).collect()) == [("None", 0, 5.0), ("cpu", 0, 0.0), ("cpu", 1, 1.0), ("other", 0, 100.0), ("other", 1, 101.0)]
+    assert {(r.metric_name, r.val) for r in scan.first_points(p, 1).collect()} == {("cpu", 0.0)}
+
+
 # ------------------------------------------------------------------------ ingest
 
 
