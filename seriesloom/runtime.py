@@ -51,12 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/seriesloom-{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Like cut(), as a Parquet table: columnar and compressed, for wider or larger rows.
 
     The table is left in the shared folder; whoever owns that folder expires it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/seriesloom-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
