@@ -61,17 +61,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as records, audited against a replica in which every 997th page has another first byte."""
+    """All pages written as WARC files, and a replica in which every 997th page has another first byte; both read back and audited."""
     from pyspark.sql import functions as F
 
-    from seriesloom.llm.warc import audit, layout, records
-    from seriesloom.runtime import cut
+    from seriesloom.llm.warc import audit, read_warc, write_warc
+    from seriesloom.runtime import cut, shared_path
 
     pages = _table(spark, sf_dir, "pages")
-    damaged = pages.withColumn("html", F.when((F.col("page_id") % 997 == 5) & (F.octet_length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
-    first, second = cut(layout(records(pages))), cut(layout(records(damaged)))
+    damaged = pages.withColumn("html", F.when((F.col("page_id") % 997 == 5) & (F.octet_length(F.left("html", F.lit(1))) == 1), F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    replicas = []
+    for table in (pages, damaged):
+        path = shared_path(spark, "warc")
+        write_warc(table, path)
+        replicas.append(cut(read_warc(spark, path, blocks=False).drop("block", "uri")))
+    first, second = replicas
     bad = audit(first, second).select("volume", "offset", F.lit(False).alias("intact"))
-    return first.join(bad, ["volume", "offset"], "left").select("page_id", F.col("length").alias("record_bytes"), F.col("digest").alias("record_sha256"), F.coalesce("intact", F.lit(True)).alias("intact"))
+    page_id = F.nullif(F.regexp_extract("record_id", "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    return first.join(bad, ["volume", "offset"], "left").select(page_id.alias("page_id"), F.col("length").alias("record_bytes"), F.col("digest").alias("record_sha256"), F.coalesce("intact", F.lit(True)).alias("intact"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +129,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM pages
         )
         SELECT page_id, CAST(strlen(record) + 4 AS BIGINT) AS record_bytes, sha256(record) AS record_sha256,
-               NOT (page_id % 997 = 5 AND strlen(body) > 0 AND body[1] <> '~') AS intact
+               NOT (page_id % 997 = 5 AND strlen(body[1]) = 1 AND body[1] <> '~') AS intact
         FROM p
     """,
     "op9_substrings": r"""

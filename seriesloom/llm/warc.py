@@ -8,25 +8,35 @@ volumes are joined by the leading hex digits of their names' digests, up to
 one root for a replica. An audit compares the roots and descends, one level at
 a time, only below nodes that differ, until it holds the records in question.
 
-Digests and trees are DataFrame functions. Each parent reads at most FANOUT
-children or the records of one range, so no node's inputs grow with the data.
+Files are read and digested by Arrow functions, trees are DataFrame functions.
+A parent reads at most FANOUT children or the records of one range; only the
+nodes by prefix grow, with the number of volumes over 16**DIGITS.
+
+Pages should have ids of their own: the record ids of a repeated id repeat.
+All records have one date, as pages have none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.runtime import cut
 
 #: Offsets that a leaf covers, children of a node, hex digits by which volumes are joined.
 RANGE_BYTES, FANOUT, DIGITS = 1 << 16, 16, 3
+#: Bytes that are expanded, or sent on, at once.
+PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF, END = "\r\n", "\r\n\r\n"
+#: The name that Spark gives a file of a partition, after whose number a random part follows.
+_PART = re.compile(r"^(part-\d+)-.*$")
 
 
 def record(page_id: Column, url: Column, html: Column, date: str = DATE) -> Column:
@@ -52,54 +62,94 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     return pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(page_id).alias("page_id"), record(F.col(page_id), F.col(url), F.col(html)).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, **columns: str) -> None:
-    """A folder of uncompressed WARC files, one for each partition."""
-    records(pages, **columns).select("record").write.option("lineSep", END).text(path)
+def write_warc(pages: DataFrame, path: str, compression: str = "gzip", **columns: str) -> None:
+    """A folder of WARC files, one for each partition of the scan, each a gzip stream (or plain: "none")."""
+    records(pages, **columns).select("record").write.option("lineSep", END).option("compression", compression).text(path)
 
 
 _LENGTH = re.compile(rb"^content-length:\s*(\d+)\s*$", re.IGNORECASE | re.MULTILINE)
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.MULTILINE)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of a file; a damaged rest is an error."""
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        head = data[at:stop]
+def content(data: bytes) -> Iterator[bytes]:
+    """A file's bytes in pieces, expanded if it is gzip (of one member or many)."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = member.decompress(data, PIECE)
+            data = member.unconsumed_tail
+            if not piece and not data and not member.eof:
+                raise ValueError("the gzip stream ends early")
+            yield piece
+        data = member.unused_data
+
+
+def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[int, int, dict[str, str], bytes, str]]:
+    """(offset, length, headers, block, digest) of each record of a file; a damaged rest is an error.
+
+    digest: SHA-256 of the record without the two line ends that close it. One
+    record and one piece are in memory at a time.
+    """
+    held, at, rest = bytearray(), 0, iter(pieces)
+
+    def more() -> bool:
+        piece = next(rest, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        seen = 0
+        while (stop := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                if held:
+                    raise ValueError(f"no WARC record at offset {at}")
+                return
+        head = bytes(held[:stop])
         size = _LENGTH.search(head)
-        if stop < 0 or not head.startswith(b"WARC/") or not size:
+        if not head.startswith(b"WARC/") or not size:
             raise ValueError(f"no WARC record at offset {at}")
         begin, end = stop + 4, stop + 4 + int(size[1])
-        if data[end : end + 4] != b"\r\n\r\n":
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at offset {at} does not end where its length says")
-        yield at, end + 4 - at, {k.decode().lower(): v.decode() for k, v in _FIELD.findall(head)}, data[begin:end]
-        at = end + 4
+        record = bytes(held[:end])
+        del held[: end + 4]
+        yield at, end + 4, {k.decode().lower(): v.decode() for k, v in _FIELD.findall(head)}, record[begin:], sha256(record).hexdigest()
+        at += end + 4
+
 
+def read_warc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """volume, offset, length, uri, record_id, digest, block (null without `blocks`): the records of a file or folder.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """volume, offset, length, uri, record_id, block: the records of a file or folder. A file is parsed in memory by one task."""
+    A volume is a file, by name up to its part number where Spark wrote it. One
+    task reads a file, which Spark's reader limits to 2 GB as stored; records
+    are parsed as they are expanded and leave in batches of about PIECE bytes.
+    """
+    names = ["volume", "offset", "length", "uri", "record_id", "digest", "block"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for offset, length, head, block in parse_warc(data.as_py()):
-                    yield pa.RecordBatch.from_pylist([{"volume": name.rsplit("/", 1)[-1], "offset": offset, "length": length, "uri": head.get("warc-target-uri"), "record_id": head.get("warc-record-id"), "block": block}])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "volume string, offset long, length long, uri string, record_id string, block binary")
-
-
-def layout(recs: DataFrame) -> DataFrame:
-    """page_id, volume, offset, length, digest: where each record lies when every partition of the scan is one volume.
-
-    A running sum inside a volume, over rows without their texts; a volume is
-    as long as a partition of the scan.
-    """
-    volume = F.lpad(F.shiftrightunsigned("row_no", 33).cast("string"), 10, "0")
-    rows = recs.select("row_no", "page_id", volume.alias("volume"), (F.octet_length("record") + len(END)).cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    before = Window.partitionBy("volume").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("page_id", "volume", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest")
+                volume, held = _PART.sub(r"\1", name.rsplit("/", 1)[-1]), 0
+                for offset, length, head, block, digest in parse_warc(content(data.as_py())):
+                    out.append((volume, offset, length, head.get("warc-target-uri"), head.get("warc-record-id"), digest, block if blocks else None))
+                    held += length if blocks else 200
+                    if held >= PIECE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return files.mapInArrow(run, "volume string, offset long, length long, uri string, record_id string, digest string, block binary")
 
 
 def _joined(rows: DataFrame, keys: list[str], order: str, parts: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """WARC records and the Merkle audit."""
 
+import gzip
 from hashlib import sha256
 
 import pytest
@@ -15,14 +16,36 @@ def pages(spark, n=40):
 
 def test_files_round_trip(spark, tmp_path):
     df = pages(spark)
-    warc.write_warc(df, str(tmp_path / "w"))
-    back = warc.read_warc(spark, str(tmp_path / "w")).where("volume like '%.txt'").collect()
-    assert sorted(bytes(r.block).decode() for r in back) == sorted(r.html or "" for r in df.collect())
-    assert "http://h/3%0D%0AX: y" in {r.uri for r in back}
-    for r in warc.layout(warc.records(df)).collect():
-        assert r.length > 0
+    for kind in ("gzip", "none"):
+        path = str(tmp_path / kind)
+        warc.write_warc(df, path, kind)
+        back = warc.read_warc(spark, path).collect()
+        assert sorted(bytes(r.block).decode() for r in back) == sorted(r.html or "" for r in df.collect())
+        assert "http://h/3%0D%0AX: y" in {r.uri for r in back}
+        assert sorted(r.digest for r in back) == sorted(sha256(r.record.encode()).hexdigest() for r in warc.records(df).collect())
+        at = {}
+        for r in sorted(back, key=lambda r: (r.volume, r.offset)):
+            assert r.offset == at.get(r.volume, 0)
+            at[r.volume] = r.offset + r.length
+        assert len(at) > 1 and all(r.block is None for r in warc.read_warc(spark, path, blocks=False).collect())
+    warc.write_warc(df.limit(0), str(tmp_path / "empty"))
+    assert warc.read_warc(spark, str(tmp_path / "empty")).count() == 0
+
+
+@pytest.mark.parametrize("data", [b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\n\r\n", b"WARC/1.1\r\n", b"nothing\r\n\r\n", b"WARC/1.1\r\nContent-Type: x\r\n\r\n"])
+def test_damaged_files_are_errors(data):
+    with pytest.raises(ValueError):
+        list(warc.parse_warc([data]))
     with pytest.raises(ValueError):
-        list(warc.parse_warc(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\n\r\n"))
+        list(warc.parse_warc(warc.content(gzip.compress(b"WARC/1.1 " * 9)[:-12])))
+
+
+def test_records_in_small_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 7)
+    one = lambda body: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    bodies = [b"", b"\r\n\r\nWARC/1.1\r\n\r\n", b"x" * 3000]
+    for data in (b"".join(map(one, bodies)), gzip.compress(b"".join(map(one, bodies))), b"".join(gzip.compress(one(b)) for b in bodies)):
+        assert [r[3] for r in warc.parse_warc(warc.content(data))] == bodies
 
 
 def brute(a, b):
