@@ -10,9 +10,11 @@ bit each. A window's anchor is the least hash among its ANCHOR-word sequences:
 equal windows have equal anchors, and neighbouring windows mostly share theirs,
 so anchors are several times fewer than windows, and an anchor's count is never
 below that of its windows. A sketch never underestimates either, so a repeated
-window is never missed. The sketch has at most
-2 * 2**MAX_BITS bits; beyond that it lets more windows through, which costs
-time only.
+window is never missed. The merged sketch is broadcast where 2 * 2**MAX_BITS
+bits hold it. Beyond that it stays in parts, each for a share of all anchors:
+tasks send their anchors to the parts, and a part answers with those estimated
+to repeat, dealt to where the texts they come from are sent as well. Parts grow
+in number with the input, not in size.
 
 Second pass: windows estimated to repeat are grouped exactly. A task resolves
 what it can by itself: of equal windows only those of its smallest doc_id are
@@ -23,13 +25,14 @@ Windows are told apart by the first 128 bits of the SHA-256 of their words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
@@ -42,6 +45,8 @@ WORDS, ANCHOR = 13, 6
 SKETCH_ROWS, MAX_BITS, BYTES_A_COUNTER = 2, 28, 8
 #: Words hashed at once; anchors and windows held before they are sent on; bytes of text for a shard.
 AT_ONCE, ANCHORS_HELD, WINDOWS_HELD, SHARD_BYTES = 300_000, 2_000_000, 1_000_000, 1 << 24
+#: Rows of the scan, as a logarithm, whose texts go together to where answers about their anchors arrive; counters of a part of the sketch for an anchor, as a logarithm.
+GROUP_BITS, SPARE_BITS = 12, 2
 #: Shards at most: a task's windows are not spread over more of them than it has windows to spare.
 MAX_SHARDS = 1 << 18
 CHUNK_BITS = 16
@@ -108,7 +113,7 @@ class Run:
         return tuple(np.frombuffer(found, "<u8").reshape(-1, 2).T.copy())
 
 
-def _runs(texts: pa.Array, words: int, anchor: int) -> Iterator[Run]:
+def _runs(texts: Iterable[pa.Scalar], words: int, anchor: int) -> Iterator[Run]:
     """All windows of the texts, a bounded number of words at a time; a long text comes in parts that overlap by words - 1."""
     rows, starts, held, n = [], [], [], 0
     for r, text in enumerate(texts):
@@ -184,16 +189,20 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.packbits(c > 1, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
 
 
-def repeat_sketch(texts: DataFrame, n_bytes: int, words: int = WORDS, anchor: int = ANCHOR) -> tuple[int, np.ndarray]:
-    """(bits, sketch): the merged sketch of one binary column; sketch[row] has a bit for each of 2**bits counters."""
-    bits = max(CHUNK_BITS, min(MAX_BITS, (n_bytes // BYTES_A_COUNTER).bit_length()))
+def sketch_bits(n_bytes: int) -> int:
+    """The logarithm of a sketch's width for so many bytes of text."""
+    return max(CHUNK_BITS, (n_bytes // BYTES_A_COUNTER).bit_length())
+
+
+def repeat_sketch(texts: DataFrame, bits: int, words: int = WORDS, anchor: int = ANCHOR) -> np.ndarray:
+    """The merged sketch of one binary column; sketch[row] has a bit for each of 2**bits counters, bits <= MAX_BITS."""
     parts = texts.mapInArrow(lambda it: _sketch_parts(it, bits, words, anchor), "chunk int, ones binary, twos binary")
     sketch = np.zeros((SKETCH_ROWS, 1 << (bits - 3)), np.uint8)
     size = 1 << (CHUNK_BITS - 3)
     for r in parts.repartition("chunk").mapInArrow(_merged, "chunk int, bits binary").toLocalIterator():  # at most 2 * 2**MAX_BITS bits in all
         at = (r.chunk & ((1 << (MAX_BITS - CHUNK_BITS)) - 1)) * size
         sketch[r.chunk >> (MAX_BITS - CHUNK_BITS), at : at + size] = np.frombuffer(r.bits, np.uint8)
-    return bits, sketch
+    return sketch
 
 
 def shards_for(n_bytes: int, size: int) -> int:
@@ -227,10 +236,9 @@ def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return order, d > least
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], sketch, bits: int, shards: int, words: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Windows estimated to repeat, packed by shard; and those known to repeat from this task alone."""
+def _whole(batches: Iterator[pa.RecordBatch], sketch: Broadcast, bits: int) -> Iterator[tuple]:
+    """Texts (row_no, doc_id, text) with the broadcast sketch's estimate."""
     table = sketch.value
-    held: list[tuple] = []
 
     def estimate(anchors: np.ndarray) -> np.ndarray:
         out = np.ones(len(anchors), bool)
@@ -238,6 +246,108 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch, bits: int, shards: in
             out &= (table[row][place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
+    for batch in batches:
+        number, doc_id = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        yield number, doc_id, batch.column(2), estimate
+
+
+def _groups(row: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each row for the exchange of anchors: rows that lie together in the scan stay together."""
+    return row_bucket(np.asarray(row).astype(np.int64) >> GROUP_BITS, n)
+
+
+def _asking(batches: Iterator[pa.RecordBatch], shards: int, words: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Distinct (anchor, bucket) of this task, with whether it was seen twice there, packed by the part that counts the anchor."""
+    held: list[tuple] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        anchors, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        part = anchors % _U(shards)
+        order = np.lexsort((bucket, anchors, part))
+        anchors, bucket, part = anchors[order], bucket[order], part[order].astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (bucket[1:] != bucket[:-1]))))
+        many = (np.diff(np.append(new, len(anchors))) > 1).astype(np.uint8)
+        anchors, bucket, part = anchors[new], bucket[new].astype("<u4"), part[new]
+        bounds = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+        data = [_packed(anchors[a:b], bucket[a:b], many[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]], pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+    n = 0
+    for batch in batches:
+        number = batch.column(0).to_numpy(zero_copy_only=False)
+        for run in _runs(batch.column(1), words, anchor):
+            held.append((run.anchors, _groups(number[run.row[run.first]], shards)))
+            n += len(run.anchors)
+            if n >= ANCHORS_HELD:
+                yield from flush()
+                n = 0
+    if n:
+        yield from flush()
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, data): the anchors that a part of the sketch estimates at two or more, for each bucket that has them."""
+    held: list[tuple] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        anchors, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(bucket, kind="stable")
+        anchors, bucket = anchors[order], bucket[order]
+        bounds = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+        data = [_packed(anchors[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+
+    n = 0
+    for _, rows in _by_key(batches):
+        anchors, bucket, many = (np.concatenate(x) for x in zip(*(_unpacked(r[0], "<u8", "<u4", "u1") for r in rows), strict=True))
+        bits = len(anchors).bit_length() + SPARE_BITS
+        found = np.ones(len(anchors), bool)
+        for place in _places(anchors, bits):
+            found &= np.bincount(place, 1 + many, 1 << bits)[place] > 1
+        held.append((anchors[found], bucket[found]))
+        n += int(found.sum())
+        if n >= ANCHORS_HELD:
+            yield from flush()
+            n = 0
+    if n:
+        yield from flush()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Texts with the estimate that the answers to their bucket give; rows come sorted by (bucket, row_no), answers have row_no -1."""
+    expand = zstandard.ZstdDecompressor().decompress
+    now, answers, known = None, [], np.zeros(0, np.uint64)
+    for batch in batches:
+        bucket, number, doc_id = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+        data = batch.column(3)
+        bounds = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | ((number[1:] < 0) != (number[:-1] < 0)), [True]))) if batch.num_rows else []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if bucket[a] != now:
+                now, answers, known = bucket[a], [], np.zeros(0, np.uint64)
+            if number[a] < 0:
+                answers += [_unpacked(data[k].as_py(), "<u8")[0] for k in range(a, b)]
+                continue
+            if answers:
+                known, answers = np.unique(np.concatenate(answers)), []
+
+            def estimate(anchors: np.ndarray, known: np.ndarray = known) -> np.ndarray:
+                return known[np.minimum(np.searchsorted(known, anchors), len(known) - 1)] == anchors if len(known) else np.zeros(len(anchors), bool)
+
+            yield number[a:b], doc_id[a:b], (pa.scalar(expand(data[k].as_py())) for k in range(a, b)), estimate
+
+
+def _sent_texts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for batch in _compressed(batches):
+        bucket = _groups(batch.column(0).to_numpy(), shards)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *batch.columns], ["bucket", "row_no", "doc_id", "data"])
+
+
+def _repeating(stretches: Iterator[tuple[np.ndarray, np.ndarray, Iterable[pa.Scalar], Callable]], shards: int, words: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Windows estimated to repeat, packed by shard; and those known to repeat from this task alone."""
+    held: list[tuple] = []
+
     def flush() -> Iterator[pa.RecordBatch]:
         h1, h2, doc, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
@@ -259,9 +369,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch, bits: int, shards: in
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(open_, pa.binary()), pa.array(sure, pa.binary())], ["shard", "open", "sure"])
 
     n = 0
-    for batch in batches:
-        number, doc_id = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        for run in _runs(batch.column(2), words, anchor):
+    for number, doc_id, texts, estimate in stretches:
+        for run in _runs(texts, words, anchor):
             x = run.repeated(estimate)
             if len(x):
                 held.append((*run.digests(x), doc_id[run.row[x]], number[run.row[x]], run.pos[x].astype(np.uint32)))
@@ -273,6 +382,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch, bits: int, shards: in
         yield from flush()
 
 
+def _candidates(batches: Iterator[pa.RecordBatch], sketch: Broadcast, bits: int, shards: int, words: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    return _repeating(_whole(batches, sketch, bits), shards, words, anchor)
+
+
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
     """(key, rows) of runs of equal keys in the first column; rows come sorted by it."""
     key, rows = None, []
@@ -337,10 +450,19 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(row_no, ranges) of the rows of `docs` with words to remove; row_no is the row's number in the scan."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     shards = shards_for(n_bytes, SHARD_BYTES)
-    bits, sketch = repeat_sketch(docs.select(as_bytes(F.col(text)).alias("text")), n_bytes, words, anchor)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    bits = sketch_bits(n_bytes)
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), as_bytes(F.col(text)).alias("text"))
-    found = rows.mapInArrow(lambda it: _candidates(it, shared, bits, shards, words, anchor), "shard int, open binary, sure binary")
+    kinds = "shard int, open binary, sure binary"
+    if bits <= MAX_BITS:
+        sketch = docs.sparkSession.sparkContext.broadcast(repeat_sketch(rows.select("text"), bits, words, anchor))  # 2 * 2**bits bits
+        found = rows.mapInArrow(lambda it: _candidates(it, sketch, bits, shards, words, anchor), kinds)
+    else:
+        asked = rows.select("row_no", "text").mapInArrow(lambda it: _asking(it, shards, words, anchor), "part int, data binary")
+        answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers, "bucket int, data binary")
+        sent = rows.mapInArrow(lambda it: _sent_texts(it, shards), "bucket int, row_no long, doc_id long, data binary")
+        both = sent.unionByName(answers.select("bucket", F.lit(-1).cast("long").alias("row_no"), F.lit(0).cast("long").alias("doc_id"), "data"))
+        met = both.repartition("bucket").sortWithinPartitions("bucket", "row_no")
+        found = met.mapInArrow(lambda it: _repeating(_met(it), shards, words, anchor), kinds)
     solved = found.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _resolved(it, shards), "bucket int, data binary")
     return solved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _ranges(it, words), "row_no long, ranges binary")
 

@@ -202,6 +202,41 @@ def test_substrings_against_brute_force(spark, monkeypatch, small):
     assert sum(w[2] for w in want) > 200
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_anchors_exchanged_beyond_the_broadcast(spark, monkeypatch, parts):
+    monkeypatch.setattr(W, "MAX_BITS", W.CHUNK_BITS - 1)
+    monkeypatch.setattr(W, "repeat_sketch", None)
+    monkeypatch.setattr(W, "AT_ONCE", 40)
+    monkeypatch.setattr(W, "ANCHORS_HELD", 30)
+    monkeypatch.setattr(W, "WINDOWS_HELD", 50)
+    monkeypatch.setattr(W, "GROUP_BITS", 2)
+    monkeypatch.setattr(W, "SHARD_BYTES", 500)
+    rows = passages(5 + parts, n=90)
+    out = W.digest(W.remove_repeats(docs(spark, rows, parts))).collect()
+    want = W.brute_force(rows)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == Counter(want)
+    assert sum(w[2] for w in want) > 200
+    assert W.remove_repeats(docs(spark, rows, parts).limit(0)).count() == 0
+
+
+def test_answers_are_the_repeated_anchors():
+    """Of anchors in several buckets, or twice in one, every bucket hears; of others hardly any does."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    anchors = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    where = {int(a): [k % 7, (k + 1) % 7] if k % 10 == 0 else [k % 7] for k, a in enumerate(anchors)}
+    twice = {int(a) for k, a in enumerate(anchors) if k % 15 == 1}
+    sent = []
+    for bucket in range(7):
+        own = np.array([a for a, b in where.items() if bucket in b], np.uint64)
+        sent.append(W._packed(own, np.full(len(own), bucket, "<u4"), np.array([int(a) in twice for a in own], np.uint8)))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 7, pa.int32()), pa.array(sent, pa.binary())], ["part", "data"])
+    heard = {(r["bucket"], int(a)) for b in W._answers(iter([batch])) for r in b.to_pylist() for a in W._unpacked(r["data"], "<u8")[0]}
+    due = {(b, a) for a, buckets in where.items() for b in buckets if len(buckets) > 1 or a in twice}
+    assert due <= heard and len(heard - due) < 300
+
+
 def test_runs_are_independent_of_their_size(monkeypatch):
     import pyarrow as pa
 
