@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.runtime import cut
+from seriesloom.runtime import cut, release
 
 
 def _canonical(df: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
             small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             edges = cut(_canonical(small.unionByName(least.select("u", F.col("m").alias("v")))))
             after = _mark(edges)
+            release(links.sparkSession)
             if after == before:
                 break
             before = after

@@ -51,6 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files (and checkpoints, where it is set to) of tables that nothing refers to any more.
+
+    Its cleaner waits for the driver's garbage collector, which a driver with
+    little to do runs every half hour; until then each step's files stay.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/seriesloom-{name}-{uuid.uuid4().hex}"
