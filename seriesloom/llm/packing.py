@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.ranks import numbered
+from seriesloom.llm.ranks import numbered, numbered_in_order
 from seriesloom.runtime import stored
 
 #: Buckets, tokens of a batch.
@@ -70,7 +70,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return out[::-1]
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, order: tuple[Column, Column] | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, padded_length, batch, place: one row per input row.
 
     n_tokens is `length`, by default the number of words. A batch of a bucket
@@ -80,9 +80,14 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
     doc_ids are rows like any other, each with a place of its own; rows of one
     doc_id and bucket take their places by row number in the scan. An empty
     table gives an empty result.
+
+    order: (part, place) of each row, distinct, as of runtime.written_order().
+    A bucket's rows then fill its batches by part and place; without it they do
+    so in a fixed pseudo-random order.
     """
     words = n_words(F.col(text)) if length is None else length.cast("long")
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), words.alias("n_tokens")), "lengths")  # texts are read once
+    at = [] if order is None else [order[0].alias("part"), order[1].alias("at")]
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), words.alias("n_tokens"), *at), "lengths")  # texts are read once
     histogram = sorted(rows.groupBy(bin_end(F.col("n_tokens")).alias("end")).agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("top")).collect())
     tops = np.array([r.top for r in histogram], np.int64)  # a bin's longest row
     counts = np.array([r.n for r in histogram], np.int64)
@@ -93,7 +98,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
         bucket, padded = F.when(fits, F.lit(i)).otherwise(bucket), F.when(fits, F.lit(bound).cast("long")).otherwise(padded)
     held = rows.withColumns({"bucket": bucket, "padded_length": padded})
     held = held.withColumn("places", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1)))))
-    ranked = numbered(held, "bucket", "doc_id", "row_no", int(counts.sum()))
+    ranked = numbered(held, "bucket", "doc_id", "row_no", int(counts.sum())) if order is None else numbered_in_order(held, "bucket", "part", "at")
     return ranked.select(
         "doc_id",
         "n_tokens",

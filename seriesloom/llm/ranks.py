@@ -38,3 +38,16 @@ def numbered(df: DataFrame, group: str, key: str, row_no: str, n_rows: int, numb
     own = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy("__hash", key, row_no))
     joined = rows.withColumn("__own", own).join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bucket") == F.col("__start_bucket")))
     return joined.withColumn(number, F.col("__start") + F.col("__own") - 1).drop("__hash", "__bucket", "__own", "__group", "__start_bucket", "__start")
+
+
+def numbered_in_order(df: DataFrame, group: str, part: str, place: str, number: str = "number") -> DataFrame:
+    """df with `number`: 0, 1, ... inside each value of `group`, by part and then place.
+
+    place: distinct inside a part, whose rows of a group are numbered by one
+    task. df must be a stored table, as it is read more than once.
+    """
+    counts = _before(df.groupBy(group, part).agg(F.count(F.lit(1)).alias("__n")), [group], part, "__n")  # a group has a row a part here at most
+    starts = counts.select(F.col(group).alias("__group"), F.col(part).alias("__part"), F.col("__before").alias("__start"))
+    own = F.row_number().over(Window.partitionBy(group, part).orderBy(place))
+    joined = df.withColumn("__own", own).join(starts, F.col(group).eqNullSafe(F.col("__group")) & F.col(part).eqNullSafe(F.col("__part")))
+    return joined.withColumn(number, F.col("__start") + F.col("__own") - 1).drop("__own", "__group", "__part", "__start")

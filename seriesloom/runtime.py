@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "seriesloom", **conf: str) -> SparkSession:
@@ -74,3 +75,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_order() -> tuple[Column, Column]:
+    """(file, row in it) of each row of a Parquet table, files in the order of the partitions they were written from.
+
+    A scan takes files by their size, so row numbers of the scan do not tell.
+    """
+    name = F.col("_metadata.file_name")
+    return F.concat(F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0"), name), F.col("_metadata.row_index")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.mixing import mix, mixed_rows, pfair, whole_weights
 from seriesloom.llm.packing import bin_end, boundaries, pack
 from seriesloom.llm.ranks import numbered
-from seriesloom.runtime import cut
+from seriesloom.runtime import cut, stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, slot int, __hash string"
 
@@ -145,3 +145,18 @@ def test_long_lengths_lose_little_to_the_bins(spark):
     bins = np.unique(ends)
     binned = boundaries(np.array([lengths[ends == e].max() for e in bins]), np.array([counts[ends == e].sum() for e in bins]), 8)
     assert padding(lengths, counts, binned) <= 1.01 * padding(lengths, counts, exact)
+
+
+def test_the_pipeline_packs_in_mixed_order(spark):
+    import corpus_pipeline
+
+    rows = [(k, " ".join(["w"] * (1 + 7 * k % 30) + ["x" * (k % 90) * (k > 400)]), "abc"[k * k % 3]) for k in range(600)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    place = {r.doc_id: k for k, r in enumerate(mixed.collect())}
+    out = corpus_pipeline.packing(spark, stored(mixed), "").collect()
+    assert sorted(r.doc_id for r in out) == list(range(600))
+    for bucket in {r.bucket for r in out}:
+        own = sorted((r for r in out if r.bucket == bucket), key=lambda r: (r.batch, r.place))
+        assert len({(r.batch, r.place) for r in own}) == len(own)
+        assert [r.doc_id for r in own] == sorted((r.doc_id for r in own), key=place.get)
