@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from dataclasses import replace
 from hashlib import sha256
 from itertools import chain, repeat
 
@@ -304,14 +305,14 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([_packed(at.astype("<u2"), t[at])], pa.binary())], ["chunk", "data"])
 
 
-def _train(batches: Iterator[pa.RecordBatch], model: Broadcast, step: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], tables: Broadcast, params: Broadcast, step: int) -> Iterator[pa.RecordBatch]:
     """The weights of each shard after a pass over its windows, and how many these are; rows come sorted by shard."""
-    m: A.Model = model.value
+    m: A.Model = tables.value
     for shard, parts in _by_key(batches):
         found = [_unpacked(p[0], "<u8", f"({A.WINDOW + 2},)<u2") for p in parts]
         h, windows = (np.concatenate(x) for x in zip(*found, strict=True))
         windows = windows[np.argsort(h, kind="stable")]
-        weights = A.train(m, m.params, windows, rate=0.004 / (1 + step))
+        weights = A.train(m, params.value, windows, rate=0.004 / (1 + step))
         flat = np.concatenate([weights[k].reshape(-1) for k in A.NAMES]).astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(windows)]), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "weights"])
 
@@ -324,8 +325,11 @@ def _sum_group(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": [sum(n)], "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, data: Broadcast) -> tuple[A.Model, dict, int, int, int]:
-    """(model, heavy words with their counts, texts, N, V) from the rows outside the held-out fold."""
+def fit(docs: DataFrame, doc_id: str, text: str, data: Broadcast) -> tuple[Broadcast, dict, dict, int, int, int]:
+    """(the model's tables, its weights, heavy words with their counts, texts, N, V) from the rows outside the held-out fold.
+
+    The tables are sent once, the weights anew each round; of a round the driver gets one mean, however many shards it has.
+    """
     sc = docs.sparkSession.sparkContext
     texts = docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = stored(texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -349,35 +353,46 @@ def fit(docs: DataFrame, doc_id: str, text: str, data: Broadcast) -> tuple[A.Mod
     for r in sums.toLocalIterator():  # at most a number a cell of the two tables
         at, k = _unpacked(r.data, "<u2", "<i8")
         cells[(r.chunk << CHUNK_BITS) + at.astype(np.int64)] = k
-    model = A.with_counts(model, cells[: A.CLASSES**3], cells[A.CLASSES**3 :].reshape(A.CLASSES, -1))
-    del cells
-    model.params = A.fresh()
+    tables = sc.broadcast(A.with_counts(model, cells[: A.CLASSES**3], cells[A.CLASSES**3 :].reshape(A.CLASSES, -1)))
+    first.destroy()
+    del cells, model
+    params = A.fresh()
     windows = found.where("chunk is null")
     for step in range(ROUNDS):
-        now = sc.broadcast(model)
+        now = sc.broadcast(params)
         mine = windows.where(F.col("round") == step).select("shard", "data").repartition("shard").sortWithinPartitions("shard")
-        trained = cut(mine.mapInArrow(lambda it, now=now, step=step: _train(it, now, step), "shard int, n long, weights binary"))
-        # Sums of SUM_SHARDS shards at a time, until few enough are left for the driver.
+        trained = cut(mine.mapInArrow(lambda it, now=now, step=step: _train(it, tables, now, step), "shard int, n long, weights binary"))
+        now.destroy()  # unpersist() would leave the driver's copy
+        # Sums of SUM_SHARDS shards at a time, until one is left.
         left = shards
-        while left > SUM_SHARDS:
+        while left > 1:
             trained = trained.select(F.floor(F.col("shard") / SUM_SHARDS).cast("int").alias("shard"), F.col("shard").alias("k"), "n", "weights")
             trained = cut(trained.groupBy("shard").applyInArrow(_sum_group, "shard int, n long, weights binary"))
             left = -(-left // SUM_SHARDS)
-        parts = [(r.n, np.frombuffer(r.weights, "<f4").astype(np.float64)) for r in sorted(trained.collect())]  # at most SUM_SHARDS rows
-        now.unpersist()
-        if not parts:
+        mean = trained.first()
+        if mean is None:
             continue
-        values = sum(n * w for n, w in parts) / sum(n for n, _ in parts)
-        at = 0
+        values, at = np.frombuffer(mean.weights, "<f4"), 0
         for k in A.NAMES:
-            size = model.params[k].size
-            model.params[k] = values[at : at + size].astype(np.float32).reshape(model.params[k].shape)
+            size = params[k].size
+            params[k] = values[at : at + size].astype(np.float32).reshape(params[k].shape)
             at += size
-    model.params = A.bounded(model.params)
-    return model, heavy, ends, n, v
+    return tables, A.bounded(params), heavy, ends, n, v
+
+
+class Fitted:
+    """What a task scores with: the model's tables, and (weights, heavy words, texts), which are sent apart from them."""
+
+    def __init__(self, tables: Broadcast, learned: Broadcast):
+        self.tables, self.learned = tables, learned
+
+    @property
+    def value(self) -> tuple[A.Model, dict, int]:
+        params, heavy, ends = self.learned.value
+        return replace(self.tables.value, params=params), heavy, ends
 
 
-def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast, shards: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], data: Broadcast, fitted: Broadcast | Fitted, shards: int) -> Iterator[pa.RecordBatch]:
     """Scores, sums over frequent words, and the rest of the words by shard."""
     model, heavy, ends = fitted.value
     rare: list[tuple] = []
@@ -499,8 +514,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     sc = docs.sparkSession.sparkContext
     with open(vocabulary, "rb") as f:  # a file of the driver's, not of the corpus
         data = sc.broadcast(f.read())
-    model, heavy, ends, n, v = fit(docs, doc_id, text, data)
-    fitted = sc.broadcast((model, heavy, ends))
+    tables, params, heavy, ends, n, v = fit(docs, doc_id, text, data)
+    fitted = Fitted(tables, sc.broadcast((params, heavy, ends)))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     shards = shards_for(n_bytes, SHARD_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id)).alias("held_out"))

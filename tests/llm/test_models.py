@@ -1,10 +1,12 @@
 """The quality network, the language model and the pipeline."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import attention as A
@@ -243,6 +245,40 @@ def test_lm_base_scores_against_brute_force(spark, monkeypatch):
     assert lm.lm_scores(table(spark, rows[:3]).limit(0)).count() == 0
 
 
+def test_driver_gets_one_mean_a_round_and_sends_the_tables_once(spark, monkeypatch):
+    docs = table(spark, [(i, t) for i, t, _ in corpus(120)])
+    monkeypatch.setattr(lm, "SHARD_WINDOWS", 16)
+    fetched, sent = [], []
+    collect, broadcast = type(docs).collect, type(spark.sparkContext).broadcast
+
+    def collected(df):
+        rows = collect(df)
+        if "weights" in df.columns:
+            fetched.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", collected)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(len(pickle.dumps(value))) or broadcast(sc, value))
+    with open(lm.VOCABULARY, "rb") as f:
+        data = broadcast(spark.sparkContext, f.read())
+    params = []
+    for at_once in (64, 2):  # all shards at once, or means of means
+        monkeypatch.setattr(lm, "SUM_SHARDS", at_once)
+        shards = []
+        monkeypatch.setattr(lm, "cut", lambda df, shards=shards: (out := cut(df), shards.append(out.count()))[0])
+        params.append(lm.fit(docs, "doc_id", "text", data)[1])
+        assert max(shards) > 4
+    assert fetched == [1] * (2 * lm.ROUNDS)
+    assert sum(size > 1 << 24 for size in sent) == 2
+    assert all(np.allclose(params[0][k], params[1][k], atol=1e-4) for k in A.NAMES)
+
+
+def test_mean_of_shards_weighs_their_windows():
+    weights = [np.full(3, x, "<f4").tobytes() for x in (4.0, 1.0)]
+    out = lm._sum_group(pa.table({"shard": pa.array([0, 0], pa.int32()), "k": pa.array([1, 0], pa.int32()), "n": [1, 2], "weights": weights}))
+    assert out.column("n").to_pylist() == [3] and np.frombuffer(out.column("weights")[0].as_py(), "<f4").tolist() == [2.0] * 3
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
