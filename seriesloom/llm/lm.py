@@ -226,11 +226,38 @@ def _before(y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _count(table: np.ndarray, cells: np.ndarray) -> None:
-    """Add one to each cell; sorted first, as the table is larger than the cache."""
-    cells = np.sort(cells)
-    new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-    table[cells[new]] += np.diff(new, append=len(cells)).astype(table.dtype)
+class Tally:
+    """Counts of many cells, in two bytes each; a count that outgrows them is put aside and begins anew."""
+
+    def __init__(self, size: int):
+        self.room = np.zeros(size, np.uint16)
+        self.aside: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, cells: np.ndarray) -> None:
+        """Add one to each cell; sorted first, as the table is larger than the cache."""
+        cells = np.sort(cells)
+        new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        at = cells[new]
+        n = self.room[at] + np.diff(new, append=len(cells))
+        over = np.flatnonzero(n >> 16)
+        if len(over):
+            self.aside.append((at[over], n[over]))
+            n[over] = 0
+        self.room[at] = n
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(chunk, cells in it, their counts); the counts of a cell in all of them add up, within one a cell is there once."""
+        for k in range(0, len(self.room), 1 << CHUNK_BITS):
+            at = np.flatnonzero(part := self.room[k : k + (1 << CHUNK_BITS)])
+            if len(at):
+                yield k >> CHUNK_BITS, at, part[at]
+        if self.aside:
+            at, n = (np.concatenate(x) for x in zip(*self.aside, strict=True))
+            at, own = np.unique(at, return_inverse=True)
+            n = np.bincount(own, n)
+            for k in np.unique(at >> CHUNK_BITS).tolist():
+                x = slice(*np.searchsorted(at, [k << CHUNK_BITS, (k + 1) << CHUNK_BITS]))
+                yield k, at[x] - (k << CHUNK_BITS), n[x]
 
 
 #: Odd numbers that a window's codes are multiplied by.
@@ -252,8 +279,7 @@ def _windows(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Broadcast, shards: int) -> Iterator[pa.RecordBatch]:
     """Trigram cells and (class, known id) cells of this task's texts, by chunks of cells, and windows by round and shard."""
     m: A.Model = model.value
-    cells = np.zeros(A.CLASSES**3, np.uint32)
-    given = np.zeros(A.CLASSES * (A.KNOWN + 1), np.uint32)
+    cells, given = Tally(A.CLASSES**3), Tally(A.CLASSES * (A.KNOWN + 1))
     held: list[tuple] = []
     names = ["chunk", "round", "shard", "data"]
 
@@ -271,8 +297,8 @@ def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Br
     for batch, rows, ids, sizes, *_ in _encoded(batches, Lexicon(subwords(data)), 1):
         y = m.class_of[ids].astype(np.int32)
         one, two = _before(y, sizes)
-        _count(cells, (two * A.CLASSES + one) * A.CLASSES + y)
-        _count(given, one * (A.KNOWN + 1) + m.column[ids])
+        cells.add((two * A.CLASSES + one) * A.CLASSES + y)
+        given.add(one * (A.KNOWN + 1) + m.column[ids])
         text, turn, windows = _windows(m.code_of[ids], sizes)
         owner = batch.column(0).fill_null(-1).to_numpy()[rows].view(np.uint64)
         h = _mixed(_mixed(owner[text]) ^ turn.astype(np.uint64) * _ODD[0])
@@ -283,13 +309,11 @@ def _count_classes(batches: Iterator[pa.RecordBatch], data: Broadcast, model: Br
             n = 0
     if n:
         yield from flush()
-    for table, base in ((cells, 0), (given, len(cells) >> CHUNK_BITS)):
+    for tally, base in ((cells, 0), (given, len(cells.room) >> CHUNK_BITS)):
         keys, parts = [], []
-        for k in range(0, len(table), 1 << CHUNK_BITS):
-            at = np.flatnonzero(part := table[k : k + (1 << CHUNK_BITS)])
-            if len(at):
-                keys.append(base + (k >> CHUNK_BITS))
-                parts.append(_packed(at.astype("<u2"), part[at].astype("<u4")))
+        for k, at, count in tally.chunks():
+            keys.append(base + k)
+            parts.append(_packed(at.astype("<u2"), count.astype("<u4")))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.int32()), pa.array(parts, pa.binary())], names)
 

@@ -273,6 +273,21 @@ def test_driver_gets_one_mean_a_round_and_sends_the_tables_once(spark, monkeypat
     assert all(np.allclose(params[0][k], params[1][k], atol=1e-4) for k in A.NAMES)
 
 
+def test_tally_counts_past_two_bytes():
+    """Two bytes a cell: the whole table of class trigrams takes 33 MB of a worker."""
+    rng = np.random.default_rng(4)
+    runs = [np.concatenate([rng.integers(0, 200_000, 5000), np.full(n, 7), np.full(90_000, 70_000), np.full(65_535, 8)]) for n in (65_536, 1, 40_000, 40_000)]
+    tally = lm.Tally(200_000)
+    for cells in runs:
+        tally.add(cells.astype(np.int32))
+    found = np.zeros(200_000 + (1 << 16), np.int64)
+    for chunk, at, n in tally.chunks():
+        assert len(np.unique(at)) == len(at) and at.min() >= 0 and at.max() < 1 << lm.CHUNK_BITS
+        found[(chunk << lm.CHUNK_BITS) + at] += n.astype(np.int64)
+    assert (found[:200_000] == np.bincount(np.concatenate(runs), minlength=200_000)).all()
+    assert tally.room.itemsize == 2
+
+
 def test_mean_of_shards_weighs_their_windows():
     weights = [np.full(3, x, "<f4").tobytes() for x in (4.0, 1.0)]
     out = lm._sum_group(pa.table({"shard": pa.array([0, 0], pa.int32()), "k": pa.array([1, 0], pa.int32()), "n": [1, 2], "weights": weights}))
