@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.text import ascii_lower
-from seriesloom.runtime import cut
+from seriesloom.runtime import cut, with_marked
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -127,4 +127,8 @@ def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     table, whose files every scan reads in the same order.
     """
     kept = exact_dedup(docs, doc_id, text).where("kept").select(F.col("row_no").alias("__row_no"))
-    return docs.withColumn("__row_no", F.monotonically_increasing_id()).join(kept, "__row_no", "left_semi").drop("__row_no")
+    numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
+    found = with_marked(numbered, kept, "__row_no", keep=True)
+    if found is None:
+        found = numbered.join(kept, "__row_no", "left_semi")
+    return found.drop("__row_no")

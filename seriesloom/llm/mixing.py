@@ -36,6 +36,8 @@ from seriesloom.runtime import cut, stored
 
 #: Rows of a block; slots written at once.
 BLOCK_ROWS, SLOTS_AT_ONCE = 16, 1 << 16
+#: Places of rows in the mixed order that are broadcast at most: 12 bytes each.
+PLACES = 1 << 22
 
 
 def whole_weights(weights: list[float]) -> list[int]:
@@ -154,5 +156,11 @@ def mixed_rows(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_
     `docs` must be a stored table: it is read more than once.
     """
     order = cut(mix(docs, weights, doc_id, source).select(F.col("row_no").alias("__row_no"), F.col("position").alias("__position")))
-    rows = docs.withColumn("__row_no", F.monotonically_increasing_id()).join(order, "__row_no").drop("__row_no")
+    rows = docs.withColumn("__row_no", F.monotonically_increasing_id())
+    if order.count() <= PLACES:  # texts are then shuffled once, by their place
+        by_word = order.groupBy(F.shiftright("__row_no", 6).alias("__word")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("__row_no").bitwiseAND(63).cast("int").alias("k"), F.col("__position").alias("v")))).alias("__places"))
+        rows = rows.withColumn("__word", F.shiftright("__row_no", 6)).join(F.broadcast(by_word), "__word")
+        rows = rows.withColumn("__position", F.element_at("__places", F.col("__row_no").bitwiseAND(63).cast("int"))).drop("__row_no", "__word", "__places")
+    else:
+        rows = rows.join(order, "__row_no").drop("__row_no")
     return rows.repartitionByRange(F.col("__position")).sortWithinPartitions("__position").drop("__position")

@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of 64 row numbers that are broadcast at most: 32 MB of numbers and masks, 134 million rows.
+MARK_WORDS = 1 << 21
+
 
 def session(name: str = "seriesloom", **conf: str) -> SparkSession:
     """A session with the settings that the library's results assume (UTC, AQE)."""
@@ -77,6 +80,38 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that stored() gave and nothing reads any more.
+
+    Nothing else is deleted: a table outside the folder for intermediate data stays.
+    """
+    spark = df.sparkSession
+    ours = f"{shared_dir(spark).rstrip('/')}/seriesloom-"
+    jvm, seen = spark.sparkContext._jvm, set()
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if path.toString() not in seen and path.toString().startswith(fs.makeQualified(jvm.org.apache.hadoop.fs.Path(ours)).toString()):
+            fs.delete(path, True)
+        seen.add(path.toString())
+
+
+def with_marked(docs: DataFrame, numbers: DataFrame, row_no: str, keep: bool, words: int = MARK_WORDS) -> DataFrame | None:
+    """The rows of `docs` whose long `row_no` is (keep) or is not among the single column `numbers`; no row is shuffled.
+
+    The numbers become 64 bits a word, so numbers of rows of a scan take at
+    most a 64th of its rows. None if they are more than `words` words, which a
+    broadcast should not hold.
+    """
+    n = F.col(numbers.columns[0])
+    masks = cut(numbers.select(F.shiftright(n, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(`{numbers.columns[0]}` & 63 as int))").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    if masks.count() > words:
+        return None
+    out = docs.withColumn("__at", F.shiftright(row_no, 6)).join(F.broadcast(masks), F.col("__at") == F.col("__word"), "inner" if keep else "left")
+    marked = F.expr(f"shiftrightunsigned(__bits, cast(`{row_no}` & 63 as int)) & 1 = 1")
+    return out.where(marked if keep else ~F.coalesce(marked, F.lit(False))).select(*docs.columns)
+
+
 def written_order() -> tuple[Column, Column]:
     """(file, row in it) of each row of a Parquet table, files in the order of the partitions they were written from.
 
