@@ -12,69 +12,118 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seriesloom.codecs import blob as B
+from seriesloom.codecs.block import LIMIT, NONE
 from seriesloom.errors import SeriesError
 
 POINTS = "kind string, blob_id long, blob_start long, blob_ord int, metric_id long, metric_name string, pos int, ts long, val double, text string, tag string"
 _FIELDS = pa.schema([("kind", pa.string()), ("blob_id", pa.int64()), ("blob_start", pa.int64()), ("blob_ord", pa.int32()), ("metric_id", pa.int64()), ("metric_name", pa.string()), ("pos", pa.int32()), ("ts", pa.int64()), ("val", pa.float64()), ("text", pa.string()), ("tag", pa.string())])
 
+#: Points of decoded metrics that are put together into a batch.
+POINTS_AT_ONCE = 1 << 15
+
 
 def _signed(ident: int) -> int:
     return ident - (1 << 64) if ident >= 1 << 63 else ident
 
 
 def encode_blobs(points: DataFrame, config: B.Config | B.TextConfig = B.Config(), names: bool = False) -> DataFrame:
-    """(blob_id, blob_start, data): one blob of bytes for each blob of a relation of points.
+    """(blob_id, blob_start, data): blobs of bytes, one for each blob of a relation of points.
+
+    Only where a blob of points has more metrics or bytes than the format
+    allows, it takes several, each with whole metrics. Metrics come in unsigned
+    order of their ids. names: key metrics by name where the relation has names.
+    A blob whose offsets do not fit the first layout takes the second.
 
-    A blob is encoded as a whole by one task; the format itself bounds its
-    size. Metrics come in unsigned order of their ids. names: key metrics by
-    name where the relation has names. A blob whose offsets do not fit the
-    first layout takes the second.
+    Points come sorted, so a task holds a batch, one metric's points and the
+    bytes of the metrics before it.
     """
     text = isinstance(config, B.TextConfig)
+    most = B.MAX_COMPACT if text and names else B.MAX_METRICS
+    compressed = config.block != NONE if text else config.ts_block != NONE or config.val_block != NONE
+    most_bytes = LIMIT if compressed else B.MAX_BLOB - LIMIT
 
-    def fitting(start: int, metrics: list[B.Metric]) -> bytes:
+    def fitting(start: int, packed: list[B.Packed]) -> bytes:
         try:
-            return B.encode_numeric(start, metrics, config)
+            return B.join_numeric(start, packed, config)
         except SeriesError as e:
             if config.v2 or e.code != "OffsetOutOfRange":
                 raise
-            return B.encode_numeric(start, metrics, replace(config, v2=True))
+            return B.join_numeric(start, packed, replace(config, v2=True))
 
-    def encode(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("metric_id", "ascending"), ("metric_name", "ascending"), ("pos", "ascending")])
-        ident, ts = table["metric_id"].to_numpy(), table["ts"].to_numpy()
-        name, tag, val = table["metric_name"].to_pylist(), table["tag"].to_pylist(), table["val"].to_pylist() if text else table["val"].to_numpy()
-        new = [k for k in range(1, len(ident)) if ident[k] != ident[k - 1] or name[k] != name[k - 1]]
-        bounds = [0, *new, len(ident)]
-        metrics = [B.Metric(int(ident[a]) % (1 << 64), ts[a:b], val[a:b], tag[a:b], name[a] if names else None) for a, b in zip(bounds, bounds[1:], strict=False)]
-        metrics.sort(key=lambda m: (m.ident, m.name or ""))
-        start = table["blob_start"][0].as_py()
-        data = B.encode_text(start, metrics, config) if text else fitting(start, metrics)
-        return pa.table({"blob_id": [table["blob_id"][0].as_py()], "blob_start": [start], "data": [data]})
-
-    rows = points.select("blob_id", "blob_start", "metric_id", "metric_name", "pos", "ts", "val", "tag")
-    return rows.groupBy("blob_id", "blob_start").applyInArrow(encode, "blob_id long, blob_start long, data binary")
-
-
-def _points_of(data: bytes, blob_id: int, strict: bool) -> pa.RecordBatch | None:
+    def metrics(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+        """((blob_id, blob_start, metric_id, metric_name), points) of one metric after the other."""
+        key, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(k).to_numpy() for k in range(3)] + [batch.column(3).dictionary_encode().indices.fill_null(-1).to_numpy()]
+            bounds = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in ids])) + 1).tolist(), batch.num_rows]
+            for a, z in zip(bounds, bounds[1:], strict=False):
+                new = tuple(batch.column(k)[a].as_py() for k in range(4))
+                if parts and new != key:
+                    yield key, pa.Table.from_batches(parts)
+                    parts = []
+                key = new
+                parts.append(batch.slice(a, z - a))
+        if parts:
+            yield key, pa.Table.from_batches(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, packed, sizes = None, [], np.zeros(3, np.int64)
+
+        def blob() -> pa.RecordBatch:
+            data = B.join_text(at[1], packed, config) if text else fitting(at[1], packed)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()), pa.array([data], pa.binary())], ["blob_id", "blob_start", "data"])
+
+        for (blob_id, start, ident, name), table in metrics(batches):
+            val = table["val"].to_pylist() if text else table["val"].to_numpy()
+            tags = table["tag"].to_pylist() if config.tags else None
+            m = B.Metric(ident % (1 << 64), table["ts"].to_numpy(), val, tags, name if names else None)
+            one = B.pack_text(start, m, config) if text else B.pack_numeric(m, config)
+            size = np.array([len(one.ts), len(one.val), len(one.tag)])
+            if packed and ((blob_id, start) != at or len(packed) >= most or (sizes + size)[:2].max() > most_bytes or (sizes + size).sum() > B.MAX_BLOB - LIMIT or (sizes + size)[2] > LIMIT):
+                yield blob()
+                packed, sizes = [], np.zeros(3, np.int64)
+            at, sizes = (blob_id, start), sizes + size
+            packed.append(one)
+        if packed:
+            yield blob()
+
+    rows = points.select("blob_id", "blob_start", "metric_id", "metric_name", "pos", "ts", "val", *(["tag"] if config.tags else []))
+    order = ["blob_id", "blob_start", F.col("metric_id").bitwiseXOR(F.lit(-(1 << 63))), "metric_name", "pos"]
+    return rows.repartition("blob_id", "blob_start").sortWithinPartitions(*order).mapInArrow(run, "blob_id long, blob_start long, data binary")
+
+
+def _points_of(data: bytes, blob_id: int | None, strict: bool) -> Iterator[pa.RecordBatch]:
+    """Points of a blob, some metrics at a time; blob_id: none for the blob's start."""
     if not strict and B.kind_of(data) is None:
-        return None  # not a blob at all: skipped
-    blob = B.decode(data)
-    parts = []
-    for m in blob.metrics:
-        n = len(m.ts)
-        numeric = blob.kind == "numeric"
-        parts.append(
-            pa.RecordBatch.from_arrays(
-                [
-                    pa.array([blob.kind] * n), pa.array(np.full(n, blob_id)), pa.array(np.full(n, blob.start)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, _signed(m.ident))),
-                    pa.array([m.name] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(m.ts),
-                    pa.array(m.val) if numeric else pa.nulls(n, pa.float64()), pa.nulls(n, pa.string()) if numeric else pa.array(m.val, pa.string()), pa.array(m.tags or [""] * n, pa.string()),
-                ],
-                schema=_FIELDS,
-            )
+        return  # not a blob at all: skipped
+    blob, metrics = B.decode_each(data)
+    numeric, number = blob.kind == "numeric", blob.start if blob_id is None else blob_id
+
+    def batch(ms: list[B.Metric]) -> pa.RecordBatch:
+        sizes = [len(m.ts) for m in ms]
+        n = sum(sizes)
+        same = lambda items, kind: pa.array(items, kind).take(pa.array(np.repeat(np.arange(len(ms)), sizes)))
+        tags = [pa.array(m.tags or [""] * k, pa.string()) for m, k in zip(ms, sizes, strict=True)] if blob.has_tags else [pa.array([""] * n, pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([blob.kind] * n), pa.array(np.full(n, number)), pa.array(np.full(n, blob.start)), pa.array(np.zeros(n, np.int32)), same([_signed(m.ident) for m in ms], pa.int64()),
+                same([m.name for m in ms], pa.string()), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])), pa.array(np.concatenate([m.ts for m in ms])),
+                pa.array(np.concatenate([m.val for m in ms])) if numeric else pa.nulls(n, pa.float64()), pa.nulls(n, pa.string()) if numeric else pa.array([v for m in ms for v in m.val], pa.string()), pa.concat_arrays(tags),
+            ],
+            schema=_FIELDS,
         )
-    return pa.Table.from_batches(parts, _FIELDS).combine_chunks().to_batches()[0] if parts else None
+
+    some, n = [], 0
+    for m in metrics:
+        some.append(m)
+        n += len(m.ts)
+        if n >= POINTS_AT_ONCE:
+            yield batch(some)
+            some, n = [], 0
+    if some:
+        yield batch(some)
 
 
 def decode_blobs(blobs: DataFrame, data: str = "data", blob_id: str = "blob_id", strict: bool = True) -> DataFrame:
@@ -83,9 +132,7 @@ def decode_blobs(blobs: DataFrame, data: str = "data", blob_id: str = "blob_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = _points_of(raw.as_py(), i, strict)
-                if found is not None:
-                    yield found
+                yield from _points_of(raw.as_py(), i, strict)
 
     return blobs.select(F.col(blob_id).cast("long"), F.col(data)).mapInArrow(run, POINTS)
 
@@ -141,10 +188,8 @@ class _BlobReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open(partition.value, "rb") as f:
-            found = _points_of(f.read(), 0, False)
-        if found is not None:
-            start = found.column(2)
-            yield pa.RecordBatch.from_arrays([found.column(0), start, *found.columns[2:]], schema=_FIELDS)
+            data = f.read()
+        yield from _points_of(data, None, False)
 
 
 def column_bytes(points: DataFrame, codec: str) -> DataFrame:

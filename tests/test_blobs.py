@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from seriesloom.codecs import blob as B
@@ -181,3 +182,33 @@ def test_value_columns_round_trip(spark):
     for codec in ("raw", "gorilla", "chimp", "alp"):
         (r,) = S.column_bytes(points, codec).collect()
         assert (r.n, r.n_mismatch) == (6, 0)
+
+
+def _named_points(spark, n, each):
+    from seriesloom.model import points
+
+    df = spark.range(n * each).selectExpr(f"concat('m', id % {n}) as name", "86400000000 * 5 + id * 7 as ts", "concat('v', id % 10) as val", "id")
+    return points(df, "text", F.col("name"), F.col("ts"), F.col("val"), None, order=[F.col("id")])
+
+
+def test_more_metrics_than_a_blob_holds_take_several(spark, monkeypatch):
+    """They were MetricCountExceeded."""
+    p = _named_points(spark, 20, 3)
+    whole = S.encode_blobs(p, B.TextConfig(), names=True)
+    assert whole.count() == 1
+    monkeypatch.setattr(B, "MAX_COMPACT", 6)
+    blobs = S.encode_blobs(p, B.TextConfig(), names=True)
+    assert sorted(len(B.decode(r.data).metrics) for r in blobs.collect()) == [2, 6, 6, 6]
+    cols = ["metric_name", "blob_id", "pos", "ts", "text"]
+    assert sorted(map(tuple, S.decode_blobs(blobs).select(*cols).collect())) == sorted(map(tuple, p.withColumnRenamed("val", "text").select(*cols).collect()))
+
+
+def test_a_blob_is_decoded_some_metrics_at_a_time():
+    """All of its points came as one batch."""
+    n = 40_000
+    data = B.encode_numeric(7, [B.Metric(i, np.arange(n) * i, np.arange(n) / i, [str(i)] * n) for i in (1, 2, 3)], B.Config(B.DELTA_PACKED, B.CHIMP, tags=True, v2=True))
+    batches = list(S._points_of(data, 5, True))
+    assert [b.num_rows for b in batches] == [n, n, n]
+    for i, b in enumerate(batches, 1):
+        assert b.column(7).to_pylist() == (np.arange(n) * i).tolist() and b.column(8).to_pylist() == (np.arange(n) / i).tolist()
+        assert set(b.column(10).to_pylist()) == {str(i)} and b.column(6).to_pylist() == list(range(n)) and set(b.column(1).to_pylist()) == {5}
