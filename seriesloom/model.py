@@ -41,12 +41,16 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
-def points(df: DataFrame, kind: str, name: Column, ts: Column, val: Column, tag: Column | None = None, blob_us: int = DAY, order: list[Column] | None = None, ident: Column | None = None) -> DataFrame:
+def points(df: DataFrame, kind: str, name: Column, ts: Column, val: Column, tag: Column | None = None, blob_us: int = DAY, order: list[Column] | None = None, ident: Column | None = None, slot_us: int | None = None) -> DataFrame:
     """Rows as points, one blob for each `blob_us` of time.
 
     order: what orders a metric's points in a blob after their time; it should
     leave no ties. The window is by (metric, blob), so a metric with most of
     the rows is still dealt out by blob.
+
+    slot_us: where a metric's blob may be too large to sort in one task, its
+    points are counted inside slots of so much time; a slot's first position is
+    the number of points in the slots before it.
     """
     extra = {f"__o{i}": c for i, c in enumerate(order or [])}
     rows = df.select(
@@ -60,7 +64,15 @@ def points(df: DataFrame, kind: str, name: Column, ts: Column, val: Column, tag:
     if ident is None:
         rows = rows.withColumn("metric_id", metric_id(F.col("metric_name")))
     rows = rows.withColumn("blob_start", F.col("ts") - F.pmod(F.col("ts"), F.lit(blob_us)))
-    w = Window.partitionBy("metric_id", "blob_start").orderBy("ts", *extra)
+    if slot_us is None:
+        pos = F.row_number().over(Window.partitionBy("metric_id", "blob_start").orderBy("ts", *extra)) - 1
+    else:
+        key = ["metric_id", "blob_start", "__slot"]
+        rows = rows.withColumn("__slot", F.expr(f"(ts - blob_start) div {slot_us}"))
+        before = Window.partitionBy("metric_id", "blob_start").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        rows = rows.withColumn("__own", F.row_number().over(Window.partitionBy(*key).orderBy("ts", *extra))).join(firsts.drop("__n"), key)
+        pos = (F.col("__first") + F.col("__own") - 1).cast("int")
     return rows.select(
         F.lit(kind).alias("kind"),
         F.expr(f"blob_start div {blob_us}").alias("blob_id"),
@@ -68,7 +80,7 @@ def points(df: DataFrame, kind: str, name: Column, ts: Column, val: Column, tag:
         F.lit(0).alias("blob_ord"),
         "metric_id",
         "metric_name",
-        (F.row_number().over(w) - 1).alias("pos"),
+        pos.alias("pos"),
         "ts",
         "val",
         "tag",
@@ -107,7 +119,7 @@ def user_points(spark: SparkSession, sf_dir: str, blob_us: int = DAY) -> DataFra
 
 
 def ship_points(spark: SparkSession, sf_dir: str, blob_us: int = 365 * DAY) -> DataFrame:
-    """Numeric points of the lineitem table: a metric per return flag, many points at one time."""
+    """Numeric points of the lineitem table: a metric per return flag, many points at one time, counted day by day."""
     li = table(spark, sf_dir, "lineitem")
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linestatus")]
-    return points(li, "numeric", F.col("l_returnflag"), micros(F.col("l_shipdate")), F.col("l_extendedprice"), F.col("l_linestatus"), blob_us, order)
+    return points(li, "numeric", F.col("l_returnflag"), micros(F.col("l_shipdate")), F.col("l_extendedprice"), F.col("l_linestatus"), blob_us, order, slot_us=DAY)

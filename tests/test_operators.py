@@ -280,3 +280,16 @@ def test_analysis_of_a_set_and_of_each_blob(spark):
     each = analyze_each(p, "raw", "raw").collect()
     assert {(r.rank, r.model) for r in each} == {(k, r.model) for k, r in whole.items()}
     assert analyze(p.limit(0)).count() == 0
+
+
+def test_slots_give_the_same_positions(spark):
+    """All points of a metric's blob were sorted by one task."""
+    from seriesloom.model import DAY, points, ship_points
+
+    df = spark.range(3000).selectExpr("concat('m', id % 2) as name", f"(id * 7919 % 400) * {DAY // 4} - {DAY * 9} as ts", "cast(id as double) as val", "id")
+    made = [points(df, "numeric", F.col("name"), F.col("ts"), F.col("val"), None, 30 * DAY, [F.col("id")], slot_us=s) for s in (None, DAY, 7 * DAY + 1)]
+    assert made[0].dtypes == made[1].dtypes
+    rows = [sorted(map(tuple, p.select("metric_name", "blob_id", "pos", "ts", "val").collect())) for p in made]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 3000
+    plan = ship_points(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert any("row_number" in line and "__slot" in line.split("[l_orderkey")[0] for line in plan.split("\n") if "Window" in line)
