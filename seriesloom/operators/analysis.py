@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.sizes import ENTRY, HEADER
 from seriesloom.operators.regression import fits, formula, ranked
 from seriesloom.operators.resample import LADDER, cap, ladder
-from seriesloom.operators.sizing import TIMES, VALUES, column_sizes, measured
+from seriesloom.operators.sizing import TIMES, VALUES, chunked_sizes, column_sizes, measured, with_heads
 
 
 def analyze(points: DataFrame, ts: str = "delta", val: str = "gorilla") -> DataFrame:
@@ -31,6 +31,11 @@ def measured_each(points: DataFrame, ts: str = "delta", val: str = "gorilla") ->
     below = F.filter(F.array(*[F.lit(p).cast("long") for p in LADDER]), lambda p: p <= F.col("cap"))
     steps = F.when(F.col("cap") > 1.2 * F.element_at(below, -1), F.concat(below, F.array("cap"))).otherwise(below)
     lengths = caps.select("blob_id", F.explode(steps).alias("ppm"))
+    if (ts, val) == ("delta", "gorilla"):
+        own = caps.select("blob_id", F.when(F.col("cap") > 1.2 * F.element_at(below, -1), F.col("cap")).alias("__own"))
+        sizes = chunked_sizes(points.select("blob_id", "metric_id", "metric_name", "pos", "ts", "val").join(own, "blob_id"), ["blob_id"], "pos", LADDER, "__own")
+        counts = points.groupBy("blob_id", "metric_id", "metric_name").agg(F.count(F.lit(1)).alias("n")).join(lengths, "blob_id")
+        return with_heads(sizes, counts, ["blob_id", "ppm"])
     rows = points.select("blob_id", "metric_id", "metric_name", "pos", "ts", "val").join(lengths, "blob_id")
     rows = rows.withColumns({"chunk": F.floor(F.col("pos") / F.col("ppm")), "chunk_pos": F.col("pos") % F.col("ppm")})
     columns = column_sizes(rows, ["blob_id", "ppm", "chunk"], TIMES[ts], VALUES[val])
